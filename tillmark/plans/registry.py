@@ -12,9 +12,9 @@ from ..operators.clean import clean
 from ..operators.enrich import enrich
 from ..operators.kpi import hourly_demand
 from ..sources.adapters import event_transactions
-from . import ingest
+from . import aggregates, ingest
 
-FAMILIES = [ingest]
+FAMILIES = [ingest, aggregates]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
