@@ -12,9 +12,9 @@ from ..operators.clean import clean
 from ..operators.enrich import enrich
 from ..operators.kpi import hourly_demand
 from ..sources.adapters import event_transactions
-from . import aggregates, ingest
+from . import aggregates, forecasts, ingest, planning
 
-FAMILIES = [ingest, aggregates]
+FAMILIES = [ingest, aggregates, planning, forecasts]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
