@@ -9,7 +9,7 @@ are, and one scan of the facts serves all models, folds and reports.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
@@ -18,7 +18,7 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.measures import units
@@ -109,7 +109,7 @@ def linear(**params) -> Estimator:
     return LinearRegression(weightCol="weight", solver="normal", regParam=0.0, **params)
 
 
-MODELS = {"Boosted Trees": boosted_trees, "Random Forest": random_forest, "Linear Regression": linear}
+MODELS: dict[str, Callable[..., Estimator]] = {"Boosted Trees": boosted_trees, "Random Forest": random_forest, "Linear Regression": linear}
 
 
 def metrics(predictions: DataFrame, weight: str = "weight") -> DataFrame:
@@ -156,8 +156,7 @@ def cross_validate(table: DataFrame, estimator: Estimator, folds: int = 5) -> Da
         model = estimator.fit(rows.where(F.col("fold") != k))
         return metrics(model.transform(rows.where(F.col("fold") == k))).select("r2")
 
-    with ThreadPoolExecutor(folds) as pool:
-        scores = stack(list(pool.map(inheritable_thread_target(rows.sparkSession)(score), range(folds))))
+    scores = stack(side_by_side(rows.sparkSession, [lambda k=k: score(k) for k in range(folds)]))
     return scores.agg(
         half_even(F.avg("r2") * 100, 2).alias("cv_mean"), half_even(F.stddev_pop("r2") * 100, 2).alias("cv_std")
     )
@@ -192,13 +191,21 @@ def grid_search(
 # --- reports ---------------------------------------------------------------------------------
 
 
-def model_row(table: DataFrame, name: str, model: Model, estimator: Estimator | None = None) -> DataFrame:
-    """Metrics of one model as a row; with an estimator also its cross-validation."""
-    row = metrics(predict(table, model)).withColumn("Model", F.lit(name))
-    if estimator is None:
-        return row.withColumns({"cv_mean": F.lit(0.0), "cv_std": F.lit(0.0)})
-    cv = cross_validate(table, estimator).select(F.struct("cv_mean", "cv_std")).scalar()
-    return row.withColumns({"cv_mean": cv.getField("cv_mean"), "cv_std": cv.getField("cv_std")})
+def side_by_side(spark: SparkSession, tasks: Sequence[Callable]) -> list:
+    """Run training tasks at the same time: each is a chain of many short jobs, which alone
+    would leave most executors idle."""
+    with ThreadPoolExecutor(len(tasks)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(task)) for task in tasks]
+        return [r.result() for r in running]
+
+
+def model_row(name: str, scored: DataFrame, cv: DataFrame | None = None) -> DataFrame:
+    """Metrics of one model as a row, with its cross-validation if there is one."""
+    row = metrics(scored).withColumn("Model", F.lit(name))
+    if cv is None:
+        return row.withColumns({"cv_mean": F.lit(None).cast("double"), "cv_std": F.lit(None).cast("double")})
+    both = cv.select(F.struct("cv_mean", "cv_std")).scalar()
+    return row.withColumns({"cv_mean": both.getField("cv_mean"), "cv_std": both.getField("cv_std")})
 
 
 def comparison_table(rows: Sequence[DataFrame]) -> DataFrame:
@@ -216,14 +223,20 @@ def comparison_table(rows: Sequence[DataFrame]) -> DataFrame:
     return durable(table)
 
 
-def compare_models(df: DataFrame, settings: dict[str, dict] | None = None, cv: bool = True) -> DataFrame:
-    """Train all models on the transactions and compare them side by side."""
-    table = training_table(df)
-    rows = []
-    for name, make in MODELS.items():
-        estimator = make(**(settings or {}).get(name, {}))
-        rows.append(model_row(table, name, fit(table, estimator), estimator if cv else None))
-    return comparison_table(rows)
+def compare_models(
+    table: DataFrame, estimators: dict[str, Estimator] | None = None, folds: int = 5
+) -> tuple[dict[str, Model], DataFrame]:
+    """Train all models, cross-validate them, and put their metrics next to each other."""
+    estimators = estimators or {name: make() for name, make in MODELS.items()}
+    names = list(estimators)
+    results = side_by_side(
+        table.sparkSession,
+        [lambda e=estimators[n]: fit(table, e) for n in names]
+        + [lambda e=estimators[n]: cross_validate(table, e, folds) for n in names],
+    )
+    models = dict(zip(names, results))
+    rows = [model_row(n, predict(table, models[n]), cv) for n, cv in zip(names, results[len(names):])]
+    return models, comparison_table(rows)
 
 
 def best_models(comparison: DataFrame) -> DataFrame:
@@ -264,7 +277,7 @@ def _last_stage(model: Model) -> Model:
     return model.stages[-1] if isinstance(model, PipelineModel) else model
 
 
-def importance(spark, model: Model) -> DataFrame:
+def importance(spark: SparkSession, model: Model) -> DataFrame:
     """Importance per feature (trees) or coefficient (linear), largest first."""
     fitted = _last_stage(model)
     trees = hasattr(fitted, "featureImportances")
@@ -276,19 +289,19 @@ def importance(spark, model: Model) -> DataFrame:
 
 
 def residuals(predictions: DataFrame) -> DataFrame:
-    """Actual, predicted (one decimal) and error; ``weight`` says how many rows each stands for."""
+    """Actual, predicted (one decimal) and error; ``weight`` says how many rows each line stands for."""
     shown = half_even(F.col("prediction"), 1)
-    keep = [c for c in (*FEATURES, "weight") if c in predictions.columns]
-    return predictions.select(
+    keep = [c for c in FEATURES if c in predictions.columns]
+    weight = F.col("weight") if "weight" in predictions.columns else F.lit(1.0)
+    return predictions.groupBy(
         *keep, F.col("label").alias("Actual"), shown.alias("Predicted"), (F.col("label") - shown).alias("Error")
-    )
+    ).agg(F.sum(weight).alias("weight"))
 
 
 def actual_and_predicted(table: DataFrame) -> DataFrame:
     """Residual table as one long column of values with their type."""
-    keep = ["weight"] if "weight" in table.columns else []
     return stack(
-        [table.select(*keep, F.col(c).alias("Value"), F.lit(c).alias("Type")) for c in ("Actual", "Predicted")]
+        [table.select("weight", F.col(c).alias("Value"), F.lit(c).alias("Type")) for c in ("Actual", "Predicted")]
     )
 
 

@@ -12,9 +12,9 @@ from ..operators.clean import clean
 from ..operators.enrich import enrich
 from ..operators.kpi import hourly_demand
 from ..sources.adapters import event_transactions
-from . import aggregates, forecasts, ingest, planning
+from . import aggregates, forecasts, ingest, models, planning, streams
 
-FAMILIES = [ingest, aggregates, planning, forecasts]
+FAMILIES = [ingest, aggregates, planning, forecasts, models, streams]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
