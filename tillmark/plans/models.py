@@ -37,14 +37,25 @@ def model(spark, folder, name):
     return _once(spark, folder, name, lambda: learning.fit(rows, learning.MODELS[name]()))
 
 
+def validated(spark, folder, name):
+    rows = table(spark, folder)
+    return _once(spark, folder, ("cv", name), lambda: learning.cross_validate(rows, learning.MODELS[name]()))
+
+
 def compared(spark, folder):
-    """All models trained and cross-validated, and the comparison table."""
+    """Comparison table over all models; what is not fitted yet is fitted side by side."""
 
     def make():
-        models, comparison = learning.compare_models(table(spark, folder))
-        for name, fitted in models.items():
-            _once(spark, folder, name, lambda: fitted)
-        return comparison
+        table(spark, folder)
+        names = list(learning.MODELS)
+        learning.side_by_side(
+            spark,
+            [lambda n=n: model(spark, folder, n) for n in names]
+            + [lambda n=n: validated(spark, folder, n) for n in names],
+        )
+        return learning.comparison_table(
+            [learning.model_row(n, scored(spark, folder, n), validated(spark, folder, n)) for n in names]
+        )
 
     return _once(spark, folder, "comparison", make)
 
@@ -89,7 +100,7 @@ def grid(make, points):
 
 
 def cv(name):
-    return lambda spark, folder: learning.cross_validate(table(spark, folder), learning.MODELS[name]())
+    return lambda spark, folder: validated(spark, folder, name)
 
 
 def feature_weights(name):
