@@ -93,3 +93,11 @@ def arg_best(df: DataFrame, metric: str, *keys: str, largest: bool = True) -> Da
     ranked = df.where(F.col(metric).isNotNull())
     first = F.desc(metric) if largest else F.asc(metric)
     return ranked.orderBy(first, *[F.asc(k) for k in keys]).limit(1)
+
+
+def key_of_best(metric: Column, key: Column, where: Column, largest: bool = True) -> Column:
+    """Aggregate that gives the key with the largest (smallest) metric among the rows ``where``;
+    ties go to the smallest key. Unknown keys and metrics do not compete."""
+    rank = -metric if largest else metric
+    competes = where & key.isNotNull() & metric.isNotNull()
+    return F.min(F.when(competes, F.struct(rank.alias("rank"), key.alias("key")))).getField("key")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordered import arg_best
+from ..functions.measures import revenue, rows, units
+from ..functions.ordered import key_of_best
 from ..schema import DEMAND_LEVELS
-from .kpi import hourly_mean_units, monthly_revenue, value_counts, weekday_hour_units, weekday_units
+from .kpi import value_counts, weekday_hour_units
 
 
 def quartile_levels(slots: DataFrame, value: str = "transaction_qty") -> DataFrame:
@@ -41,12 +42,27 @@ def level_distribution(levels: DataFrame) -> DataFrame:
 
 
 def pattern_kpis(df: DataFrame) -> DataFrame:
-    """One row: hour with the largest and smallest mean basket, busiest weekday, best month."""
-    by_hour = hourly_mean_units(df)
-    peak = arg_best(by_hour, "Avg_Transactions", "hour").select(F.col("hour").alias("peak_hour"))
-    busiest = arg_best(weekday_units(df), "Transactions", "weekday").select("weekday").scalar()
-    month = arg_best(monthly_revenue(df), "Revenue", "month").select("month").scalar()
-    quiet = arg_best(by_hour, "Avg_Transactions", "hour", largest=False).select("hour").scalar()
-    return peak.select(
-        "peak_hour", busiest.alias("busiest_day"), month.alias("best_month"), quiet.alias("quietest_hour")
+    """One row: hour with the largest and smallest mean basket, busiest weekday, best month.
+
+    One pass over the facts; the three breakdowns are grouping sets over the small aggregate
+    by hour, weekday and month.
+    """
+    keys = ["hour", "weekday", "month"]
+    slots = df.groupBy(*keys).agg(
+        units().alias("transaction_qty"), revenue().alias("revenue"), rows(df).alias("row_count")
+    )
+    sets = slots.groupingSets([[k] for k in keys], *keys).agg(
+        F.grouping_id().alias("level"),
+        units().alias("units"),
+        revenue().alias("revenue"),
+        F.sum("row_count").alias("row_count"),
+    )
+    # The level has a bit per key that is summed away, the first key being the highest bit.
+    by_hour, by_weekday, by_month = (F.col("level") == n for n in (0b011, 0b101, 0b110))
+    basket, hour = F.col("units") / F.col("row_count"), F.col("hour")
+    return sets.agg(
+        key_of_best(basket, hour, by_hour).alias("peak_hour"),
+        key_of_best(F.col("units"), F.col("weekday"), by_weekday).alias("busiest_day"),
+        key_of_best(F.col("revenue"), F.col("month"), by_month).alias("best_month"),
+        key_of_best(basket, hour, by_hour, largest=False).alias("quietest_hour"),
     )

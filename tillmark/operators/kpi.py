@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.measures import ids, revenue, rows, units
 from ..functions.numeric import ratio
-from ..functions.ordered import arg_best, exact_quantiles
+from ..functions.ordered import exact_quantiles, key_of_best
 from ..functions.text import count_text, money, quarter_label, thousands
+from ..session import durable
 
 
 def known(df: DataFrame, *keys: str) -> DataFrame:
@@ -29,30 +30,37 @@ def known(df: DataFrame, *keys: str) -> DataFrame:
 def kpis(df: DataFrame) -> DataFrame:
     """One row: revenue, rows, units, average order value, best store, best category.
 
-    The facts are read once: totals and both winners come from one store x category aggregate,
-    whose shuffle the three branches share.
+    The facts are read once, into a store x category aggregate. Grouping sets over that small
+    frame give the totals per store, per category and overall in one more aggregation.
     """
-    keys = [k for k in ("store_location", "product_category") if k in df.columns]
-    pairs = df.groupBy(*keys).agg(revenue().alias("revenue"), rows(df).alias("row_count"),
-                                  units().alias("transaction_qty"))
-    totals = pairs.agg(
-        revenue().alias("Revenue"),
-        F.coalesce(F.sum("row_count"), F.lit(0)).cast("long").alias("Transactions"),
-        units().alias("Quantity"),
+    store, category = "store_location", "product_category"
+    lacking = [k for k in (store, category) if k not in df.columns]
+    df = df.withColumns({k: F.lit(None).cast("string") for k in lacking})
+    pairs = df.groupBy(store, category).agg(
+        revenue().alias("revenue"), rows(df).alias("row_count"), units().alias("transaction_qty")
     )
+    sets = pairs.groupingSets([[store], [category], []], store, category).agg(
+        F.grouping_id().alias("level"),
+        revenue().alias("revenue"),
+        F.sum("row_count").alias("row_count"),
+        units().alias("transaction_qty"),
+    )
+    # The level has a bit per key that is summed away: 1 per store, 2 per category, 3 overall.
+    level, money_ = F.col("level"), F.col("revenue")
 
-    def best(key: str) -> Column:
-        if key not in keys:
-            return F.lit("N/A")
-        by_key = known(pairs, key).groupBy(key).agg(revenue().alias("total"))
-        return arg_best(by_key, "total", key).select(key).scalar()
+    def whole(column: str, empty: Column) -> Column:
+        return F.coalesce(F.max(F.when(level == 3, F.col(column))), empty)
 
-    return totals.select(
-        "*",
-        ratio(F.col("Revenue"), F.col("Transactions"), 0.0).alias("Avg_Order_Value"),
-        best("store_location").alias("Best_Store"),
-        best("product_category").alias("Best_Category"),
-    )
+    def best(key: str, at: int) -> Column:
+        return F.lit("N/A") if key in lacking else key_of_best(money_, F.col(key), level == at)
+
+    return sets.agg(
+        whole("revenue", F.lit(0.0)).alias("Revenue"),
+        whole("row_count", F.lit(0).cast("long")).alias("Transactions"),
+        whole("transaction_qty", F.lit(0.0)).alias("Quantity"),
+        best(store, 1).alias("Best_Store"),
+        best(category, 2).alias("Best_Category"),
+    ).withColumn("Avg_Order_Value", ratio(F.col("Revenue"), F.col("Transactions"), 0.0))
 
 
 def store_performance(df: DataFrame) -> DataFrame:
@@ -186,13 +194,14 @@ def column_summary(df: DataFrame, column: str) -> DataFrame:
 
 
 def share_of_total(df: DataFrame, value: str, name: str = "share") -> DataFrame:
-    """Add each row's part of the column total.
+    """Add each row's part of the column total, for a frame of results.
 
-    The total is a scalar subquery over the same aggregate, which reuses its shuffle; a window
-    without keys would move all rows to one task.
+    The frame is made durable, so that rows and total read it instead of the facts twice; a
+    window without keys would move all rows to one task.
     """
-    whole = df.agg(F.sum(value)).scalar()
-    return df.withColumn(name, ratio(F.col(value), whole))
+    kept = durable(df)
+    whole = kept.agg(F.sum(value)).scalar()
+    return kept.withColumn(name, ratio(F.col(value), whole))
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30, weight: str | None = None) -> DataFrame:

@@ -206,7 +206,7 @@ level AS (SELECT h.series_key, last,
   CAST(sum(CAST(round_even(y * 10000, 0) AS BIGINT)) AS DOUBLE) / 1e4 / 3 AS yhat
   FROM h JOIN ends USING (series_key) WHERE ds > last - INTERVAL 3 HOUR GROUP BY ALL)
 """
-_TICKET = "CAST('0x' || substr(md5(transaction_id), {start}, 8) AS BIGINT)"
+_TICKET = "CAST('0x' || substr(md5(CAST(transaction_id AS VARCHAR)), {start}, 8) AS BIGINT)"
 _TEST = f"{_TICKET.format(start=1)} % 10 >= 8"
 _RESIDUALS = f"""--with
 means AS (SELECT hour, sum(transaction_qty) / count(*) AS p FROM ev WHERE NOT ({_TEST}) GROUP BY hour),
@@ -418,7 +418,7 @@ ORACLE = {
     ),
     "so5_weekday_order": over(LI, f'SELECT weekday_num, weekday, {q()} AS "Transactions" FROM li GROUP BY ALL'),
     "so6_sample": over(
-        EV, "SELECT transaction_id, revenue FROM ev ORDER BY md5(transaction_id || '-42'), transaction_id LIMIT 200"
+        EV, "SELECT transaction_id, revenue FROM ev ORDER BY md5(CAST(transaction_id AS VARCHAR) || '-42'), transaction_id LIMIT 200"
     ),
     "se1_distinct_rows": over(RAW, f"SELECT {_TXN} FROM (SELECT DISTINCT * FROM raw)"),
     "se2_train_and_test": over(

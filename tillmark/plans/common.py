@@ -52,7 +52,7 @@ _CALENDAR = """
 
 EV = f"""
 ev0 AS (
-  SELECT CAST(event_id AS VARCHAR) AS transaction_id, CAST(ts AS TIMESTAMP) AS transaction_time,
+  SELECT event_id AS transaction_id, CAST(ts AS TIMESTAMP) AS transaction_time,
     CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS transaction_qty, value AS unit_price,
     'Store ' || (user_id % 5) AS store_location, event_type AS product_category,
     event_type || '-' || (user_id % 3) AS product_type
@@ -61,7 +61,7 @@ ev AS (SELECT *, {_CALENDAR} FROM ev0)"""
 
 LI = f"""
 li0 AS (
-  SELECT CAST(l_orderkey AS VARCHAR) AS transaction_id, CAST(l_shipdate AS TIMESTAMP) AS transaction_time,
+  SELECT l_orderkey AS transaction_id, CAST(l_shipdate AS TIMESTAMP) AS transaction_time,
     l_quantity AS transaction_qty, p_retailprice AS unit_price, r_name AS store_location,
     p_type AS product_category, p_brand AS product_type
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey

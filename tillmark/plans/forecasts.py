@@ -20,9 +20,7 @@ def ts2(spark, folder):
 
 
 def ts3(spark, folder):
-    rows = sales(spark, folder)
-    kpis = series.moving_average_kpis(rows, series.moving_average(rows))
-    return rounded(kpis, "forecast_total", digits=3)
+    return rounded(series.moving_average_kpis(sales(spark, folder)), "forecast_total", digits=3)
 
 
 def ts4(spark, folder):

@@ -52,14 +52,14 @@ def sales_forecast(
     seasonal_days: int = 30,
     arima_days: int = 14,
 ) -> Page:
-    rows = filters.for_store(sales, store)
+    rows = series.hour_sums(filters.for_store(sales, store))
     flat = series.moving_average(rows, target, periods=hours)
     seasonal = series.seasonal_forecast(rows, target, periods=seasonal_days)
     return {
         "stores": filters.choices(sales, "store_location"),
         "actual": series.resample(rows, target),
         "moving_average": flat,
-        "moving_average_kpis": series.moving_average_kpis(rows, flat, target),
+        "moving_average_kpis": series.moving_average_kpis(rows, target, hours),
         "seasonal": seasonal,
         "seasonal_totals": series.forecast_totals(series.future_only(seasonal)),
         "arima": series.arima_forecast(rows, target, periods=arima_days),

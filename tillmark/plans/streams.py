@@ -10,7 +10,7 @@ from __future__ import annotations
 from ..operators import clean
 from ..operators.enrich import enrich
 from ..session import shared_path
-from ..sources.adapters import event_mapping, garbled_events
+from ..sources.adapters import TABLES, event_mapping, garbled_events
 from ..sources.transactions import from_text
 from ..streaming import ingest, sinks, windows
 from .common import CLEAN, EV, TIME, m, over, plain, q, rounded, sales
@@ -18,8 +18,8 @@ from .common import CLEAN, EV, TIME, m, over, plain, q, rounded, sales
 
 def event_stream(spark, folder):
     """Enriched events as a stream."""
-    schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    return enrich(ingest.stream_parquet(spark, f"{folder}/events*.parquet", schema, event_mapping()))
+    files = f"{folder}/events*.parquet"
+    return enrich(ingest.stream_parquet(spark, files, TABLES["events"], event_mapping()))
 
 
 def appended(spark, stream, purpose):

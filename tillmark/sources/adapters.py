@@ -7,9 +7,24 @@ from pyspark.sql import functions as F
 
 from .transactions import canonical
 
+# The stored types of the test tables. Given types save a job per table that
+# would otherwise read file footers.
+TABLES = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,"
+    " l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string,"
+    " l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+}
+
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def event_mapping() -> dict:
@@ -31,19 +46,10 @@ def event_transactions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def order_transactions(spark: SparkSession, folder: str) -> DataFrame:
-    """Order lines as sales over several years: regions as stores, part types as categories.
-
-    Only the region and nation lists, fixed lists of the data model, are broadcast by hint.
-    Part and supplier grow with the data, so Spark chooses their join by measured size.
-    """
-    lines = _table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"
-    )
-    places = store_names(spark, folder)
-    parts = _table(spark, folder, "part").select("p_partkey", "p_type", "p_brand", "p_retailprice")
-    joined = lines.join(parts, lines.l_partkey == parts.p_partkey).join(
-        places, lines.l_suppkey == places.s_suppkey
-    )
+    """Order lines as sales over several years: regions as stores, part types as categories."""
+    lines = _table(spark, folder, "lineitem")
+    parts = _table(spark, folder, "part")
+    joined = with_store(spark, folder, lines.join(parts, lines.l_partkey == parts.p_partkey))
     return canonical(
         joined,
         {
@@ -58,30 +64,31 @@ def order_transactions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def store_names(spark: SparkSession, folder: str) -> DataFrame:
-    """Supplier key and the region it belongs to."""
-    suppliers = _table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
-    nations = _table(spark, folder, "nation").select("n_nationkey", "n_regionkey")
-    regions = _table(spark, folder, "region").select("r_regionkey", "r_name")
+def with_store(spark: SparkSession, folder: str, lines: DataFrame) -> DataFrame:
+    """Join order lines to the region of their supplier.
+
+    The joins are a chain of base tables, whose sizes Spark knows before it plans: a supplier
+    table under the broadcast limit never makes the lines shuffle, a larger one is joined by
+    sorting, with hot keys split at run time. Only nation and region, lists that do not grow
+    with the data, are broadcast by hint.
+    """
+    suppliers = _table(spark, folder, "supplier")
+    nations = _table(spark, folder, "nation")
+    regions = _table(spark, folder, "region")
     return (
-        suppliers.join(F.broadcast(nations), suppliers.s_nationkey == nations.n_nationkey)
-        .join(F.broadcast(regions), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select("s_suppkey", "r_name")
+        lines.join(suppliers, lines.l_suppkey == suppliers.s_suppkey)
+        .join(F.broadcast(nations), suppliers.s_nationkey == nations.n_nationkey)
+        .join(F.broadcast(regions), nations.n_regionkey == regions.r_regionkey)
     )
 
 
 def store_operations(spark: SparkSession, folder: str, on_time_days: int = 365) -> DataFrame:
     """Measured operations per store: shares of finished and of punctual units, mean lead time."""
-    lines = _table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_suppkey", "l_quantity", "l_linestatus", "l_shipdate"
-    )
-    orders = _table(spark, folder, "orders").select("o_orderkey", "o_orderdate")
-    places = store_names(spark, folder)
+    lines = _table(spark, folder, "lineitem")
+    orders = _table(spark, folder, "orders")
     lead = F.datediff("l_shipdate", "o_orderdate")
     lead = F.when(lead >= 0, lead)
-    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey, "left").join(
-        places, lines.l_suppkey == places.s_suppkey
-    )
+    joined = with_store(spark, folder, lines.join(orders, lines.l_orderkey == orders.o_orderkey, "left"))
     finished = F.sum(F.when(F.col("l_linestatus") == "F", F.col("l_quantity")).otherwise(0.0))
     return joined.groupBy(F.col("r_name").alias("store_location")).agg(
         (finished / F.sum("l_quantity")).alias("fill_rate"),

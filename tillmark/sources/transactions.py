@@ -50,9 +50,16 @@ def read_parquet(spark: SparkSession, path: str, mapping: dict[str, Column] | No
 
 
 def canonical(table: DataFrame, mapping: dict[str, Column]) -> DataFrame:
-    """Select the mapped canonical columns with their canonical types."""
+    """Select the mapped canonical columns with their canonical types.
+
+    Ids keep the type they have: whole numbers are cheaper to count and to shuffle than text.
+    """
     return table.select(
-        *[mapping[f.name].cast(f.dataType).alias(f.name) for f in TRANSACTIONS.fields if f.name in mapping]
+        *[
+            (mapping[f.name] if f.name == "transaction_id" else mapping[f.name].cast(f.dataType)).alias(f.name)
+            for f in TRANSACTIONS.fields
+            if f.name in mapping
+        ]
     )
 
 

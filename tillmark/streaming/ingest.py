@@ -11,7 +11,7 @@ from ..sources.transactions import canonical, from_text
 
 
 def stream_parquet(
-    spark: SparkSession, glob: str, schema: T.StructType, mapping: dict[str, Column]
+    spark: SparkSession, glob: str, schema: T.StructType | str, mapping: dict[str, Column]
 ) -> DataFrame:
     """Parquet files that appear under a path pattern, as canonical transactions.
 
