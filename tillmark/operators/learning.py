@@ -105,8 +105,9 @@ def random_forest(**params) -> Estimator:
 
 
 def linear(**params) -> Estimator:
-    """Ordinary least squares by the normal equations."""
-    return LinearRegression(weightCol="weight", solver="normal", regParam=0.0, **params)
+    """Ordinary least squares by the normal equations. A constant feature makes these singular;
+    MLlib then iterates, which the tight tolerance keeps exact."""
+    return LinearRegression(weightCol="weight", solver="normal", regParam=0.0, tol=1e-12, **params)
 
 
 MODELS: dict[str, Callable[..., Estimator]] = {"Boosted Trees": boosted_trees, "Random Forest": random_forest, "Linear Regression": linear}
