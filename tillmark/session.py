@@ -32,14 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
     machine-local folder would lose data together with its machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
+    if named is None and context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tillmark-"))
-    return context.getCheckpointDir().rstrip("/")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
+    return (named or context.getCheckpointDir()).rstrip("/")
 
 
 def shared_path(spark: SparkSession, purpose: str) -> str:
