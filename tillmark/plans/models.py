@@ -1,8 +1,8 @@
 """Demand models as registered queries.
 
 Models are fitted once per session and folder and shared by the reports on them. Fitted trees
-have no SQL equivalent; metrics, residuals and splits are checked on the per-hour mean model
-(``ml2_metrics``, ``ml12_*``), and the straight line on its closed form.
+have no SQL equivalent. The line has: least squares by successive projections. Metrics, residuals
+and comparison reports are also checked on the simplest models, training means by one feature.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from ..operators import kpi, learning, ranking
-from .aggregates import _RESIDUALS, _TEST
+from .aggregates import _RESIDUALS, _TEST, _TICKET
 from .common import EV, even, over, rounded, sales
 
 _DONE: dict = {}
@@ -107,6 +107,17 @@ def feature_weights(name):
     return lambda spark, folder: learning.importance(spark, model(spark, folder, name))
 
 
+def mean_models(spark, folder):
+    """The comparison table over three models that predict training means."""
+    rows = table(spark, folder)
+    return learning.comparison_table(
+        [
+            learning.model_row(name, learning.mean_model(rows, [feature]))
+            for name, feature in (("Day Mean", "day"), ("Hour Mean", "hour"), ("Weekday Mean", "weekday_num"))
+        ]
+    )
+
+
 def ml12_first(spark, folder):
     order = ["weekday_num", "month", "day", "hour", "Actual", "Predicted"]
     return ranking.first_rows(residuals(spark, folder), 20, *order).select(*order, "Error")
@@ -123,7 +134,9 @@ QUERIES = {
     "ml2_metrics": lambda s, f: rounded(learning.metrics(baseline(s, f)), "mae", "rmse", "r2"),
     "ml3_boosted_trees": fitted_metrics("Boosted Trees"),
     "ml4_random_forest": fitted_metrics("Random Forest"),
-    "ml5_linear_regression": fitted_metrics("Linear Regression"),
+    "ml5_linear_regression": lambda s, f: rounded(
+        fitted_metrics("Linear Regression")(s, f), "mae", "rmse", "r2"
+    ),
     "ml5_straight_line": ml5_line,
     "ml6_grid_boosted": grid(learning.boosted_trees, SMALL_BOOSTED),
     "ml6_grid_forest": grid(learning.random_forest, SMALL_FOREST),
@@ -131,12 +144,18 @@ QUERIES = {
     "ml7_cv_forest": cv("Random Forest"),
     "ml7_cv_linear": cv("Linear Regression"),
     "ml8_comparison": compared,
+    "ml8_mean_models": lambda s, f: rounded(mean_models(s, f), "MAE", "RMSE", "R2 Score"),
+    "ml9_best_mean_models": lambda s, f: rounded(learning.best_models(mean_models(s, f)), "Value"),
+    "ml10_radar_mean_models": lambda s, f: rounded(
+        learning.radar(mean_models(s, f)), "Accuracy (%)", "CV Score (%)", "R2 Score", "MAE", "RMSE"
+    ),
+    "ml10_errors_mean_models": lambda s, f: rounded(learning.error_measures(mean_models(s, f)), "Value"),
     "ml9_best_models": lambda s, f: learning.best_models(compared(s, f)),
     "ml10_radar": lambda s, f: learning.radar(compared(s, f)),
     "ml10_error_measures": lambda s, f: learning.error_measures(compared(s, f)),
     "ml11_importance_boosted": feature_weights("Boosted Trees"),
     "ml11_importance_forest": feature_weights("Random Forest"),
-    "ml11_coefficients": feature_weights("Linear Regression"),
+    "ml11_coefficients": lambda s, f: rounded(feature_weights("Linear Regression")(s, f), "Coefficient"),
     "ml12_residuals": ml12_first,
     "ml12_error_histogram": lambda s, f: kpi.histogram(residuals(s, f), "Error", 30, "weight"),
     "ml12_error_five_numbers": lambda s, f: kpi.five_numbers(residuals(s, f), "Error", (), "weight"),
@@ -146,6 +165,66 @@ QUERIES = {
     "ml12_linear_error_histogram": ml12_model_error,
 }
 
+# Least squares by successive projections, for every ``k``: each feature is freed from the ones
+# before it, the label is projected on what remains. A constant feature remains as 0 and adds 0.
+_LINE = """
+m0 AS (SELECT k, avg(x1) FILTER (tr) AS a1, avg(x2) FILTER (tr) AS a2, avg(x3) FILTER (tr) AS a3,
+  avg(x4) FILTER (tr) AS a4, avg(y) FILTER (tr) AS ay FROM r GROUP BY k),
+z0 AS (SELECT r.k, tr, y, ay, x1 - a1 AS u1, x2 - a2 AS v2, x3 - a3 AS v3, x4 - a4 AS v4 FROM r JOIN m0 USING (k)),
+p1 AS (SELECT k, sum(u1 * v2) / sum(u1 * u1) AS b21, sum(u1 * v3) / sum(u1 * u1) AS b31,
+  sum(u1 * v4) / sum(u1 * u1) AS b41, sum(u1 * (y - ay)) / sum(u1 * u1) AS c1 FROM z0 WHERE tr GROUP BY k),
+z1 AS (SELECT z0.k, tr, y, ay, u1, v2 - b21 * u1 AS u2, v3 - b31 * u1 AS v3, v4 - b41 * u1 AS v4
+  FROM z0 JOIN p1 USING (k)),
+p2 AS (SELECT k, sum(u2 * v3) / sum(u2 * u2) AS b32, sum(u2 * v4) / sum(u2 * u2) AS b42,
+  sum(u2 * (y - ay)) / sum(u2 * u2) AS c2 FROM z1 WHERE tr GROUP BY k),
+z2 AS (SELECT z1.k, tr, y, ay, u1, u2, v3 - b32 * u2 AS u3, v4 - b42 * u2 AS v4 FROM z1 JOIN p2 USING (k)),
+p3 AS (SELECT k, sum(u3 * v4) / sum(u3 * u3) AS b43, sum(u3 * (y - ay)) / sum(u3 * u3) AS c3
+  FROM z2 WHERE tr GROUP BY k),
+z3 AS (SELECT z2.k, tr, y, ay, u1, u2, u3, v4 - b43 * u3 AS u4 FROM z2 JOIN p3 USING (k)),
+p4 AS (SELECT k, coalesce(sum(u4 * (y - ay)) / nullif(sum(u4 * u4), 0), 0) AS c4 FROM z3 WHERE tr GROUP BY k),
+line AS (SELECT z3.k, y, ay + c1 * u1 + c2 * u2 + c3 * u3 + c4 * u4 AS p FROM z3
+  JOIN p1 USING (k) JOIN p2 USING (k) JOIN p3 USING (k) JOIN p4 USING (k) WHERE NOT tr)
+"""
+_X = "CAST(hour AS DOUBLE) AS x1, day(date) AS x2, weekday_num AS x3, month AS x4, transaction_qty AS y"
+_LINE_TEST = f"--with r AS (SELECT 0 AS k, NOT ({_TEST}) AS tr, {_X} FROM ev),{_LINE}"
+_LINE_FOLDS = f"""--with r AS (SELECT k, {_TICKET.format(start=9)} % 5 <> k AS tr, {_X} FROM ev, range(0, 5) AS f(k)),
+{_LINE}"""
+
+_SCORES = """SELECT count(*) AS n, sum(abs(y - p)) / count(*) AS mae, sqrt(sum((y - p) * (y - p)) / count(*)) AS rmse,
+  1 - sum((y - p) * (y - p)) / (sum(y * y) - sum(y) * sum(y) / count(*)) AS r2,
+  CAST(trunc(max(p)) AS BIGINT) AS peak_demand FROM {t}"""
+_METRICS = f"""SELECT round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(r2, 6) AS r2, peak_demand,
+  greatest(0.0::DOUBLE, {even("r2 * 100", 2)}) AS accuracy,
+  CAST(greatest(2, round_even(peak_demand / 50, 0)) AS BIGINT) AS staff FROM s"""
+
+
+def _mean_scores() -> str:
+    parts, tables = [], []
+    for name, key in (("Day Mean", "day(date)"), ("Hour Mean", "hour"), ("Weekday Mean", "weekday_num")):
+        t = name.split()[0].lower()
+        tables.append(
+            f"""{t}_m AS (SELECT {key} AS f, sum(transaction_qty) / count(*) AS p FROM ev WHERE NOT ({_TEST}) GROUP BY 1),
+            {t}_s AS (SELECT transaction_qty AS y, p FROM ev JOIN {t}_m ON {key} = f WHERE {_TEST}),
+            {t}_r AS ({_SCORES.format(t=t + '_s')})"""
+        )
+        parts.append(f"SELECT '{name}' AS model, * FROM {t}_r")
+    return f"""--with {', '.join(tables)}, s0 AS ({' UNION ALL '.join(parts)}),
+    cmp AS (SELECT model AS "Model", greatest(0.0::DOUBLE, {even("r2 * 100", 2)}) AS "Accuracy (%)",
+      0.0::DOUBLE AS "CV Score (%)", mae AS "MAE", rmse AS "RMSE", r2 AS "R2 Score", peak_demand AS "Peak Demand",
+      CAST(greatest(2, round_even(peak_demand / 50, 0)) AS BIGINT) AS "Recommended Staff" FROM s0) """
+
+
+def _best(measure: str, order: str) -> str:
+    return f"""(SELECT '{measure}' AS "Measure", "Model", round(CAST("{measure}" AS DOUBLE), 6) AS "Value" FROM cmp
+      ORDER BY "{measure}" {order}, "Model" LIMIT 1)"""
+
+
+def _scaled(measure: str, up: bool) -> str:
+    top = f'max("{measure}") OVER ()'
+    part = f'"{measure}" / {top}' if up else f'1 - "{measure}" / {top}'
+    return f'round(CASE WHEN {top} > 0 THEN {part} ELSE "{measure}" END, 6) AS "{measure}"'
+
+
 _FIVE = """min({v}) AS "min", quantile_cont({v}, 0.25) AS q1, quantile_cont({v}, 0.5) AS "median",
   quantile_cont({v}, 0.75) AS q3, max({v}) AS "max" """
 _DAY = "CAST(day(date) AS INTEGER) AS day"
@@ -156,22 +235,60 @@ ORACLE = {
         f"""SELECT CASE WHEN {_TEST} THEN 'test' ELSE 'train' END AS split, hour, {_DAY}, month, weekday_num,
           count(*) AS rows, sum(transaction_qty) AS units FROM ev GROUP BY ALL""",
     ),
-    "ml2_metrics": over(
-        EV,
-        _RESIDUALS + f""", s AS (SELECT count(*) AS n, sum(abs(y - p)) / count(*) AS mae,
-          sqrt(sum((y - p) * (y - p)) / count(*)) AS rmse,
-          1 - sum((y - p) * (y - p)) / (sum(y * y) - sum(y) * sum(y) / count(*)) AS r2,
-          CAST(trunc(max(p)) AS BIGINT) AS peak_demand FROM scored)
-        SELECT round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(r2, 6) AS r2, peak_demand,
-          greatest(0.0::DOUBLE, {even("r2 * 100", 2)}) AS accuracy,
-          CAST(greatest(2, round_even(peak_demand / 50, 0)) AS BIGINT) AS staff FROM s""",
-    ),
+    "ml2_metrics": over(EV, f"{_RESIDUALS}, s AS ({_SCORES.format(t='scored')}) {_METRICS}"),
+    "ml5_linear_regression": over(EV, f"{_LINE_TEST}, s AS ({_SCORES.format(t='line')}) {_METRICS}"),
     "ml5_straight_line": over(
         EV,
         f"""--with tr AS (SELECT regr_slope(transaction_qty, CAST(hour AS DOUBLE)) AS a,
           regr_intercept(transaction_qty, CAST(hour AS DOUBLE)) AS b FROM ev WHERE NOT ({_TEST}))
         SELECT DISTINCT hour, round(b + a * hour, 6) AS prediction FROM ev, tr WHERE {_TEST}""",
     ),
+    "ml7_cv_linear": over(
+        EV,
+        f"""{_LINE_FOLDS}, s AS (SELECT k, 1 - sum((y - p) * (y - p)) / (sum(y * y) - sum(y) * sum(y) / count(*)) AS r2
+          FROM line GROUP BY k)
+        SELECT {even("avg(r2) * 100", 2)} AS cv_mean, {even("stddev_pop(r2) * 100", 2)} AS cv_std FROM s""",
+    ),
+    "ml8_mean_models": over(
+        EV,
+        _mean_scores() + """SELECT "Model", "Accuracy (%)", "CV Score (%)", round("MAE", 6) AS "MAE",
+          round("RMSE", 6) AS "RMSE", round("R2 Score", 6) AS "R2 Score", "Peak Demand", "Recommended Staff" FROM cmp""",
+    ),
+    "ml9_best_mean_models": over(
+        EV,
+        _mean_scores()
+        + " UNION ALL ".join(
+            [_best("Accuracy (%)", "DESC"), _best("CV Score (%)", "DESC"), _best("MAE", ""), _best("RMSE", ""),
+             _best("R2 Score", "DESC"), _best("Recommended Staff", "DESC")]
+        ),
+    ),
+    "ml10_radar_mean_models": over(
+        EV,
+        _mean_scores()
+        + f"""SELECT "Model", {_scaled("Accuracy (%)", True)}, {_scaled("CV Score (%)", True)},
+          {_scaled("R2 Score", True)}, {_scaled("MAE", False)}, {_scaled("RMSE", False)} FROM cmp""",
+    ),
+    "ml10_errors_mean_models": over(
+        EV,
+        _mean_scores() + """SELECT "Model", 'MAE' AS "Metric", round("MAE", 6) AS "Value" FROM cmp
+        UNION ALL SELECT "Model", 'RMSE', round("RMSE", 6) FROM cmp""",
+    ),
+    "ml11_coefficients": over(
+        EV,
+        _LINE_TEST + """, c AS (SELECT c4 AS k4, c3 - c4 * b43 AS k3, b21, b31, b41, b32, b42, c1, c2
+          FROM p1 JOIN p2 USING (k) JOIN p3 USING (k) JOIN p4 USING (k)),
+        d AS (SELECT *, c2 - k3 * b32 - k4 * b42 AS k2 FROM c),
+        e AS (SELECT *, c1 - k2 * b21 - k3 * b31 - k4 * b41 AS k1 FROM d)
+        SELECT 'hour' AS "Feature", round(k1, 6) AS "Coefficient" FROM e UNION ALL SELECT 'day', round(k2, 6) FROM e
+        UNION ALL SELECT 'weekday_num', round(k3, 6) FROM e UNION ALL SELECT 'month', round(k4, 6) FROM e""",
+    ),
+    "ml12_linear_error_histogram": over(
+        EV,
+        _LINE_TEST + f""", e AS (SELECT y - {even("p", 1)} AS v FROM line),
+        b AS (SELECT min(v) AS low, max(v) AS high FROM e)
+        SELECT CAST(least(30, floor((v - low) / (high - low) * 30) + 1) AS INTEGER) AS bin, count(*) AS "count"
+        FROM e, b GROUP BY 1""",
+    ),
     "ml12_residuals": over(
         EV,
         _RESIDUALS.replace(
