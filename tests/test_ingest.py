@@ -36,9 +36,10 @@ def test_time_format_can_be_given(spark):
 
 
 def test_quantity_without_number_is_zero(spark):
-    rows = [line(1, qty="3"), line(2, qty="x"), line(3, qty=None), line(4, qty="2.5"), line(5, qty="1d")]
+    rows = [line(1, qty="3"), line(2, qty="x"), line(3, qty=None), line(4, qty="2.5"), line(5, qty="1d"),
+            line(6, qty=" 4e1 "), line(7, qty="1e999")]
     got = clean.coerce_quantity(raw(spark, rows)).orderBy("transaction_id")
-    assert [r["transaction_qty"] for r in got.collect()] == [3.0, 0.0, 0.0, 2.5, 0.0]
+    assert [r["transaction_qty"] for r in got.collect()] == [3.0, 0.0, 0.0, 2.5, 0.0, 40.0, 0.0]
 
 
 def test_bad_price_becomes_median(spark):

@@ -111,3 +111,17 @@ def test_comparison_has_all_models(sell):
     assert {r["Model"]: r["Horizon"] for r in got.collect()} == {
         "Moving Average": "12h", "Seasonal Trend": "30d", "ARIMA": "14d"
     }
+
+
+def test_names_of_longer_keys_stay_unique(sell):
+    time = HOUR.format(1, 0)
+    sales = sell([(time, 1, 1, "a / b", "c"), (time, 2, 1, "a", "b / c"), (time, 4, 1, "a", None)])
+    got = series.bucket_sums(sales, "transaction_qty", "hour", ["store_location", "product_category"])
+    assert sorted(r["y"] for r in got.collect()) == [1.0, 2.0]
+
+
+def test_fits_share_one_partitioning(sell):
+    plan = series.arima_forecast(sell(daily(sell, range(1, 30))), "transaction_qty", ["store_location"])
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning(series_key") == 1
+    assert "REPARTITION_BY_NUM" in text

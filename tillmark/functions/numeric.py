@@ -29,7 +29,7 @@ def to_number(value: Column, source_type: str) -> Column:
     if source_type == "string":
         value = F.when(value.rlike(NUMBER_TEXT), F.trim(value))
     number = value.try_cast("double")
-    return F.when(~F.isnan(number), number)
+    return F.when(F.abs(number) < float("inf"), number)  # NaN sorts above infinity
 
 
 def total(value: Column | str) -> Column:

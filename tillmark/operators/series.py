@@ -13,7 +13,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -33,13 +33,19 @@ ALL = "All Stores"
 STEPS = {"hour": "1 hour", "day": "1 day"}
 
 
+def series_key(by: Sequence[str]) -> Column:
+    """Name of a series. Slashes in the parts of a longer key are doubled, so names stay unique."""
+    if len(by) < 2:
+        return F.col(by[0]) if by else F.lit(ALL)
+    return F.concat_ws(" / ", *[F.replace(F.col(c), F.lit("/"), F.lit("//")) for c in by])
+
+
 def bucket_sums(df: DataFrame, target: str, freq: str, by: Sequence[str] = ()) -> DataFrame:
     """``series_key, ds, y`` for every bucket that has sales."""
-    key = F.concat_ws(" / ", *by) if by else F.lit(ALL)
     return (
         known(df, *by)
         .where(F.col("transaction_time").isNotNull())
-        .groupBy(key.alias("series_key"), F.date_trunc(freq, "transaction_time").alias("ds"))
+        .groupBy(series_key(by).alias("series_key"), F.date_trunc(freq, "transaction_time").alias("ds"))
         .agg(MEASURES[target]().alias("y"))
     )
 
@@ -125,8 +131,14 @@ def forecast_table(forecast: DataFrame, target: str = "revenue") -> DataFrame:
 
 
 def _daily_positive(df: DataFrame, target: str, by: Sequence[str], minimum: int) -> DataFrame:
-    """Daily series without empty days, of those series that have enough days."""
-    days = bucket_sums(df, target, "day", by).where(F.col("y") > 0)
+    """Daily series without empty days, of those series that have enough days.
+
+    The number of partitions is given, or the small daily rows would be merged into a few tasks
+    by size, and the fits, which cost time rather than bytes, would wait for each other. The
+    window and the grouped fit both use this one partitioning.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    days = bucket_sums(df, target, "day", by).where(F.col("y") > 0).repartition(tasks, "series_key")
     counted = days.withColumn("_days", F.count(F.lit(1)).over(W.partitionBy("series_key")))
     return counted.where(F.col("_days") >= minimum).drop("_days")
 

@@ -36,6 +36,11 @@ def ts6(spark, folder):
     return plain(series.arima_forecast(line_sales(spark, folder), "revenue", ["store_location"]))
 
 
+def dates(forecast):
+    """Which series and days a fitted forecast covers."""
+    return plain(forecast.select("series_key", "ds"))
+
+
 def ts8_table(spark, folder):
     return series.forecast_table(series.moving_average(sales(spark, folder), "transaction_qty"), "transaction_qty")
 
@@ -49,8 +54,13 @@ QUERIES = {
     ),
     "ts3_moving_average_kpis": ts3,
     "ts4_seasonal_forecast": ts4,
+    "ts4_forecast_days": lambda s, f: dates(series.seasonal_forecast(line_sales(s, f), by=["store_location"])),
     "ts5_future_totals": ts5,
+    "ts5_future_days": lambda s, f: dates(
+        series.future_only(series.seasonal_forecast(line_sales(s, f), by=["store_location"], periods=90))
+    ),
     "ts6_arima_forecast": ts6,
+    "ts6_forecast_days": lambda s, f: dates(series.arima_forecast(line_sales(s, f), by=["store_location"], periods=60)),
     "ts7_compare_forecasts": lambda s, f: series.compare_forecasts(sales(s, f), "revenue", ["store_location"]),
     "ts8_forecast_by_hour": lambda s, f: rounded(series.forecast_by_hour(_hourly(s, f)), "yhat"),
     "ts8_forecast_table": ts8_table,
@@ -77,6 +87,17 @@ level AS (SELECT h.series_key, last,
 """
 
 
+def _days(ahead: int, minimum: int, history: bool) -> str:
+    """Days of a fitted forecast: those with sales, if wanted, and the ones after the last."""
+    future = f"""SELECT series_key, strftime(last + to_days(CAST(i AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS ds
+    FROM ends, range(1, {ahead + 1}) AS r(i)"""
+    past = "SELECT series_key, strftime(ds, '%Y-%m-%d %H:%M:%S') AS ds FROM d JOIN ends USING (series_key) UNION ALL "
+    return f"""--with
+d AS (SELECT store_location AS series_key, CAST(date AS TIMESTAMP) AS ds FROM li GROUP BY ALL HAVING {m()} > 0),
+ends AS (SELECT series_key, max(ds) AS last FROM d GROUP BY 1 HAVING count(*) >= {minimum})
+{past if history else ''}{future}"""
+
+
 _AHEAD = """SELECT series_key, strftime(last + to_hours(CAST(i AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS ds,
   round(yhat, 6) AS yhat FROM level, range(1, {n}) AS r(i)"""
 
@@ -96,6 +117,9 @@ ORACLE = {
           (SELECT strftime(ds, '%I:%M %p') FROM h ORDER BY y DESC, ds LIMIT 1) AS peak_hour,
           CAST(trunc(total / greatest(aov, 1)) AS BIGINT) AS forecast_orders FROM t, a""",
     ),
+    "ts4_forecast_days": over(LI, _days(30, 7, True)),
+    "ts5_future_days": over(LI, _days(90, 7, False)),
+    "ts6_forecast_days": over(LI, _days(60, 14, False)),
     "ts8_forecast_by_hour": over(
         EV,
         _level("store_location", m())
