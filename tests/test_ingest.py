@@ -55,6 +55,13 @@ def test_median_ignores_duplicates_and_rows_without_time(spark):
     assert got == {"1": 1.0, "2": 3.0, "4": 2.0}
 
 
+def test_stored_rows_give_the_same(spark):
+    rows = [line(1, price="1"), line(2, price="3"), line(2, price="3"), line(4, price="x"), line(5, time="bad")]
+    df = raw(spark, rows)
+    stored = clean.clean(df, store=shared_path(spark, "distinct"))
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, clean.clean(df).collect()))
+
+
 def test_no_usable_price_stays_null(spark):
     got = clean.clean(raw(spark, [line(1, price="x"), line(2, price="")])).collect()
     assert [r["unit_price"] for r in got] == [None, None]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import to_number
 from ..functions.ordered import exact_quantiles
+from ..sources.sinks import write_table
 
 
 def drop_duplicate_rows(df: DataFrame) -> DataFrame:
@@ -48,9 +49,17 @@ def impute_price(df: DataFrame, median: float | None = None) -> DataFrame:
     return df.withColumn("unit_price", F.coalesce(price, F.lit(median).cast("double")))
 
 
-def clean(df: DataFrame, median: float | None = None) -> DataFrame:
-    """Whole cleaning step. Pass ``median`` to use a known price median (as streams must)."""
+def clean(df: DataFrame, median: float | None = None, store: str | None = None) -> DataFrame:
+    """Whole cleaning step. Pass ``median`` to use a known price median (as streams must).
+
+    Removing duplicates shuffles whole rows, and a missing price needs the result twice: for
+    the median and for the rows. With ``store``, a path all executors share, the distinct rows
+    are written there once; the median then reads a single column of that table.
+    """
     rows = drop_missing_time(drop_duplicate_rows(df))
-    if median is None and not df.where(_numeric(df, "unit_price").isNull()).limit(1).isEmpty():
+    looked_at = df
+    if store is not None:
+        looked_at = rows = write_table(rows, store)
+    if median is None and not looked_at.where(_numeric(df, "unit_price").isNull()).limit(1).isEmpty():
         median = price_median(rows)
     return impute_price(coerce_quantity(rows), median)

@@ -41,13 +41,12 @@ def series_key(by: Sequence[str]) -> Column:
 
 
 def bucket_sums(df: DataFrame, target: str, freq: str, by: Sequence[str] = ()) -> DataFrame:
-    """``series_key, ds, y`` for every bucket that has sales."""
-    return (
-        known(df, *by)
-        .where(F.col("transaction_time").isNotNull())
-        .groupBy(series_key(by).alias("series_key"), F.date_trunc(freq, "transaction_time").alias("ds"))
-        .agg(MEASURES[target]().alias("y"))
+    """``series_key, ds, y`` for every bucket that has sales. Names are built after the sums."""
+    timed = known(df, *by).where(F.col("transaction_time").isNotNull())
+    sums = timed.groupBy(*by, F.date_trunc(freq, "transaction_time").alias("ds")).agg(
+        MEASURES[target]().alias("y")
     )
+    return sums.select(series_key(by).alias("series_key"), "ds", "y")
 
 
 def hour_sums(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:

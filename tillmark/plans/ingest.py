@@ -32,7 +32,7 @@ def sc2(spark, folder):
 
 
 def sc3(spark, folder):
-    return plain(transactions.load(spark, _csv(spark, folder)))
+    return plain(transactions.load(spark, _csv(spark, folder), store=shared_path(spark, "distinct")))
 
 
 def sc4(spark, folder):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .transactions import canonical
@@ -27,12 +27,17 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def event_mapping() -> dict:
+def event_units() -> Column:
+    """The number ``k`` of the flat ``props`` object: a third of the time of a JSON parser."""
+    return F.regexp_extract("props", r'"k":\s*([0-9]+)', 1)
+
+
+def event_mapping() -> dict[str, Column]:
     """Canonical columns as expressions over the events table."""
     return {
         "transaction_id": F.col("event_id"),
         "transaction_time": F.col("ts"),
-        "transaction_qty": F.get_json_object("props", "$.k"),
+        "transaction_qty": event_units().try_cast("double"),
         "unit_price": F.col("value"),
         "store_location": F.concat(F.lit("Store "), F.col("user_id") % 5),
         "product_category": F.col("event_type"),
@@ -109,7 +114,7 @@ def garbled_events(spark: SparkSession, folder: str) -> DataFrame:
         n.cast("string").alias("transaction_id"),
         F.when(n % 97 == 0, "not a time").when(n % 89 == 0, "").otherwise(text).alias("transaction_time"),
         F.when(n % 31 == 0, "many").when(n % 37 == 0, "NA")
-        .otherwise(F.get_json_object("props", "$.k")).alias("transaction_qty"),
+        .otherwise(event_units()).alias("transaction_qty"),
         F.when(n % 41 == 0, "free").when(n % 43 == 0, "n/a")
         .otherwise(F.col("value").cast("string")).alias("unit_price"),
         F.when(n % 101 == 0, "").otherwise(F.concat(F.lit("Store "), F.col("user_id") % 5)).alias("store_location"),

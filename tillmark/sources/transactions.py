@@ -63,9 +63,11 @@ def canonical(table: DataFrame, mapping: dict[str, Column]) -> DataFrame:
     )
 
 
-def load(spark: SparkSession, path: str, ts_format: str | None = None) -> DataFrame:
-    """CSV to cleaned and enriched transactions."""
-    return enrich(clean(read_csv(spark, path, ts_format)))
+def load(
+    spark: SparkSession, path: str, ts_format: str | None = None, store: str | None = None
+) -> DataFrame:
+    """CSV to cleaned and enriched transactions; for ``store`` see ``clean``."""
+    return enrich(clean(read_csv(spark, path, ts_format), store=store))
 
 
 def dataset_summary(df: DataFrame) -> DataFrame:
