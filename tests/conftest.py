@@ -30,7 +30,7 @@ def sell(spark):
 
     def make(rows):
         data = [
-            (str(i), time, None if qty is None else float(qty), None if price is None else float(price), store, category, "any")
+            (str(i), time, float(qty), float(price), store, category, "any")
             for i, (time, qty, price, store, category) in enumerate(rows)
         ]
         schema = ", ".join(

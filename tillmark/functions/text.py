@@ -9,6 +9,11 @@ from ..schema import MONTHS, WEEKDAYS
 from .numeric import half_even
 
 
+def plain_number(value: Column, digits: int) -> Column:
+    """Fixed decimals without thousands separators."""
+    return F.replace(F.format_number(value, digits), F.lit(","), F.lit(""))
+
+
 def money(value: Column, digits: int = 0) -> Column:
     return F.concat(F.lit("$"), F.format_number(value, digits))
 
@@ -18,7 +23,7 @@ def count_text(value: Column) -> Column:
 
 
 def percent(value: Column, digits: int = 1) -> Column:
-    return F.concat(F.format_number(value, digits), F.lit("%"))
+    return F.concat(plain_number(value, digits), F.lit("%"))
 
 
 def signed(text: Column, value: Column) -> Column:

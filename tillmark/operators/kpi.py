@@ -207,6 +207,7 @@ def share_of_total(df: DataFrame, value: str, name: str = "share") -> DataFrame:
 def histogram(df: DataFrame, column: str, bins: int = 30, weight: str | None = None) -> DataFrame:
     """Counts in ``bins`` equal parts of the value range, numbered from 1; empty ones are absent.
 
+    Reads the column twice: for its limits and to count.
     ``weight`` names a column that says how many rows a row stands for.
     """
     limits = df.agg(F.struct(F.min(column).alias("low"), F.max(column).alias("high")).alias("limits"))

@@ -110,7 +110,11 @@ def linear(**params) -> Estimator:
     return LinearRegression(weightCol="weight", solver="normal", regParam=0.0, tol=1e-12, **params)
 
 
-MODELS: dict[str, Callable[..., Estimator]] = {"Boosted Trees": boosted_trees, "Random Forest": random_forest, "Linear Regression": linear}
+MODELS: dict[str, Callable[..., Estimator]] = {
+    "Boosted Trees": boosted_trees,
+    "Random Forest": random_forest,
+    "Linear Regression": linear,
+}
 
 
 def metrics(predictions: DataFrame, weight: str = "weight") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.measures import revenue, rows
 from ..functions.numeric import half_even, ratio
-from ..functions.text import count_text, money, percent, signed, thousands
+from ..functions.text import count_text, money, percent, plain_number, signed, thousands
 from ..schema import COST_SHARE
 from .kpi import known
 
@@ -143,10 +143,14 @@ def comparison(projected: DataFrame) -> DataFrame:
 def summary_table(projected: DataFrame) -> DataFrame:
     """Baseline against scenario as display texts, with the revenue change as last line."""
     change = ratio(F.col("revenue_delta"), F.col("base_revenue")) * 100
+
+    def order_value(column: str) -> Column:
+        return F.concat(F.lit("$"), plain_number(F.col(column), 2))
+
     lines = [
         ("Revenue", money(F.col("base_revenue")), money(F.col("scenario_revenue"))),
         ("Transactions", count_text(F.col("base_transactions")), count_text(F.col("scenario_transactions"))),
-        ("Avg Order Value", money(F.col("base_avg_order"), 2), money(F.col("scenario_avg_order"), 2)),
+        ("Avg Order Value", order_value("base_avg_order"), order_value("scenario_avg_order")),
         ("Profit", money(F.col("base_profit")), money(F.col("scenario_profit"))),
         ("Change (%)", F.lit("—"), signed(percent(change), F.col("revenue_delta"))),
     ]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.ordered import arg_best
 from ..operators import (
     anomaly, clean, demand, inventory, kpi, learning, ranking, rolling, series, shape, workforce,
 )
@@ -32,8 +33,6 @@ def _baseline(spark, folder):
 
 def ag17(spark, folder):
     """The best and the worst day."""
-    from ..functions.ordered import arg_best
-
     days = kpi.daily_sales(line_sales(spark, folder))
     best = arg_best(days, "Revenue", "date").withColumn("which", F.lit("best"))
     worst = arg_best(days, "Revenue", "date", largest=False).withColumn("which", F.lit("worst"))
@@ -158,7 +157,9 @@ QUERIES = {
     "so4_first_rows": so4,
     "so5_weekday_order": lambda s, f: ranking.by_weekday(kpi.weekday_units(line_sales(s, f))),
     "so6_sample": lambda s, f: ranking.sample_rows(sales(s, f), 200).select("transaction_id", "revenue"),
-    "se1_distinct_rows": lambda s, f: plain(clean.drop_duplicate_rows(transactions.from_text(adapters.garbled_events(s, f)))),
+    "se1_distinct_rows": lambda s, f: plain(
+        clean.drop_duplicate_rows(transactions.from_text(adapters.garbled_events(s, f)))
+    ),
     "se2_train_and_test": se2,
     "se3_tagged_union": se3,
     "se4_stacked_totals": se4,
@@ -219,7 +220,10 @@ _FEED = (
     f" transaction_qty, unit_price, {even('revenue', 2)} AS revenue"
 )
 _TXN = f"transaction_id, {TIME}, transaction_qty, unit_price, store_location, product_category, product_type"
-_PERF = f'SELECT store_location, {m()} AS "Revenue", count(transaction_id) AS "Transactions", {q()} AS "Quantity" FROM li GROUP BY 1'
+_PERF = (
+    f'SELECT store_location, {m()} AS "Revenue", count(transaction_id) AS "Transactions",'
+    f' {q()} AS "Quantity" FROM li GROUP BY 1'
+)
 _DAILY = f'SELECT CAST(date AS VARCHAR) AS date, {m()} AS "Revenue", {q()} AS "Quantity" FROM {{t}} GROUP BY date'
 
 ORACLE = {
@@ -334,7 +338,8 @@ ORACLE = {
     "jo5_star_join": over(LI, f"SELECT {_TXN} FROM li"),
     "jo6_gap_fill": over(
         EV,
-        f"""--with h AS (SELECT store_location, date_trunc('hour', transaction_time) AS ds, {q()} AS y FROM ev GROUP BY ALL),
+        f"""--with
+        h AS (SELECT store_location, date_trunc('hour', transaction_time) AS ds, {q()} AS y FROM ev GROUP BY ALL),
         calendar AS (SELECT store_location, unnest(generate_series(min(ds), max(ds), INTERVAL 1 HOUR)) AS ds
           FROM h GROUP BY 1)
         SELECT store_location AS series_key, strftime(ds, '%Y-%m-%d %H:%M:%S') AS ds, coalesce(y, 0.0) AS y

@@ -226,13 +226,13 @@ _COMPARED = " UNION ALL ".join(
 )
 _SUMMARY = " UNION ALL ".join(
     [
-        f"""SELECT scenario_id, '{t}' AS "Metric", '{sign}' || format('{{:,.{k}f}}', CAST({b} AS DOUBLE)) AS "Baseline",
-        '{sign}' || format('{{:,.{k}f}}', CAST({s} AS DOUBLE)) AS "Scenario" FROM y"""
-        for (t, b, s), sign, k in zip(_NUMBER_LINES, ["$", "", "$", "$"], [0, 0, 2, 0])
+        f"""SELECT scenario_id, '{t}' AS "Metric", '{sign}' || format('{{:{k}f}}', CAST({b} AS DOUBLE)) AS "Baseline",
+        '{sign}' || format('{{:{k}f}}', CAST({s} AS DOUBLE)) AS "Scenario" FROM y"""
+        for (t, b, s), sign, k in zip(_NUMBER_LINES, ["$", "", "$", "$"], [",.0", ",.0", ".2", ",.0"])
     ]
     + [
         """SELECT scenario_id, 'Change (%)', '—', CASE WHEN sr >= R THEN '+' ELSE '' END
-        || format('{:,.1f}', (sr - R) / R * 100) || '%' FROM y"""
+        || format('{:.1f}', (sr - R) / R * 100) || '%' FROM y"""
     ]
 )
 
