@@ -24,7 +24,7 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     every later reader sees the same rows.
     """
     path = shared_path(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, url_filter
+from . import exact_dedup, mixing, packing, token_counts, url_filter
 
-MODULES = [exact_dedup, mixing, url_filter]
+MODULES = [token_counts, exact_dedup, packing, mixing, url_filter]
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLE", {}).items()}
