@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, token_counts, topk_search, url_filter
+from . import exact_dedup, mixing, packing, secret_scan, token_counts, topk_search, url_filter
 
-MODULES = [topk_search, token_counts, exact_dedup, packing, mixing, url_filter]
+MODULES = [topk_search, token_counts, exact_dedup, packing, mixing, url_filter, secret_scan]
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLE", {}).items()}
