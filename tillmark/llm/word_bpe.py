@@ -258,15 +258,13 @@ class WordIds:
 
     def of(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as machine words: 16 bits if the vocabulary fits, else 32."""
-        known, split, new = self.words, [], {}
+        known, split, unknown = self.words, [], set()
         for text in texts:
-            plain = not _NOT_PLAIN.search(text) and not ("<|" in text and _ANY_SPECIAL.search(text))
+            plain = (text.isascii() or not _NOT_PLAIN.search(text)) and not ("<|" in text and _ANY_SPECIAL.search(text))
             words = _BARE_WORD.findall(text.lower()) if plain else None
             split.append(words)
-            for word in words or ():
-                if word not in known:
-                    new[word] = b""
-        missing = list(new)
+            unknown.update(set(words or ()).difference(known))
+        missing, new = list(unknown), {}
         for at in range(0, len(missing), 4096):
             part = missing[at : at + 4096]
             ids = self.library.encode(" ".join(part), add_special_tokens=False).ids
@@ -279,12 +277,11 @@ class WordIds:
                 raise ValueError("the library splits words in another way")
         if len(known) + len(new) > 2 * REMEMBERED:
             both = known | new
-            found = [b"".join([both[w] for w in words]) if words is not None else None for words in split]
             known.clear()
-            known.update(list(new.items())[:REMEMBERED])
         else:
             known.update(new)
-            found = [b"".join([known[w] for w in words]) if words is not None else None for words in split]
+            both = known
+        found = [b"".join(map(both.__getitem__, words)) if words is not None else None for words in split]
         return [
             self._bytes(self.library.encode(text, add_special_tokens=False).ids) if ids is None else ids
             for text, ids in zip(texts, found)
