@@ -70,3 +70,27 @@ def salted_join(
     dealt = dealt.withColumn("_salt", F.coalesce(salt, F.lit(0))).drop("_parts")
     repeated = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
     return dealt.join(repeated.drop(count), [*keys, "_salt"], how).drop("_salt")
+
+
+#: Least and most bits of the bitmap that ``likely`` sends to all executors (at most 32 MB).
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+_ROW_BITS = 1 << 15
+
+
+def likely(rows: DataFrame, hashed: Column, keys: DataFrame, key_hash: Column) -> DataFrame:
+    """The rows whose hash may be that of a key: all that are, and few others.
+
+    Keeps rows that a join would leave out from its shuffle. What is broadcast is a bitmap of a
+    size that is bounded whatever the number of keys; more keys only let more rows through.
+    """
+    bits, wanted = LEAST_BITS, 16 * keys.count()
+    while bits < min(wanted, MOST_BITS):
+        bits *= 2
+    slot = F.pmod(key_hash, F.lit(bits)).cast("long")
+    maps = keys.select(F.floor(slot / _ROW_BITS).alias("_map"), (slot % _ROW_BITS).alias("_bit"))
+    maps = stored(maps.groupBy("_map").agg(F.bitmap_construct_agg("_bit").alias("_bits")), "bitmap")
+    slot = F.pmod(hashed, F.lit(bits)).cast("long")
+    placed = rows.withColumns({"_map": F.floor(slot / _ROW_BITS), "_bit": slot % _ROW_BITS})
+    byte = F.conv(F.hex(F.substr("_bits", (F.floor(F.col("_bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = byte.bitwiseAND(F.pow(F.lit(2), F.col("_bit") % 8).cast("int")) != 0
+    return placed.join(F.broadcast(maps), "_map").where(held).drop("_map", "_bit", "_bits")

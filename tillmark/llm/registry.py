@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, quality, secret_scan, token_counts, topk_search, url_filter
+from . import exact_dedup, line_dedup, mixing, packing, quality, secret_scan, token_counts, topk_search, url_filter
 
-MODULES = [quality, topk_search, token_counts, exact_dedup, packing, mixing, url_filter, secret_scan]
+MODULES = [quality, topk_search, token_counts, exact_dedup, packing, mixing, line_dedup, url_filter, secret_scan]
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLE", {}).items()}
