@@ -58,16 +58,19 @@ def _projection() -> np.ndarray:
     return np.random.RandomState(20240517).standard_normal((BUCKETS, DIMENSIONS)) / np.sqrt(DIMENSIONS)
 
 
-def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
+@lru_cache(1)
+def _hashed(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and sign of each token id."""
+    spread = np.arange(size, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+    return (spread % np.uint64(BUCKETS)).astype(np.int64), np.where(spread & np.uint64(1 << 20), 1.0, -1.0)
+
+
+def curve_keys(ids: list[np.ndarray], vocabulary_size: int = 1 << 16) -> np.ndarray:
     """Hilbert keys of documents given by their token ids."""
     if not ids:
         return np.zeros(0, np.int64)
-    flat = np.concatenate(ids).astype(np.uint64)
-    hashed = flat * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
-    owner = np.repeat(np.arange(len(ids)), [len(d) for d in ids])
-    sign = np.where(hashed & np.uint64(1 << 20), 1.0, -1.0)
-    cell = owner * BUCKETS + (hashed % np.uint64(BUCKETS)).astype(np.int64)
-    vectors = np.bincount(cell, sign, len(ids) * BUCKETS).reshape(len(ids), BUCKETS)
+    bucket, sign = _hashed(vocabulary_size)
+    vectors = np.stack([np.bincount(bucket[d], sign[d], BUCKETS) for d in ids])
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     spread = np.tanh(vectors @ _projection()) * 0.5 + 0.5
     return hilbert_keys(np.minimum((spread * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS)
@@ -76,7 +79,7 @@ def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
 def _encoded(rows: DataFrame, vocabulary: str) -> DataFrame:
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_ids(vocabulary)
-        kind = np.dtype(np.uint16 if encode.small else np.uint32)
+        kind, size = encode.kind, len(encode.ends)
         end = np.array([END_ID], kind).tobytes()
         for batch in source:
             for at in range(0, batch.num_rows, 256):
@@ -85,7 +88,7 @@ def _encoded(rows: DataFrame, vocabulary: str) -> DataFrame:
                 arrays = [np.frombuffer(d, kind) for d in ids]
                 columns = [
                     part.column(0),
-                    pa.array(curve_keys(arrays), pa.int64()),
+                    pa.array(curve_keys(arrays, size), pa.int64()),
                     pa.array([len(a) for a in arrays], pa.int64()),
                     pa.array(ids, pa.binary()),
                 ]
@@ -111,8 +114,7 @@ def _in_order(encoded: DataFrame) -> DataFrame:
     return ranged.mapInArrow(batches, "id long, range int, n long, ids binary, local long")
 
 
-def _cut(placed: DataFrame, size: int, wide: bool) -> DataFrame:
-    kind = np.uint32 if wide else np.uint16
+def _cut(placed: DataFrame, size: int, kind: np.dtype) -> DataFrame:
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     names = [field.split()[0] for field in schema.split(", ")]
 
@@ -153,7 +155,7 @@ def pack(
     earlier = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     ranges = ranges.select("range", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("base"))
     placed = ordered.join(F.broadcast(ranges), "range").select("id", "n", "ids", (F.col("base") + F.col("local")).alias("place"))
-    return _cut(placed, size, not word_ids(vocabulary).small)
+    return _cut(placed, size, word_ids(vocabulary).kind)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

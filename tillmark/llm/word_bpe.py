@@ -15,9 +15,10 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from array import array
 from functools import lru_cache
 
+import numpy as np
+
 # The tokenizer's special strings, its contractions and its word-end mark.
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -243,18 +244,24 @@ class WordIds:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         vocab = self.library.get_vocab()
-        self.ends = bytearray(max(vocab.values()) + 1)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
             self.ends[i] = token.endswith(WORD_END)
-        self.small = len(self.ends) <= 1 << 16
+        self.kind = np.dtype(np.uint16 if len(self.ends) <= 1 << 16 else np.uint32)
+        # The same without what is already done to words: normalised and split.
+        self.of_words = Tokenizer.from_file(path)
+        self.of_words.normalizer = None
+        self.of_words.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         self.words: dict[str, bytes] = {}
 
-    def _bytes(self, ids: list[int]) -> bytes:
-        return array("H" if self.small else "I", ids).tobytes()
+    def _encode(self, library, text: str) -> np.ndarray:
+        return np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
     def of(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as machine words: 16 bits if the vocabulary fits, else 32."""
@@ -267,14 +274,12 @@ class WordIds:
         missing, new = list(unknown), {}
         for at in range(0, len(missing), 4096):
             part = missing[at : at + 4096]
-            ids = self.library.encode(" ".join(part), add_special_tokens=False).ids
-            start = word = 0
-            for i, token in enumerate(ids, 1):
-                if self.ends[token]:
-                    new[part[word]] = self._bytes(ids[start:i])
-                    start, word = i, word + 1
-            if word != len(part):
+            ids = self._encode(self.of_words, " ".join(part))
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist()
+            if len(ends) != len(part):
                 raise ValueError("the library splits words in another way")
+            data = ids.tobytes()
+            new.update({word: data[start:end] for word, start, end in zip(part, [0, *ends], ends)})
         if len(known) + len(new) > 2 * REMEMBERED:
             both = known | new
             known.clear()
@@ -283,7 +288,7 @@ class WordIds:
             both = known
         found = [b"".join(map(both.__getitem__, words)) if words is not None else None for words in split]
         return [
-            self._bytes(self.library.encode(text, add_special_tokens=False).ids) if ids is None else ids
+            self._encode(self.library, text).tobytes() if ids is None else ids
             for text, ids in zip(texts, found)
         ]
 
