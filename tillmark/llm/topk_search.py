@@ -77,12 +77,10 @@ class Best:
 
 def _scores(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
     """Whole inner products; in floating point where that is exact, which BLAS makes fast."""
-    bound = (np.abs(queries).max(initial=0) * np.abs(points).max(initial=0)) * queries.shape[1]
-    if bound < 2**53:
-        return queries.astype(float) @ points.T.astype(float)
-    if bound >= 2**63:
-        raise OverflowError("an inner product may not fit a 64-bit integer")
-    raise OverflowError("inner products beyond 2**53 cannot be ranked exactly")
+    most = [int(np.abs(x).max(initial=0)) for x in (queries, points)]
+    if most[0] * most[1] * queries.shape[1] >= 2**53:
+        raise OverflowError("inner products from 2**53 on cannot be ranked exactly")
+    return queries.astype(float) @ points.T.astype(float)
 
 
 def search_shard(
@@ -92,7 +90,7 @@ def search_shard(
     """Take the best of a shard into ``best``. ``points`` and ``ids`` lie in the tree's order."""
     nodes, lengths = tree["nodes"], np.linalg.norm(queries.astype(float), axis=1)
     # A rounding margin keeps a bound from falling below a score it stands for.
-    bounds = (queries.astype(float) @ tree["centres"].T + lengths[:, None] * tree["radii"]) * 1.0
+    bounds = queries.astype(float) @ tree["centres"].T + lengths[:, None] * tree["radii"]
     bounds += 1e-9 * (np.abs(bounds) + lengths[:, None] * (np.linalg.norm(tree["centres"], axis=1) + tree["radii"])) + 1e-6
     open_ = np.zeros(bounds.shape, bool)
     open_[:, 0] = True

@@ -40,7 +40,9 @@ _NUMBER = _ranges(lambda kind, _: kind[0] == "N")
 _SPACE = "\t\n\v\f\r \x85\xa0"
 _WORD = rf"(?:{'|'.join(CONTRACTIONS)}|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+)"
 _SPACED_WORD = re.compile(rf"[{_SPACE}]*{_WORD}")
-_NOT_PLAIN = re.compile(rf"[^\x00-{chr(PLAIN_LIMIT - 1)}]|İ")
+#: Characters whose lower case lies elsewhere or is longer.
+_LEAVING = "".join(c for c in map(chr, range(PLAIN_LIMIT)) if len(c.lower()) > 1 or ord(c.lower()) >= PLAIN_LIMIT)
+_NOT_PLAIN = re.compile(rf"[^\x00-{chr(PLAIN_LIMIT - 1)}]|[{_LEAVING}]")
 _ANY_SPECIAL = re.compile("(" + "|".join(map(re.escape, SPECIAL)) + ")")
 _BARE_WORD = re.compile(_WORD)
 
