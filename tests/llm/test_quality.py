@@ -28,7 +28,7 @@ def test_grades_of_held_out_documents(spark):
     held_out = docs.where("doc_id % 4 = 0").join(ratings, "doc_id")
     scored = q.score(held_out, model).select(F.col("_row.grade").alias("grade"), (F.col("tail") >= q.KEEP).cast("double").alias("kept"))
     kept = {r["grade"]: r["kept"] for r in scored.groupBy("grade").agg(F.avg("kept").alias("kept")).collect()}
-    assert kept[2] > 0.97 and kept[1] < 0.25 and kept[0] < 0.15
+    assert kept[2] > 0.97 and kept[1] < 0.2 and kept[0] < 0.25
 
 
 def test_odd_documents_and_ratings(spark, odd_docs, no_docs):

@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 from .common import packed, stored, table, text_of, unpacked
 
 #: Hashed features, rated documents the fit reads at most, steps, and strength of the L2 penalty.
-SIZE, MAX_RATED, STEPS, PENALTY = 1 << 16, 20_000, 26, 1e-3
+SIZE, MAX_RATED, STEPS, PENALTY = 1 << 16, 20_000, 30, 3e-4
 FIT_PARTS = 8
 REMEMBERED = 300_000
 SHAPES = ("again", "upper", "shout", "sign", "number", "link", "marks", "many", "long")
 #: Length of a text's word features taken together, and of each shape feature.
-WORD_LENGTH, SHAPE_LENGTH = 20.0, 3.0
+WORD_LENGTH, SHAPE_LENGTH = 24.0, 3.0
 CUTS = (0.01, 0.03, 0.08, 0.2, 0.4, 0.6, 0.8)
 _EDGE = re.compile(r"^\W+|\W+$")
 _MARKS = re.compile(r"[^\w\s.]{2}")
