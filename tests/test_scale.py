@@ -100,3 +100,18 @@ def test_columns_are_pruned_and_filters_pushed(spark, folder):
     read = scan.split("ReadSchema: ")[1]
     assert "l_discount" not in read and "l_orderkey" not in read
     assert "GreaterThanOrEqual(l_shipdate" in scan
+
+
+def test_money_sums_lose_nothing(spark):
+    """Totals beyond 64-bit ten-thousandths, amounts far below them, and what is no amount."""
+    from tillmark.functions.numeric import money_total
+
+    def total(df):
+        return df.select(money_total("v").alias("t")).first()["t"]
+
+    assert total(spark.createDataFrame([(6e14,), (6e14,), (-1.5,)], "v double")) == 1.2e15 - 1.5
+    assert total(spark.range(1_000_000).selectExpr("0.00004D AS v")) == 40.0
+    assert total(spark.createDataFrame([(float("nan"),), (None,), (float("-inf"),), (0.25,)], "v double")) == 0.25
+    assert total(spark.createDataFrame([], "v double")) == 0.0
+    values = spark.range(10_000).selectExpr("(id % 977) * 1.37 - 300 AS v")
+    assert total(values) == total(values.repartition(13))

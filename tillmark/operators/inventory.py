@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.measures import revenue, units
-from ..functions.numeric import half_even, money_units, ratio, spread
+from ..functions.numeric import MONEY, half_even, ratio, spread
 from ..functions.ordered import running_sum
 from ..functions.text import percent
 from ..schema import ABC_CUTS, BAND_Z, HOLDING_RATE, ORDER_BUFFER, ORDER_COST, RISK_CUTS
@@ -19,15 +19,15 @@ from .kpi import daily_spread, known, value_counts
 def abc_classes(df: DataFrame, key: str = "product_category") -> DataFrame:
     """Class A up to 70 % of cumulative revenue, B up to 90 %, then C; best seller first.
 
-    Works for any number of keys: the running sum is taken range by range, in whole money
-    units, and the facts are read once.
+    Works for any number of keys: the running sum is taken range by range, in exact decimals,
+    and the facts are read once.
     """
     totals = known(df, key).groupBy(key).agg(revenue().alias("Revenue"), units().alias("Quantity"))
-    totals = totals.withColumn("_units", money_units(F.col("Revenue")))
-    ranked = running_sum(totals, [F.desc("Revenue"), F.col(key)], {"_upto": "_units"})
-    whole = ranked.agg(F.sum("_units")).scalar()
-    share = ratio(F.col("_units"), whole) * 100
-    upto = ratio(F.col("_upto"), whole) * 100
+    totals = totals.withColumn("_exact", F.col("Revenue").cast(MONEY))
+    ranked = running_sum(totals, [F.desc("Revenue"), F.col(key)], {"_upto": "_exact"})
+    whole = ranked.agg(F.sum("_exact").cast("double")).scalar()
+    share = ratio(F.col("Revenue"), whole) * 100
+    upto = ratio(F.col("_upto").cast("double"), whole) * 100
     label = F.when(upto <= ABC_CUTS[0], "A").when(upto <= ABC_CUTS[1], "B").otherwise("C")
     return ranked.select(
         key, "Revenue", "Quantity", share.alias("Revenue_Pct"), upto.alias("Cumulative_Pct"),

@@ -197,14 +197,14 @@ plan AS (SELECT *, CAST(ceil(u / 30) AS BIGINT) AS staff FROM slots)
 _ABC = """--with
 c AS (SELECT {key}, {m} AS r FROM li GROUP BY 1),
 w AS (SELECT *, r / sum(r) OVER () * 100 AS p,
-  CAST(sum(CAST(r * 10000 AS DECIMAL(38, 0))) OVER (ORDER BY r DESC, {key}) AS DOUBLE)
-  / CAST(sum(CAST(r * 10000 AS DECIMAL(38, 0))) OVER () AS DOUBLE) * 100 AS u FROM c)
+  CAST(sum(CAST(r AS DECIMAL(38, 9))) OVER (ORDER BY r DESC, {key}) AS DOUBLE)
+  / CAST(sum(CAST(r AS DECIMAL(38, 9))) OVER () AS DOUBLE) * 100 AS u FROM c)
 """
 _MA = """--with
 h AS (SELECT {key} AS series_key, date_trunc('hour', transaction_time) AS ds, {y} AS y FROM ev GROUP BY ALL),
 ends AS (SELECT series_key, max(ds) AS last FROM h GROUP BY 1),
 level AS (SELECT h.series_key, last,
-  CAST(sum(CAST(round_even(y * 10000, 0) AS BIGINT)) AS DOUBLE) / 1e4 / 3 AS yhat
+  CAST(sum(CAST(y AS DECIMAL(38, 9))) AS DOUBLE) / 3 AS yhat
   FROM h JOIN ends USING (series_key) WHERE ds > last - INTERVAL 3 HOUR GROUP BY ALL)
 """
 _TICKET = "CAST('0x' || substr(md5(CAST(transaction_id AS VARCHAR)), {start}, 8) AS BIGINT)"
@@ -286,7 +286,7 @@ ORACLE = {
         EV,
         _MA.format(key="store_location", y=q())
         + """SELECT CAST(hour(last + to_hours(CAST(i AS INTEGER))) AS INTEGER) AS hour,
-          round(CAST(sum(CAST(round_even(yhat * 10000, 0) AS BIGINT)) AS DOUBLE) / 1e4, 6) AS yhat
+          round(CAST(sum(CAST(yhat AS DECIMAL(38, 9))) AS DOUBLE), 6) AS yhat
         FROM level, range(1, 13) AS r(i) GROUP BY 1""",
     ),
     "ag19_revenue_share": over(
@@ -348,8 +348,8 @@ ORACLE = {
     "wi1_percent_of_total": over(
         LI,
         _ABC.format(key="product_category", m=m())
-        + """SELECT product_category, CAST(CAST(r * 10000 AS DECIMAL(38, 0)) AS DOUBLE)
-          / CAST(sum(CAST(r * 10000 AS DECIMAL(38, 0))) OVER () AS DOUBLE) * 100 AS "Revenue_Pct" FROM w""",
+        + """SELECT product_category, CAST(CAST(r AS DECIMAL(38, 9)) AS DOUBLE)
+          / CAST(sum(CAST(r AS DECIMAL(38, 9))) OVER () AS DOUBLE) * 100 AS "Revenue_Pct" FROM w""",
     ),
     "wi2_running_percent": over(
         LI, _ABC.format(key="product_type", m=m()) + 'SELECT product_type, u AS "Cumulative_Pct" FROM w'

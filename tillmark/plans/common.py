@@ -111,7 +111,7 @@ def over(base: str, sql: str) -> str:
 
 def m(column: str = "revenue") -> str:
     """Money total."""
-    return f"(coalesce(sum(CAST(round_even({column} * 10000, 0) AS BIGINT)), 0) / 1e4)"
+    return f"CAST(coalesce(sum(CAST({column} AS DECIMAL(38, 9))), 0) AS DOUBLE)"
 
 
 def q(column: str = "transaction_qty") -> str:

@@ -81,7 +81,7 @@ def _level(key: str, y: str, where: str = "true") -> str:
 h AS (SELECT {key} AS series_key, date_trunc('hour', transaction_time) AS ds, {y} AS y FROM ev WHERE {where} GROUP BY ALL),
 ends AS (SELECT series_key, max(ds) AS last, min(ds) AS first FROM h GROUP BY 1),
 level AS (SELECT h.series_key, last,
-  CAST(sum(CAST(round_even(y * 10000, 0) AS BIGINT)) AS DOUBLE) / 1e4 / 3 AS yhat
+  CAST(sum(CAST(y AS DECIMAL(38, 9))) AS DOUBLE) / 3 AS yhat
   FROM h JOIN ends USING (series_key)
   WHERE ds > last - INTERVAL 3 HOUR AND date_diff('hour', first, last) >= 2 GROUP BY ALL)
 """
@@ -124,7 +124,7 @@ ORACLE = {
         EV,
         _level("store_location", m())
         + """SELECT CAST(hour(last + to_hours(CAST(i AS INTEGER))) AS INTEGER) AS hour,
-          round(CAST(sum(CAST(round_even(yhat * 10000, 0) AS BIGINT)) AS DOUBLE) / 1e4, 6) AS yhat
+          round(CAST(sum(CAST(yhat AS DECIMAL(38, 9))) AS DOUBLE), 6) AS yhat
         FROM level, range(1, 25) AS r(i) GROUP BY 1""",
     ),
     "ts8_forecast_table": over(

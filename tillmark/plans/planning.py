@@ -195,7 +195,7 @@ o AS (SELECT *, {even("upper_bound * 1.1::DOUBLE")} AS recommended_order,
 
 _ABC = """--with
 c AS (SELECT {key}, {m} AS r, {q} AS u FROM li GROUP BY 1),
-i AS (SELECT *, CAST(r * 10000 AS DECIMAL(38, 0)) AS k FROM c),
+i AS (SELECT *, CAST(r AS DECIMAL(38, 9)) AS k FROM c),
 w AS (SELECT {key}, r AS "Revenue", u AS "Quantity",
   CAST(k AS DOUBLE) / CAST(sum(k) OVER () AS DOUBLE) * 100 AS "Revenue_Pct",
   CAST(sum(k) OVER (ORDER BY r DESC, {key}) AS DOUBLE) / CAST(sum(k) OVER () AS DOUBLE) * 100 AS "Cumulative_Pct"
