@@ -101,10 +101,52 @@ def test_arima_recovers_known_coefficients():
 
 
 def test_seasonal_fit_is_finite_on_the_shortest_history():
-    bands = seasonal_fit(np.arange(7.0), np.array([3, 1, 4, 1, 5, 9, 2.0]), 30, 1.96)
+    bands = seasonal_fit(np.arange(7.0), np.array([3, 1, 4, 1, 5, 9, 2.0]), np.arange(7.0, 37), 1.96)
     assert bands.shape == (37, 3) and np.isfinite(bands).all()
 
 
+@pytest.mark.parametrize("history,ahead", [(60, 90), (180, 90), (14, 30)])
+def test_a_straight_line_goes_on(history, ahead):
+    days = np.arange(float(history + ahead))
+    line = 100 + 10 * days
+    future = seasonal_fit(days[:history], line[:history], days[history:], 1.96)[history:, 0]
+    assert future == pytest.approx(line[history:], rel=0.1)
+
+
+@pytest.mark.parametrize("noise", [0.3, 0.6, 0.9])
+def test_fitted_values_are_means(noise):
+    rng = np.random.default_rng(3)
+    days = np.arange(700.0)
+    y = 200 * np.exp(rng.normal(0, noise, 700))
+    assert seasonal_fit(days, y, days[:0], 1.96)[:, 0].sum() == pytest.approx(y.sum(), rel=0.02)
+
+
+def test_trend_weekday_and_year_are_recovered():
+    rng = np.random.default_rng(4)
+    days = np.arange(1200.0)
+    trend = 100 + 0.2 * days + 0.3 * np.maximum(0, days - 400)
+    truth = trend * (1 + 0.3 * np.sin(2 * np.pi * days / 7) + 0.2 * np.cos(2 * np.pi * days / 365.25))
+    fit = seasonal_fit(days[:1100], truth[:1100] * (1 + rng.normal(0, 0.05, 1100)), days[1100:], 1.96)
+    assert np.abs(fit[:, 0] / truth - 1).mean() < 0.02
+    assert np.abs(fit[1100:, 0] / truth[1100:] - 1).mean() < 0.05
+
+
+def test_hours_have_a_daily_season(sell):
+    start = pd.Timestamp("2024-01-01")
+    values = [100 + 60 * np.sin(2 * np.pi * h / 24) for h in range(24 * 28)]
+    sales = sell([(str(start + pd.Timedelta(hours=h)), v, 1, "a", "x") for h, v in enumerate(values)])
+    got = series.seasonal_forecast(sales, "transaction_qty", periods=24, freq="hour")
+    future = series.future_only(got).orderBy("ds").toPandas()
+    assert str(future["ds"].iloc[0]) == "2024-01-29 00:00:00"
+    assert future["yhat"].to_numpy() == pytest.approx(values[:24], rel=0.05)
+
+
+def test_a_sentinel_date_is_an_error(sell):
+    sales = sell([(HOUR.format(1, 0), 1, 1, "a", "x"), ("9999-12-31 00:00:00", 1, 1, "a", "x")])
+    with pytest.raises(Exception, match="years without sales"):
+        series.resample(sales).collect()
+
+
 def test_comparison_has_all_models(sell):
     sales = sell(daily(sell, range(1, 40)))
     got = series.compare_forecasts(sales, "transaction_qty")

@@ -1,4 +1,4 @@
-"""Small least-squares fits of one daily series, used inside grouped Pandas functions."""
+"""Small least-squares fits of one series of buckets, used inside grouped Pandas functions."""
 
 from __future__ import annotations
 
@@ -12,42 +12,63 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHANGEPOINTS = 25
 CHANGEPOINT_RANGE = 0.8
-YEARLY_TERMS = 10
-WEEKLY_TERMS = 3
 CHANGEPOINT_SCALE = 0.05
+#: Period in days and number of waves of the seasons, and how large they are before seeing data.
+YEAR, WEEK, DAY = (365.25, 10), (7.0, 3), (1.0, 4)
 SEASON_SCALE = 0.2
+ROUNDS = 30
 
 
-def _design(days: np.ndarray, start: float, span: float) -> np.ndarray:
-    """Trend with hinges in the first part of the history, yearly and weekly waves."""
+def _trend(days: np.ndarray, start: float, span: float) -> np.ndarray:
+    """A line with hinges in the first part of the history."""
     t = (days - start) / span
     hinges = np.linspace(0, CHANGEPOINT_RANGE, CHANGEPOINTS + 1)[1:]
-    waves = [
-        wave(2 * np.pi * k * days / period)
-        for period, terms in ((365.25, YEARLY_TERMS), (7.0, WEEKLY_TERMS))
-        for k in range(1, terms + 1)
-        for wave in (np.sin, np.cos)
-    ]
-    return np.column_stack([np.ones_like(t), t, np.maximum(0, t[:, None] - hinges), *waves])
+    return np.column_stack([np.ones_like(t), t, np.maximum(0, t[:, None] - hinges)])
 
 
-def seasonal_fit(days: np.ndarray, y: np.ndarray, ahead: int, z: float) -> np.ndarray:
-    """Ridge fit on log values; columns yhat, lower, upper for the history and ``ahead`` days."""
+def _waves(days: np.ndarray, daily: bool) -> np.ndarray:
+    seasons = [YEAR, WEEK, DAY] if daily else [YEAR, WEEK]
+    return np.column_stack(
+        [wave(2 * np.pi * k * days / period) for period, terms in seasons for k in range(1, terms + 1) for wave in (np.sin, np.cos)]
+    )
+
+
+def seasonal_fit(days: np.ndarray, y: np.ndarray, ahead: np.ndarray, z: float, daily: bool = False) -> np.ndarray:
+    """Linear trend with hinges, times one plus the seasons: yhat, lower, upper for the history and
+    the days ``ahead``. ``yhat`` is the mean.
+
+    Both factors are linear in their own coefficients, so they are fitted in turn by ridge
+    regression, each with the other one fixed, until the values no longer change.
+    """
     start, span = days[0], max(days[-1] - days[0], 1.0)
-    x = _design(days, start, span)
-    waves = x.shape[1] - 2 - CHANGEPOINTS
-    prior = np.r_[10.0, 10.0, np.full(CHANGEPOINTS, CHANGEPOINT_SCALE), np.full(waves, SEASON_SCALE)]
-    logs = np.log(y)
-    noise = max(logs.var(), 1e-6)
-    for _ in range(5):
-        inverse = np.linalg.inv(x.T @ x + np.diag(noise / prior**2))
-        beta = inverse @ (x.T @ (logs - logs.mean()))
-        noise = max(np.mean((logs - logs.mean() - x @ beta) ** 2), 1e-8)
-    where = np.r_[days, days[-1] + np.arange(1, ahead + 1)]
-    rows = _design(where, start, span)
-    center = logs.mean() + rows @ beta
-    width = z * np.sqrt(noise * (1 + np.einsum("ij,jk,ik->i", rows, inverse, rows)))
-    return np.exp(np.column_stack([center, center - width, center + width]))
+    scale = np.abs(y).max() or 1.0
+    trend, waves, target = _trend(days, start, span), _waves(days, daily), y / scale
+    priors = [np.r_[10.0, 10.0, np.full(CHANGEPOINTS, CHANGEPOINT_SCALE)], np.full(waves.shape[1], SEASON_SCALE)]
+    noise = max(target.var(), 1e-6)
+
+    def ridge(x: np.ndarray, values: np.ndarray, prior: np.ndarray) -> np.ndarray:
+        return np.linalg.solve(x.T @ x + np.diag(noise / prior**2), x.T @ values)
+
+    season, fitted = np.zeros_like(target), np.zeros_like(target)
+    for _ in range(ROUNDS):
+        line = ridge(trend * (1 + season)[:, None], target, priors[0])
+        base = trend @ line
+        wave = ridge(waves * base[:, None], target - base, priors[1])
+        season = waves @ wave
+        before, fitted = fitted, base * (1 + season)
+        noise = max(np.mean((target - fitted) ** 2), 1e-10)
+        if np.abs(fitted - before).max() < 1e-9:
+            break
+    # Both factors together, linear around the fit, for the width of the band.
+    joint = np.column_stack([trend * (1 + season)[:, None], waves * base[:, None]])
+    spread = np.linalg.inv(joint.T @ joint + np.diag(noise / np.concatenate(priors) ** 2))
+    where = np.r_[days, ahead]
+    trend, waves = _trend(where, start, span), _waves(where, daily)
+    base, season = trend @ line, waves @ wave
+    joint = np.column_stack([trend * (1 + season)[:, None], waves * base[:, None]])
+    width = z * np.sqrt(noise * (1 + np.maximum(np.einsum("ij,jk,ik->i", joint, spread, joint), 0)))
+    center = base * (1 + season)
+    return scale * np.column_stack([center, center - width, center + width])
 
 
 def arima_212(y: np.ndarray, ahead: int) -> np.ndarray:

@@ -30,6 +30,7 @@ from .shape import stack
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ALL = "All Stores"
+MAX_GAP_DAYS = 3660
 STEPS = {"hour": "1 hour", "day": "1 day"}
 
 
@@ -66,11 +67,15 @@ def hour_sums(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def resample(df: DataFrame, target: str = "revenue", freq: str = "hour", by: Sequence[str] = ()) -> DataFrame:
     """The same with a 0 for every bucket between first and last sale that has none.
 
-    Each bucket row is expanded up to the next one, so the calendar needs no join.
+    Each bucket row is expanded up to the next one, so the calendar needs no join. A gap of more
+    than ``MAX_GAP_DAYS`` between two sales is an error: it comes from a wrong date, and would be filled in one row.
     """
     step = F.expr(f"INTERVAL {STEPS[freq]}")
     following = F.lead("ds").over(W.partitionBy("series_key").orderBy("ds"))
-    sums = bucket_sums(df, target, freq, by).withColumn("_until", F.coalesce(following - step, F.col("ds")))
+    wide = F.datediff(following, F.col("ds")) > MAX_GAP_DAYS
+    message = F.concat(F.lit("years without sales after "), F.col("ds").cast("string"))
+    until = F.when(wide, F.raise_error(message).cast("timestamp")).otherwise(F.coalesce(following - step, F.col("ds")))
+    sums = bucket_sums(df, target, freq, by).withColumn("_until", until)
     filled = sums.select(
         "series_key", "ds", "y", F.explode(F.sequence("ds", "_until", step)).alias("_slot")
     )
@@ -129,34 +134,42 @@ def forecast_table(forecast: DataFrame, target: str = "revenue") -> DataFrame:
 # --- fitted forecasts: one small least-squares fit per daily series -------------------------
 
 
-def _daily_positive(df: DataFrame, target: str, by: Sequence[str], minimum: int) -> DataFrame:
-    """Daily series without empty days, of those series that have enough days.
+def _positive(df: DataFrame, target: str, freq: str, by: Sequence[str], minimum: int) -> DataFrame:
+    """Series without empty buckets, of those series that have enough buckets.
 
-    The number of partitions is given, or the small daily rows would be merged into a few tasks
+    The number of partitions is given, or the small rows would be merged into a few tasks
     by size, and the fits, which cost time rather than bytes, would wait for each other. The
     window and the grouped fit both use this one partitioning.
     """
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    days = bucket_sums(df, target, "day", by).where(F.col("y") > 0).repartition(tasks, "series_key")
-    counted = days.withColumn("_days", F.count(F.lit(1)).over(W.partitionBy("series_key")))
-    return counted.where(F.col("_days") >= minimum).drop("_days")
+    rows = bucket_sums(df, target, freq, by).where(F.col("y") > 0).repartition(tasks, "series_key")
+    counted = rows.withColumn("_buckets", F.count(F.lit(1)).over(W.partitionBy("series_key")))
+    return counted.where(F.col("_buckets") >= minimum).drop("_buckets")
 
 
 def seasonal_forecast(
-    df: DataFrame, target: str = "revenue", by: Sequence[str] = (), periods: int = 30, z: float = 1.96
+    df: DataFrame,
+    target: str = "revenue",
+    by: Sequence[str] = (),
+    periods: int = 30,
+    z: float = 1.96,
+    freq: str = "day",
 ) -> DataFrame:
-    """``series_key, ds, yhat, yhat_lower, yhat_upper`` over the history and ``periods`` days.
+    """``series_key, ds, yhat, yhat_lower, yhat_upper`` over the history and ``periods`` buckets.
 
-    Multiplicative trend and seasons (a log-linear model with trend hinges and Fourier terms);
-    the default band is 95 %. Series with fewer than 7 days are left out.
+    A linear trend with hinges times one plus the seasons: yearly, weekly and, by the hour, daily
+    ones. The default band is 95 %. Series with fewer than 7 buckets are left out. One series is
+    one task, which its number of days (or hours) bounds.
     """
+    step = pd.Timedelta(days=1) if freq == "day" else pd.Timedelta(hours=1)
 
     def fit(series: pd.DataFrame) -> pd.DataFrame:
         series = series.sort_values("ds")
-        days = series["ds"].to_numpy("datetime64[D]").astype("int64").astype(float)
-        bands = seasonal_fit(days, series["y"].to_numpy(float), periods, z)
-        last = series["ds"].iloc[-1]
-        ds = [*series["ds"], *pd.date_range(last + pd.Timedelta(days=1), periods=periods, freq="D")]
+        future = pd.date_range(series["ds"].iloc[-1] + step, periods=periods, freq=step)
+        ds = pd.DatetimeIndex([*series["ds"], *future])
+        days = ds.to_numpy("datetime64[s]").astype("int64") / 86_400
+        n = len(series)
+        bands = seasonal_fit(days[:n], series["y"].to_numpy(float), days[n:], z, freq == "hour")
         return pd.DataFrame(
             {
                 "series_key": series["series_key"].iloc[0],
@@ -164,14 +177,14 @@ def seasonal_forecast(
                 "yhat": bands[:, 0],
                 "yhat_lower": bands[:, 1],
                 "yhat_upper": bands[:, 2],
-                "is_future": np.arange(len(ds)) >= len(series),
+                "is_future": np.arange(len(ds)) >= n,
             }
         )
 
     schema = (
         "series_key string, ds timestamp, yhat double, yhat_lower double, yhat_upper double, is_future boolean"
     )
-    return _daily_positive(df, target, by, 7).groupBy("series_key").applyInPandas(fit, schema)
+    return _positive(df, target, freq, by, 7).groupBy("series_key").applyInPandas(fit, schema)
 
 
 def future_only(forecast: DataFrame) -> DataFrame:
@@ -202,7 +215,19 @@ def arima_forecast(
         )
 
     schema = "series_key string, ds timestamp, yhat double"
-    return _daily_positive(df, target, by, 14).groupBy("series_key").applyInPandas(fit, schema)
+    return _positive(df, target, "day", by, 14).groupBy("series_key").applyInPandas(fit, schema)
+
+
+def comparison(forecasts: Sequence[tuple[str, str, DataFrame]]) -> DataFrame:
+    """Totals of forecasts (model, horizon, frame) per series, below each other."""
+    return stack(
+        [
+            forecast.groupBy("series_key")
+            .agg(F.sum("yhat").alias("Forecast Total"))
+            .select("series_key", F.lit(name).alias("Model"), "Forecast Total", F.lit(horizon).alias("Horizon"))
+            for name, horizon, forecast in forecasts
+        ]
+    )
 
 
 def compare_forecasts(
@@ -213,18 +238,12 @@ def compare_forecasts(
     seasonal_days: int = 30,
     arima_days: int = 14,
 ) -> DataFrame:
-    """Forecast totals of the three models, below each other, from one pass over the facts."""
+    """Forecast totals of the three models, from one pass over the facts."""
     df = hour_sums(df, by)
-    models = [
-        ("Moving Average", f"{hours}h", moving_average(df, target, by, hours)),
-        ("Seasonal Trend", f"{seasonal_days}d", future_only(seasonal_forecast(df, target, by, seasonal_days))),
-        ("ARIMA", f"{arima_days}d", arima_forecast(df, target, by, arima_days)),
-    ]
-    return stack(
+    return comparison(
         [
-            forecast.groupBy("series_key")
-            .agg(F.sum("yhat").alias("Forecast Total"))
-            .select("series_key", F.lit(name).alias("Model"), "Forecast Total", F.lit(horizon).alias("Horizon"))
-            for name, horizon, forecast in models
+            ("Moving Average", f"{hours}h", moving_average(df, target, by, hours)),
+            ("Seasonal Trend", f"{seasonal_days}d", future_only(seasonal_forecast(df, target, by, seasonal_days))),
+            ("ARIMA", f"{arima_days}d", arima_forecast(df, target, by, arima_days)),
         ]
     )

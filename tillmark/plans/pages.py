@@ -15,6 +15,7 @@ from ..functions.ordered import arg_best
 from ..functions.text import month_label
 from ..operators import anomaly, demand, filters, inventory, kpi, learning, ranking, rolling, scenario, series, shape
 from ..operators import workforce as staff
+from ..session import durable
 
 Page = dict[str, DataFrame]
 
@@ -53,8 +54,15 @@ def sales_forecast(
     arima_days: int = 14,
 ) -> Page:
     rows = series.hour_sums(filters.for_store(sales, store))
-    flat = series.moving_average(rows, target, periods=hours)
-    seasonal = series.seasonal_forecast(rows, target, periods=seasonal_days)
+    # Kept, since several parts of the page read them: each model is fitted once.
+    flat = durable(series.moving_average(rows, target, periods=hours))
+    seasonal = durable(series.seasonal_forecast(rows, target, periods=seasonal_days))
+    arima = durable(series.arima_forecast(rows, target, periods=arima_days))
+    forecasts = [
+        ("Moving Average", f"{hours}h", flat),
+        ("Seasonal Trend", f"{seasonal_days}d", series.future_only(seasonal)),
+        ("ARIMA", f"{arima_days}d", arima),
+    ]
     return {
         "stores": filters.choices(sales, "store_location"),
         "actual": series.resample(rows, target),
@@ -62,8 +70,8 @@ def sales_forecast(
         "moving_average_kpis": series.moving_average_kpis(rows, target, hours),
         "seasonal": seasonal,
         "seasonal_totals": series.forecast_totals(series.future_only(seasonal)),
-        "arima": series.arima_forecast(rows, target, periods=arima_days),
-        "comparison": series.compare_forecasts(rows, target, (), hours, seasonal_days, arima_days),
+        "arima": arima,
+        "comparison": series.comparison(forecasts),
         "by_hour": series.forecast_by_hour(flat),
         "table": series.forecast_table(flat, target),
     }
