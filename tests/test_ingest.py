@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillmark.operators import clean, enrich
-from tillmark.session import shared_dir, shared_path
+from tillmark.session import require_steady_clock, shared_dir, shared_path
 from tillmark.sources import sinks, transactions
+from tillmark.sources.transactions import from_text, read_csv
 
 COLUMNS = "transaction_id string, transaction_time string, transaction_qty string, unit_price string, " \
     "store_location string, product_category string, product_type string"
@@ -105,3 +106,53 @@ def test_shared_folder_is_the_configured_one(spark):
     if named is None:
         pytest.skip("no shared folder configured")
     assert shared_dir(spark) == named.rstrip("/")
+
+
+def test_headers_of_one_path_must_agree(spark, tmp_path):
+    first, second = tmp_path / "a.csv", tmp_path / "b.csv"
+    first.write_text("transaction_id,transaction_time,transaction_qty,unit_price\n1,2024-01-01 10:00:00,2,5\n")
+    second.write_text("transaction_id,transaction_time,unit_price,transaction_qty\n2,2024-01-01 11:00:00,3,2.5\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_csv(spark, str(tmp_path / "*.csv")).collect()
+    rows = {r["transaction_id"]: (r["transaction_qty"], r["unit_price"]) for r in read_csv(spark, [str(first), str(second)]).collect()}
+    assert rows == {"1": ("2", "5"), "2": ("2.5", "3")}
+
+
+def test_line_breaks_within_fields(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('transaction_id,transaction_time,product_type\n1,2024-01-01 10:00:00,"two\nlines"\n')
+    (row,) = read_csv(spark, str(tmp_path / "a.csv"), multi_line=True).collect()
+    assert row["product_type"] == "two\nlines"
+
+
+def test_zones_with_clock_changes_are_refused(spark):
+    """Else two local times around a change would become one."""
+    rows = spark.createDataFrame([("1", "2024-03-10 02:30:00"), ("1", "2024-03-10 03:30:00")], "transaction_id string, transaction_time string")
+    assert clean.drop_duplicate_rows(from_text(rows)).count() == 2
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        with pytest.raises(ValueError, match="clocks change"):
+            from_text(rows)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    for steady in ("+02:00", "GMT+1", "Etc/UTC"):
+        spark.conf.set("spark.sql.session.timeZone", steady)
+        require_steady_clock(spark)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_rows_are_read_once_for_cleaning(spark):
+    """A missing price needs its median, but not a second pass over the input."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    rows = spark.range(1000).selectExpr(
+        "cast(id as string) transaction_id", "'2024-01-01 10:00:00' transaction_time", "'1' transaction_qty",
+        "case when id = 7 then 'x' else cast(id as string) end unit_price", "'a' store_location",
+    )
+    found = clean.clean(from_text(rows.mapInPandas(counted, rows.schema)))
+    assert found.where("unit_price is null").count() == 0
+    assert seen.value == 1000

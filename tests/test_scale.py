@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillmark.functions.ordered import exact_quantiles, running_sum
-from tillmark.operators import clean, inventory, kpi, series
+from tillmark.operators import clean, inventory, kpi, ranking, series
 from tillmark.plans.common import line_sales, sales
 
 
@@ -115,3 +115,24 @@ def test_money_sums_lose_nothing(spark):
     assert total(spark.createDataFrame([], "v double")) == 0.0
     values = spark.range(10_000).selectExpr("(id % 977) * 1.37 - 300 AS v")
     assert total(values) == total(values.repartition(13))
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 200])
+def test_samples_and_feeds_do_not_depend_on_partitions(spark, partitions):
+    """Also where ids repeat, as on order lines, and rows agree in time and id."""
+    rows = spark.range(400).selectExpr(
+        "cast(id div 8 as string) transaction_id", "timestamp'2024-01-01 10:00:00' transaction_time", "cast(id % 5 as double) revenue", "id % 3 k"
+    )
+    dealt = rows.repartition(partitions)
+    for n in (21, 23):
+        assert ranking.sample_rows(dealt, n).collect() == ranking.sample_rows(rows, n).collect()
+        assert ranking.latest(dealt, n).collect() == ranking.latest(rows, n).collect()
+    assert len({r["transaction_id"] for r in ranking.sample_rows(rows, 20).collect()}) > 10  # lines, not whole receipts
+
+
+def test_quantiles_join_no_whole_group(spark):
+    """A hot group is cut into ranges on both sides of the only join."""
+    df = spark.range(20_000).selectExpr("if(id % 10 = 0, 'b', 'a') g", "cast(id as double) v")
+    plan = exact_quantiles(df, "v", [0.5], ["g"])._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert len(joins) == 1 and "_range" in joins[0]

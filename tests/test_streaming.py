@@ -111,3 +111,44 @@ def test_baseline_has_at_most_a_row_per_hour(spark, folder):
 def test_no_snapshot_yet(spark):
     with pytest.raises(FileNotFoundError):
         sinks.read_snapshot(spark, shared_path(spark, "none"))
+
+
+def test_cleaned_streams_feed_windows(spark):
+    """One watermark from source to windows; unknown stores are no group, as in the batch."""
+    rows = [
+        (str(i), f"2024-01-01 {10 + i // 4}:{i % 4}0:00", "1", "2", None if i % 3 == 0 else "s", "x", "t") for i in range(16)
+    ]
+    text = ingest.stream_csv(spark, text_rows(spark, rows + rows[:3]), TEXT)
+    got = appended(spark, windows.hourly_by_store(ingest.stream_clean(text, 2.0))).collect()
+    assert {r["store_location"] for r in got} == {"s"}
+    assert sum(r["transactions"] for r in got) == len([r for r in rows if r[4] and r[1] < "2024-01-01 13"])
+
+
+def test_history_is_read_once_for_a_baseline(spark, folder):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    history = sales(spark, folder).select("transaction_time", "transaction_qty", "revenue", "date", "hour")
+    history = history.mapInPandas(counted, history.schema)
+    baseline = windows.store_baseline(history, shared_path(spark, "baseline"), "2024-01-16")
+    incoming = shared_path(spark, "in")
+    events = sales(spark, folder).select("transaction_time", "transaction_qty", "revenue")
+    events.repartition(4).write.parquet(incoming)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(incoming)
+    assert appended(spark, windows.rolling_vs_baseline(stream, baseline)).count() > 0
+    assert seen.value == history.sparkSession.read.parquet(f"{folder}/events.parquet").count()
+    assert baseline.count() == 24
+
+
+def test_old_snapshots_go(spark, folder):
+    incoming, path = shared_path(spark, "in"), shared_path(spark, "test")
+    rows = sales(spark, folder).select("store_location", "revenue")
+    rows.repartition(5).write.parquet(incoming)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(incoming)
+    sinks.keep_snapshots(windows.live_store_revenue(stream), path).awaitTermination()
+    assert len(sinks._batches(spark, path)) == 2
+    assert sorted(map(tuple, sinks.read_snapshot(spark, path).collect())) == sorted(map(tuple, store_revenue(rows).collect()))

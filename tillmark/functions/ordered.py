@@ -52,7 +52,9 @@ def exact_quantiles(
     ``weight`` names a column that says how many rows a row stands for.
 
     Rows are first folded to one row per distinct value and its count (map-side combined), so
-    a hot value costs one row; ranks then come from a running sum over these counts.
+    a hot value costs one row. These are split into ranges of (group, value), and summed for each group
+    within a range; what a group has in earlier ranges and in all comes from these sums, which are as many as ranges and
+    groups together. No join or window runs over a whole group.
     """
     clean = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     keys = list(by) or ["_all"]
@@ -61,13 +63,15 @@ def exact_quantiles(
     counts = clean.groupBy(*keys, F.col(value).cast("double").alias("_value")).agg(
         (F.sum(weight).cast("long") if weight else F.count(F.lit(1))).alias("_count")
     )
-    ranked = running_sum(counts, [F.col(k) for k in (*keys, "_value")], {"_upto": "_count"})
-    group = ranked.groupBy(*keys).agg(
-        F.sum("_count").alias("n"), F.min(F.col("_upto") - F.col("_count")).alias("_base")
+    ranged = durable(counts.repartitionByRange(*keys, "_value").withColumn("_range", F.spark_partition_id()))
+    group = W.partitionBy(*keys)
+    earlier = group.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    sums = ranged.groupBy("_range", *keys).agg(F.sum("_count").alias("_sum")).select(
+        "_range", *keys, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"), F.sum("_sum").over(group).alias("n")
     )
-    # Without grouping keys the group side is one row; otherwise Spark picks the join by size.
-    ranked = ranked.join(F.broadcast(group) if not by else group, keys)
-    upto = F.col("_upto") - F.col("_base")
+    upto_here = W.partitionBy("_range", *keys).orderBy("_value").rowsBetween(W.unboundedPreceding, 0)
+    ranked = ranged.withColumn("_local", F.sum("_count").over(upto_here)).join(sums, ["_range", *keys])
+    upto = F.col("_before") + F.col("_local")
     first = upto - F.col("_count")
 
     def at(rank: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import to_number
 from ..functions.ordered import exact_quantiles
+from ..session import shared_path
 from ..sources.sinks import write_table
 
 
@@ -53,13 +54,14 @@ def clean(df: DataFrame, median: float | None = None, store: str | None = None)
     """Whole cleaning step. Pass ``median`` to use a known price median (as streams must).
 
     Removing duplicates shuffles whole rows, and a missing price needs the result twice: for
-    the median and for the rows. With ``store``, a path all executors share, the distinct rows
-    are written there once; the median then reads a single column of that table.
+    the median and for the rows. Unless the median is known, the distinct rows are therefore written once, to ``store`` or
+    a path of their own in the shared folder; the median then reads a single column of that table.
     """
     rows = drop_missing_time(drop_duplicate_rows(df))
-    looked_at = df
-    if store is not None:
-        looked_at = rows = write_table(rows, store)
-    if median is None and not looked_at.where(_numeric(df, "unit_price").isNull()).limit(1).isEmpty():
-        median = price_median(rows)
+    if median is None:
+        rows = write_table(rows, store or shared_path(df.sparkSession, "distinct-rows"))
+        if not rows.where(_numeric(rows, "unit_price").isNull()).limit(1).isEmpty():
+            median = price_median(rows)
+    elif store is not None:
+        rows = write_table(rows, store)
     return impute_price(coerce_quantity(rows), median)

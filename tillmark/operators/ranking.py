@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +38,9 @@ def busiest_slots(staff: DataFrame, n: int = 20) -> DataFrame:
 
 
 def latest(df: DataFrame, n: int = 20) -> DataFrame:
-    """The latest n transactions."""
-    return df.orderBy(F.desc("transaction_time"), F.desc("transaction_id")).limit(n)
+    """The latest n transactions; of equal time and id, by all other columns."""
+    rest = [c for c in df.columns if c not in ("transaction_time", "transaction_id")]
+    return df.orderBy(F.desc("transaction_time"), F.desc("transaction_id"), *rest).limit(n)
 
 
 def live_feed(df: DataFrame, n: int = 20) -> DataFrame:
@@ -52,7 +55,11 @@ def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def sample_rows(df: DataFrame, n: int, seed: int = 42, key: str = "transaction_id") -> DataFrame:
-    """n rows in a seeded pseudo-random order of their keys: the same rows on every run."""
-    ticket = F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
-    return df.orderBy(ticket, key).limit(n)
+def sample_rows(df: DataFrame, n: int, seed: int = 42, keys: Sequence[str] | None = None) -> DataFrame:
+    """n rows in a seeded pseudo-random order: the same rows on every run, however partitioned.
+
+    The order is that of a hash of the row, or of ``keys``, which then draws all rows of a key together.
+    """
+    parts = [F.col(c).cast("string") for c in keys or df.columns]
+    ticket = F.md5(F.concat_ws("-", *parts, F.lit(str(seed))).cast("binary"))
+    return df.orderBy(ticket, *(keys or []), *df.columns).limit(n)

@@ -156,7 +156,7 @@ QUERIES = {
     "so3_latest_feed": lambda s, f: ranking.live_feed(sales(s, f), 20),
     "so4_first_rows": so4,
     "so5_weekday_order": lambda s, f: ranking.by_weekday(kpi.weekday_units(line_sales(s, f))),
-    "so6_sample": lambda s, f: ranking.sample_rows(sales(s, f), 200).select("transaction_id", "revenue"),
+    "so6_sample": lambda s, f: ranking.sample_rows(sales(s, f), 200, keys=["transaction_id"]).select("transaction_id", "revenue"),
     "se1_distinct_rows": lambda s, f: plain(
         clean.drop_duplicate_rows(transactions.from_text(adapters.garbled_events(s, f)))
     ),

@@ -7,19 +7,26 @@ SQL leaves them out by the same watermark rule.
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
 from ..operators import clean
 from ..operators.enrich import enrich
-from ..session import shared_path
+from ..session import durable, shared_path
 from ..sources.adapters import TABLES, event_mapping, garbled_events
 from ..sources.transactions import from_text
 from ..streaming import ingest, sinks, windows
 from .common import CLEAN, EV, TIME, m, over, plain, q, rounded, sales
 
 
+#: Scored from this day on; the days before it are the baseline.
+SCORED_FROM = "2024-01-16"
+
+
 def event_stream(spark, folder):
     """Enriched events as a stream."""
     files = f"{folder}/events*.parquet"
-    return enrich(ingest.stream_parquet(spark, files, TABLES["events"], event_mapping()))
+    return enrich(ingest.marked(ingest.stream_parquet(spark, files, TABLES["events"], event_mapping())))
 
 
 def appended(spark, stream, purpose):
@@ -28,31 +35,62 @@ def appended(spark, stream, purpose):
     return plain(sinks.read_appended(spark, path, stream))
 
 
+def _past(raw):
+    """The price median of the rows received before the stream starts."""
+    return clean.price_median(clean.drop_missing_time(clean.drop_duplicate_rows(from_text(raw))))
+
+
 def st1(spark, folder):
     """Text rows with defects arrive as files, are cleaned on the way and appended."""
     path = shared_path(spark, "incoming")
     raw = garbled_events(spark, folder)
     raw.write.option("header", True).csv(path)
     text = ingest.stream_csv(spark, f"{path}/*.csv", raw.columns)
-    # The price median comes from the rows received before the stream starts.
-    past = clean.drop_missing_time(clean.drop_duplicate_rows(from_text(raw)))
-    stream = ingest.stream_clean(text, clean.price_median(past), "31 days")
-    return appended(spark, stream, "st1")
+    return appended(spark, ingest.stream_clean(text, _past(raw)), "st1")
+
+
+def cleaned_stream(spark, folder, files=4):
+    """Text rows with defects that arrive in the order of their times, a file per batch, and are
+    cleaned on the way."""
+    path = shared_path(spark, "incoming")
+    raw = garbled_events(spark, folder)
+    part = F.ntile(files).over(W.orderBy("day"))
+    days = raw.select(F.substring("transaction_time", 1, 10).alias("day")).distinct().withColumn("part", part)
+    dealt = durable(raw.withColumn("day", F.substring("transaction_time", 1, 10)).join(F.broadcast(days), "day").drop("day"))
+    for number in range(1, files + 1):
+        one = dealt.where(F.col("part") == number).drop("part").coalesce(1)
+        one.write.mode("append").option("header", True).csv(path)
+    text = ingest.stream_csv(spark, f"{path}/*.csv", raw.columns, maxFilesPerTrigger=1)
+    return ingest.stream_clean(text, _past(raw))
 
 
 def st3(spark, folder):
     return appended(spark, windows.rolling_windows(event_stream(spark, folder)), "st3")
 
 
+def _baseline(spark, history):
+    return windows.store_baseline(history, shared_path(spark, "baseline"), SCORED_FROM)
+
+
+def _scored(stream):
+    return stream.where(F.col("date") >= F.lit(SCORED_FROM).cast("date"))
+
+
 def st4(spark, folder):
-    baseline = windows.hour_baseline(sales(spark, folder))
-    stream = windows.rolling_vs_baseline(event_stream(spark, folder), baseline)
+    baseline = _baseline(spark, sales(spark, folder))
+    stream = windows.rolling_vs_baseline(_scored(event_stream(spark, folder)), baseline)
     return rounded(appended(spark, stream, "st4"), "baseline_revenue", "vs_baseline", digits=4)
 
 
 def st5(spark, folder):
-    baseline = windows.hour_baseline(sales(spark, folder))
-    stream = windows.window_anomalies(event_stream(spark, folder), baseline, 1.5)
+    baseline = _baseline(spark, sales(spark, folder))
+    stream = windows.window_anomalies(_scored(event_stream(spark, folder)), baseline, 1.5)
+    return rounded(appended(spark, stream, "st5"), "z_score")
+
+
+def st5_cleaned(spark, folder):
+    baseline = _baseline(spark, enrich(clean.clean(from_text(garbled_events(spark, folder)))))
+    stream = windows.window_anomalies(_scored(cleaned_stream(spark, folder)), baseline, 1.5)
     return rounded(appended(spark, stream, "st5"), "z_score")
 
 
@@ -72,65 +110,79 @@ def st7(spark, folder):
 QUERIES = {
     "st1_stream_ingest": st1,
     "st2_hourly_by_store": lambda s, f: appended(s, windows.hourly_by_store(event_stream(s, f)), "st2"),
+    "st2_cleaned": lambda s, f: appended(s, windows.hourly_by_store(cleaned_stream(s, f)), "st2"),
     "st3_rolling_windows": st3,
+    "st3_cleaned": lambda s, f: appended(s, windows.rolling_windows(cleaned_stream(s, f)), "st3"),
     "st4_rolling_vs_baseline": st4,
     "st5_window_anomalies": st5,
+    "st5_cleaned": st5_cleaned,
     "st6_latest_feed": st6,
     "st7_live_store_revenue": st7,
 }
 
-_MARK = "mark AS (SELECT max(transaction_time) - INTERVAL 10 MINUTE AS t FROM ev)"
-_SLIDING = f"""--with {_MARK},
-starts AS (SELECT time_bucket(INTERVAL 15 MINUTE, transaction_time) - to_minutes(CAST(15 * k AS INTEGER)) AS ws, ev.*
-  FROM ev, range(0, 4) AS r(k)),
+
+def _sliding(t: str, since: str = "2000-01-01") -> str:
+    return f"""--with mark AS (SELECT max(transaction_time) - INTERVAL 10 MINUTE AS t FROM {t}),
+starts AS (SELECT time_bucket(INTERVAL 15 MINUTE, transaction_time) - to_minutes(CAST(15 * k AS INTEGER)) AS ws, {t}.*
+  FROM {t}, range(0, 4) AS r(k) WHERE date >= DATE '{since}'),
 w AS (SELECT ws, ws + INTERVAL 60 MINUTE AS we, {m()} AS revenue, {q()} AS units, count(*) AS transactions
   FROM starts GROUP BY ws),
 closed AS (SELECT w.* FROM w, mark WHERE we <= t)
 """
-_HOURS = f"""--with {_MARK},
-w AS (SELECT time_bucket(INTERVAL 1 HOUR, transaction_time) AS ws, {{key}} {m()} AS revenue, {q()} AS units,
-  count(*) AS transactions FROM ev GROUP BY ALL),
+
+
+def _hours(t: str, key: str = "", since: str = "2000-01-01") -> str:
+    return f"""--with mark AS (SELECT max(transaction_time) - INTERVAL 10 MINUTE AS t FROM {t}),
+w AS (SELECT time_bucket(INTERVAL 1 HOUR, transaction_time) AS ws, {key} {m()} AS revenue, {q()} AS units,
+  count(*) AS transactions FROM {t} WHERE date >= DATE '{since}' {"AND store_location IS NOT NULL" if key else ""} GROUP BY ALL),
 closed AS (SELECT w.* FROM w, mark WHERE ws + INTERVAL 1 HOUR <= t),
-days AS (SELECT date, hour, {m()} AS r, {q()} AS u FROM ev GROUP BY ALL),
+days AS (SELECT date, hour, {m()} AS r, {q()} AS u FROM {t} WHERE date < DATE '{SCORED_FROM}' GROUP BY ALL),
 base AS (SELECT hour, avg(r) AS base_revenue, avg(u) AS mean_units, stddev_samp(u) AS std_units FROM days GROUP BY hour)
 """
+
+
 _S = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
 _TXN = f"transaction_id, {TIME}, transaction_qty, unit_price, store_location, product_category, product_type"
 
+
+def _by_store(t: str) -> str:
+    return _hours(t, "store_location,") + f"""SELECT {_S.format("ws")} AS window_start,
+      {_S.format("ws + INTERVAL 1 HOUR")} AS window_end, store_location, units, revenue, transactions FROM closed"""
+
+
+def _rolling(t: str) -> str:
+    return _sliding(t) + f"""SELECT {_S.format("ws")} AS window_start, {_S.format("we")} AS window_end, units, revenue,
+      transactions, revenue / transactions AS avg_order FROM closed"""
+
+
+def _anomalies(t: str) -> str:
+    return _hours(t, "", SCORED_FROM) + f"""SELECT {_S.format("ws")} AS window_start,
+      CAST(hour(ws) AS INTEGER) AS hour, units, round((units - mean_units) / (std_units + 1e-9), 6) AS z_score,
+      coalesce(abs((units - mean_units) / (std_units + 1e-9)) > 1.5, false) AS is_anomaly
+    FROM closed LEFT JOIN base ON hour(ws) = base.hour"""
+
+
 ORACLE = {
     "st1_stream_ingest": over(
         CLEAN,
         f"""SELECT {_TXN}, revenue, CAST(date AS VARCHAR) AS date, hour, month, quarter, weekday, weekday_num,
           is_weekend FROM tidy""",
     ),
-    "st2_hourly_by_store": over(
-        EV,
-        _HOURS.format(key="store_location,")
-        + f"""SELECT {_S.format("ws")} AS window_start, {_S.format("ws + INTERVAL 1 HOUR")} AS window_end,
-          store_location, units, revenue, transactions FROM closed""",
-    ),
-    "st3_rolling_windows": over(
-        EV,
-        _SLIDING + f"""SELECT {_S.format("ws")} AS window_start, {_S.format("we")} AS window_end, units, revenue,
-          transactions, revenue / transactions AS avg_order FROM closed""",
-    ),
+    "st2_hourly_by_store": over(EV, _by_store("ev")),
+    "st2_cleaned": over(CLEAN, _by_store("tidy")),
+    "st3_rolling_windows": over(EV, _rolling("ev")),
+    "st3_cleaned": over(CLEAN, _rolling("tidy")),
     "st4_rolling_vs_baseline": over(
         EV,
-        _SLIDING
-        + f""", days AS (SELECT date, hour, {m()} AS r FROM ev GROUP BY ALL),
+        _sliding("ev", SCORED_FROM)
+        + f""", days AS (SELECT date, hour, {m()} AS r FROM ev WHERE date < DATE '{SCORED_FROM}' GROUP BY ALL),
         base AS (SELECT hour, avg(r) AS b FROM days GROUP BY hour)
         SELECT {_S.format("ws")} AS window_start, {_S.format("we")} AS window_end, CAST(hour(ws) AS INTEGER) AS hour,
           revenue, round(b, 4) AS baseline_revenue, round(revenue / b, 4) AS vs_baseline
         FROM closed LEFT JOIN base ON hour(ws) = base.hour""",
     ),
-    "st5_window_anomalies": over(
-        EV,
-        _HOURS.format(key="")
-        + f"""SELECT {_S.format("ws")} AS window_start, base.hour, units,
-          round((units - mean_units) / (std_units + 1e-9), 6) AS z_score,
-          coalesce(abs((units - mean_units) / (std_units + 1e-9)) > 1.5, false) AS is_anomaly
-        FROM closed LEFT JOIN base ON hour(ws) = base.hour""",
-    ),
+    "st5_window_anomalies": over(EV, _anomalies("ev")),
+    "st5_cleaned": over(CLEAN, _anomalies("tidy")),
     "st6_latest_feed": over(
         EV,
         f"""SELECT transaction_id, {TIME}, store_location, revenue FROM

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from datetime import datetime
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,13 +32,13 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, memory: str = "8
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own: on a cluster a
-    machine-local folder would lose data together with its machine.
+    Only a session within one process (``local[...]``) without that setting gets a folder of its own:
+    on a cluster a machine-local folder would lose data together with its machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if named is None and context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tillmark-"))
     if context.getCheckpointDir() is None:
@@ -53,3 +56,18 @@ def durable(df: DataFrame) -> DataFrame:
     the same rows even when executors are lost in between."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def require_steady_clock(spark: SparkSession) -> None:
+    """Refuse session time zones with clock changes.
+
+    Transactions carry local times without a zone. In a zone with clock changes Spark would move
+    those that fall into a change, and rows would merge.
+    """
+    name = spark.conf.get("spark.sql.session.timeZone")
+    if re.fullmatch(r"Z|UTC|GMT|(UTC|GMT|UT)?[+-]\d{1,2}(:?\d{2})?(:?\d{2})?", name):
+        return
+    zone = ZoneInfo(name)
+    offsets = {datetime(year, month, 1, tzinfo=zone).utcoffset() for year in range(1970, 2038) for month in range(1, 13)}
+    if len(offsets) > 1:
+        raise ValueError(f"clocks change in {name}: set spark.sql.session.timeZone to UTC")

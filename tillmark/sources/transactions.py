@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.clean import clean
 from ..operators.enrich import enrich
 from ..schema import NULL_TOKENS, TRANSACTIONS
+from ..session import require_steady_clock
 
 
 def parse_time(value: Column, ts_format: str | None = None) -> Column:
@@ -28,17 +32,26 @@ def missing_to_null(df: DataFrame) -> DataFrame:
 
 
 def read_csv(
-    spark: SparkSession, path: str, ts_format: str | None = None, **options: str
+    spark: SparkSession,
+    path: str | Sequence[str],
+    ts_format: str | None = None,
+    multi_line: bool = False,
+    **options: str,
 ) -> DataFrame:
     """CSV with a header line. All columns stay text except the parsed transaction time.
 
-    No type inference: it would read the data twice. Files stay splittable.
+    The files of one path must have one header (any column order); another one is an error. Several
+    paths may differ: their columns are matched by name, and what a path lacks is null. No type inference: it
+    would read the data twice. Files stay splittable, unless ``multi_line`` allows line breaks within quoted fields.
     """
-    return from_text(spark.read.options(header=True, escape='"', **options).csv(path), ts_format)
+    reader = spark.read.options(header=True, escape='"', enforceSchema=False, multiLine=multi_line, **options)
+    parts = [reader.csv(one) for one in ([path] if isinstance(path, str) else path)]
+    return from_text(reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts), ts_format)
 
 
 def from_text(raw: DataFrame, ts_format: str | None = None) -> DataFrame:
     """Text rows with missing values as nulls and the transaction time parsed."""
+    require_steady_clock(raw.sparkSession)
     raw = missing_to_null(raw)
     return raw.withColumn("transaction_time", parse_time(F.col("transaction_time"), ts_format))
 
@@ -54,6 +67,7 @@ def canonical(table: DataFrame, mapping: dict[str, Column]) -> DataFrame:
 
     Ids keep the type they have: whole numbers are cheaper to count and to shuffle than text.
     """
+    require_steady_clock(table.sparkSession)
     return table.select(
         *[
             (mapping[f.name] if f.name == "transaction_id" else mapping[f.name].cast(f.dataType)).alias(f.name)
@@ -64,7 +78,7 @@ def canonical(table: DataFrame, mapping: dict[str, Column]) -> DataFrame:
 
 
 def load(
-    spark: SparkSession, path: str, ts_format: str | None = None, store: str | None = None
+    spark: SparkSession, path: str | Sequence[str], ts_format: str | None = None, store: str | None = None
 ) -> DataFrame:
     """CSV to cleaned and enriched transactions; for ``store`` see ``clean``."""
     return enrich(clean(read_csv(spark, path, ts_format), store=store))

@@ -10,6 +10,15 @@ from ..operators.enrich import enrich
 from ..sources.transactions import canonical, from_text
 
 
+DELAY = "10 minutes"
+
+
+def marked(stream: DataFrame, delay: str = DELAY) -> DataFrame:
+    """The stream with a watermark on the transaction time, unless it has one."""
+    has = "spark.watermarkDelayMs" in stream.schema["transaction_time"].metadata
+    return stream if has or not stream.isStreaming else stream.withWatermark("transaction_time", delay)
+
+
 def stream_parquet(
     spark: SparkSession, glob: str, schema: T.StructType | str, mapping: dict[str, Column]
 ) -> DataFrame:
@@ -20,26 +29,25 @@ def stream_parquet(
     return canonical(spark.readStream.schema(schema).parquet(glob), mapping)
 
 
-def stream_csv(spark: SparkSession, glob: str, columns: list[str], ts_format: str | None = None) -> DataFrame:
+def stream_csv(
+    spark: SparkSession, glob: str, columns: list[str], ts_format: str | None = None, **options
+) -> DataFrame:
     """CSV files that appear under a path pattern; all columns stay text but the time.
 
     A file whose header does not list exactly these columns fails the stream.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    reader = spark.readStream.schema(schema).options(header=True, escape='"', enforceSchema=False)
+    reader = spark.readStream.schema(schema).options(header=True, escape='"', enforceSchema=False, **options)
     return from_text(reader.csv(glob), ts_format)
 
 
-def stream_clean(raw: DataFrame, median: float | None, delay: str = "10 minutes") -> DataFrame:
+def stream_clean(raw: DataFrame, median: float | None, delay: str = DELAY) -> DataFrame:
     """Cleaned and enriched stream.
 
     Copies are dropped as long as they arrive within ``delay`` of each other, over all raw
-    columns; the state of older rows is given up. A running median is not possible on a
+    columns; the state of older rows is given up. The watermark set here holds for all windows
+    behind it. A running median is not possible on a
     stream, so the price median comes from a batch of the past.
     """
-    unique = (
-        drop_missing_time(raw)
-        .withWatermark("transaction_time", delay)
-        .dropDuplicatesWithinWatermark(raw.columns)
-    )
+    unique = marked(drop_missing_time(raw), delay).dropDuplicatesWithinWatermark(raw.columns)
     return enrich(impute_price(coerce_quantity(unique), median))

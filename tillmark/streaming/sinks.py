@@ -34,7 +34,7 @@ def keep_snapshots(stream: DataFrame, path: str, trigger: dict | None = None) ->
     overwrites its own folder only, so readers never see half a result."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/snapshots/batch={number}")
+        _write_snapshot(batch, path, number)
 
     return _per_batch(stream, path, "complete", write, trigger)
 
@@ -43,23 +43,38 @@ def keep_latest(stream: DataFrame, path: str, n: int = 20, trigger: dict | None
     """Keep the latest n transactions: each batch merges its own latest n with the kept ones."""
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         merged = latest(batch, n)
-        kept = _snapshot(spark, path, before=number)
-        if kept is not None:
-            merged = latest(merged.unionByName(kept), n)
-        merged.write.mode("overwrite").parquet(f"{path}/snapshots/batch={number}")
+        if number > 0:
+            merged = latest(merged.unionByName(batch.sparkSession.read.parquet(_folder(path, number - 1))), n)
+        _write_snapshot(merged, path, number)
 
     return _per_batch(stream, path, "append", write, trigger)
 
 
-def _batches(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the finished snapshots (file names only, no data)."""
+def _folder(path: str, number: int) -> str:
+    return f"{path}/snapshots/batch={number}"
+
+
+def _file_system(spark: SparkSession, folder: str):
     jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/snapshots")
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    place = jvm.org.apache.hadoop.fs.Path(folder)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _write_snapshot(rows: DataFrame, path: str, number: int) -> None:
+    """Write a snapshot; then the one before the last, which no batch can need any more, goes."""
+    rows.write.mode("overwrite").parquet(_folder(path, number))
+    if number > 1:
+        place, fs = _file_system(rows.sparkSession, _folder(path, number - 2))
+        fs.delete(place, True)
+
+
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the finished snapshots, three at most (file names only, no data)."""
+    folder, fs = _file_system(spark, f"{path}/snapshots")
     if not fs.exists(folder):
         return []
+    jvm = spark.sparkContext._jvm
     done = [
         s.getPath().getName()
         for s in fs.listStatus(folder)
@@ -68,11 +83,9 @@ def _batches(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(name.split("=")[1]) for name in done)
 
 
-def _snapshot(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    numbers = [b for b in _batches(spark, path) if before is None or b < before]
-    if not numbers:
-        return None
-    return spark.read.parquet(f"{path}/snapshots/batch={numbers[-1]}")
+def _snapshot(spark: SparkSession, path: str) -> DataFrame | None:
+    numbers = _batches(spark, path)
+    return spark.read.parquet(_folder(path, numbers[-1])) if numbers else None
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:

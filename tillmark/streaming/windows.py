@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 
 from ..functions.measures import revenue, rows, units
 from ..functions.numeric import ratio
+from ..operators.kpi import known
 from ..schema import Z_EPSILON
-
-DELAY = "10 minutes"
-
+from ..sources.sinks import write_table
+from .ingest import marked
 
 def _windows(df: DataFrame, size: str, slide: str | None, *keys: str) -> DataFrame:
-    marked = df.withWatermark("transaction_time", DELAY) if df.isStreaming else df
+    """Sums per window and key; a stream keeps the watermark it has. Unknown keys are no group."""
     window = F.window("transaction_time", size, slide) if slide else F.window("transaction_time", size)
-    sums = marked.groupBy(window, *keys).agg(
+    sums = marked(known(df, *keys)).groupBy(window, *keys).agg(
         units().alias("units"), revenue().alias("revenue"), rows(df).alias("transactions")
     )
     return sums.select(
@@ -39,12 +39,14 @@ def rolling_windows(df: DataFrame, minutes: int = 60, slide: int = 15) -> DataFr
     return sums.withColumn("avg_order", ratio(F.col("revenue"), F.col("transactions"), 0.0))
 
 
-def hour_baseline(df: DataFrame) -> DataFrame:
-    """Per hour of day, over the past days: mean revenue, mean and deviation of the units.
+def hour_baseline(df: DataFrame, before: str | None = None) -> DataFrame:
+    """Per hour of day, over the days before a date: mean revenue, mean and deviation of the units.
 
-    At most 24 rows, which is why joins may broadcast it. Hours without sales do not count.
+    At most 24 rows, which is why joins may broadcast it. Hours without sales do not count. The
+    days that are scored should not be in it.
     """
-    hourly = df.groupBy("date", "hour").agg(units().alias("units"), revenue().alias("revenue"))
+    past = df if before is None else df.where(F.col("date") < F.lit(before).cast("date"))
+    hourly = past.groupBy("date", "hour").agg(units().alias("units"), revenue().alias("revenue"))
     return hourly.groupBy("hour").agg(
         F.avg("revenue").alias("base_revenue"),
         F.avg("units").alias("mean_units"),
@@ -52,6 +54,12 @@ def hour_baseline(df: DataFrame) -> DataFrame:
     )
 
 
+def store_baseline(df: DataFrame, path: str, before: str | None = None) -> DataFrame:
+    """The baseline as a table of its own, so that a stream does not read the history again for
+    each batch. Write it anew, and start the stream anew, once a day."""
+    return write_table(hour_baseline(df, before).coalesce(1), path)
+
+
 def rolling_vs_baseline(df: DataFrame, baseline: DataFrame, minutes: int = 60, slide: int = 15) -> DataFrame:
     """Sliding revenue next to what the hour of its start usually brings in the same time."""
     windows = rolling_windows(df, minutes, slide).withColumn("hour", F.hour("window_start"))
@@ -76,4 +84,4 @@ def window_anomalies(df: DataFrame, baseline: DataFrame, threshold: float = 2.5)
 
 def live_store_revenue(df: DataFrame) -> DataFrame:
     """Revenue per store since the start of the stream; for complete mode. One row of state per store."""
-    return df.groupBy("store_location").agg(revenue().alias("revenue"))
+    return known(df, "store_location").groupBy("store_location").agg(revenue().alias("revenue"))
