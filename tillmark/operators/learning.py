@@ -1,10 +1,10 @@
 """Demand models on calendar features, trained and scored with MLlib.
 
-The four features have few values, so rows with equal features and label are folded into one
-row with a weight before training. For squared-error models this is lossless: the fitted line,
-the split gains of a tree and all metrics depend only on these weights. Training data is thus
-bounded by the calendar grid times the distinct quantities, however many transactions there
-are, and one scan of the facts serves all models, folds and reports.
+Trees are trained on one row per transaction: their samples, subsets and leaf sizes are drawn and
+counted in rows. The features have few values, so for the line, and for metrics, rows with equal
+features and label can be folded into one row with a weight, which loses nothing there and bounds the
+table by the calendar grid times the distinct quantities. One scan of the facts serves all models,
+folds and reports.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ from .shape import melt, stack
 FEATURES = ["hour", "day", "month", "weekday_num"]
 SEED = 42
 
-# Model settings and search grids.
+# Model settings and search grids. MLlib has no least size of a node that is split,
+# so that parameter of the forest's grid has no counterpart; its depth limit of 30 stands for none.
 BOOSTED = {"maxIter": 100, "stepSize": 0.05, "maxDepth": 5, "subsamplingRate": 0.8}
 FOREST = {"numTrees": 150, "maxDepth": 8}
 BOOSTED_GRID = {"maxIter": [50, 100], "maxDepth": [3, 5], "stepSize": [0.05, 0.1]}
@@ -67,15 +68,19 @@ def split_rows(df: DataFrame, grain: str = "row") -> DataFrame:
     )
 
 
-def training_table(df: DataFrame, folds: int = 5, grid_folds: int = 3, grain: str = "row") -> DataFrame:
-    """Weighted training rows, assembled and kept durable for the many passes of training."""
+def training_table(
+    df: DataFrame, folds: int = 5, grid_folds: int = 3, grain: str = "row", folded: bool = False
+) -> DataFrame:
+    """Training rows with a weight (1, or how many rows were ``folded``), assembled and kept durable
+    for the many passes of training. Folded rows suit the line, not trees."""
     rows = split_rows(df, grain).withColumns(
         {"fold": (F.col("ticket") % folds).cast("int"), "grid_fold": (F.col("ticket") % grid_folds).cast("int")}
     )
-    folded = rows.groupBy("split", "fold", "grid_fold", *FEATURES, "label").agg(
-        F.count(F.lit(1)).cast("double").alias("weight")
-    )
-    assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(folded)
+    if folded:
+        rows = rows.groupBy("split", "fold", "grid_fold", *FEATURES, "label").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    else:
+        rows = rows.drop("ticket").withColumn("weight", F.lit(1.0))
+    assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
     return durable(assembled)
 
 
@@ -170,7 +175,8 @@ def cross_validate(table: DataFrame, estimator: Estimator, folds: int = 5) -> Da
 def grid_search(
     table: DataFrame, estimator: Estimator, grid: dict[str, Sequence], folds: int = 3, parallelism: int = 4
 ) -> tuple[Model, DataFrame]:
-    """Best model by cross-validated R2 on the training rows, and the score of every grid point."""
+    """Best model by cross-validated R2 on the training rows, and the score of every grid point,
+    the best one (whose parameters the model has) first."""
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(estimator.getParam(name), list(values))

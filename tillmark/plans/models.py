@@ -16,10 +16,6 @@ from .common import EV, even, over, rounded, sales
 
 _DONE: dict = {}
 
-# Search grids for the registered queries; the full grids are the defaults of the library.
-SMALL_BOOSTED = {"maxIter": [5, 10], "maxDepth": [3, 5]}
-SMALL_FOREST = {"numTrees": [10, 20], "maxDepth": [3, 5]}
-
 
 def _once(spark, folder, what, make):
     key = (spark.sparkContext.applicationId, folder, what)
@@ -28,17 +24,18 @@ def _once(spark, folder, what, make):
     return _DONE[key]
 
 
-def table(spark, folder):
-    return _once(spark, folder, "table", lambda: learning.training_table(sales(spark, folder)))
+def table(spark, folder, folded=True):
+    """Folded rows for reports and the line, rows as they are for trees."""
+    return _once(spark, folder, ("table", folded), lambda: learning.training_table(sales(spark, folder), folded=folded))
 
 
 def model(spark, folder, name):
-    rows = table(spark, folder)
+    rows = table(spark, folder, name == "Linear Regression")
     return _once(spark, folder, name, lambda: learning.fit(rows, learning.MODELS[name]()))
 
 
 def validated(spark, folder, name):
-    rows = table(spark, folder)
+    rows = table(spark, folder, name == "Linear Regression")
     return _once(spark, folder, ("cv", name), lambda: learning.cross_validate(rows, learning.MODELS[name]()))
 
 
@@ -46,7 +43,8 @@ def compared(spark, folder):
     """Comparison table over all models; what is not fitted yet is fitted side by side."""
 
     def make():
-        table(spark, folder)
+        for folded in (True, False):
+            table(spark, folder, folded)
         names = list(learning.MODELS)
         learning.side_by_side(
             spark,
@@ -94,7 +92,7 @@ def ml5_line(spark, folder):
 
 def grid(make, points):
     def run(spark, folder):
-        return learning.grid_search(table(spark, folder), make(), points)[1]
+        return learning.grid_search(table(spark, folder, False), make(), points, parallelism=8)[1]
 
     return run
 
@@ -138,8 +136,8 @@ QUERIES = {
         fitted_metrics("Linear Regression")(s, f), "mae", "rmse", "r2"
     ),
     "ml5_straight_line": ml5_line,
-    "ml6_grid_boosted": grid(learning.boosted_trees, SMALL_BOOSTED),
-    "ml6_grid_forest": grid(learning.random_forest, SMALL_FOREST),
+    "ml6_grid_boosted": grid(learning.boosted_trees, learning.BOOSTED_GRID),
+    "ml6_grid_forest": grid(learning.random_forest, learning.FOREST_GRID),
     "ml7_cv_boosted": cv("Boosted Trees"),
     "ml7_cv_forest": cv("Random Forest"),
     "ml7_cv_linear": cv("Linear Regression"),

@@ -79,21 +79,24 @@ def sales_forecast(
 
 def peak_demand(transactions: DataFrame, tune: bool = False) -> dict[str, Page]:
     """One page per model: metrics, residuals, error distribution, importance, and, when tuned,
-    the scores of the grid."""
+    the scores of the grid and the best parameters, which are then also those of the cross-validation."""
     table = learning.training_table(transactions)
     grids = {"Boosted Trees": learning.BOOSTED_GRID, "Random Forest": learning.FOREST_GRID}
     pages = {}
     for name, make in learning.MODELS.items():
         page: Page = {}
+        estimator = make()
         if tune and name in grids:
-            model, page["grid"] = learning.grid_search(table, make(), grids[name])
+            model, page["grid"] = learning.grid_search(table, estimator, grids[name])
+            page["best_parameters"] = page["grid"].limit(1).select(*sorted(grids[name]))
+            estimator = estimator.copy(model.extractParamMap())
         else:
-            model = learning.fit(table, make())
+            model = learning.fit(table, estimator)
         scored = learning.predict(table, model)
         residuals = learning.residuals(scored)
         pages[name] = page | {
             "metrics": learning.metrics(scored),
-            "cross_validation": learning.cross_validate(table, make()),
+            "cross_validation": learning.cross_validate(table, estimator),
             "first_20": ranking.first_rows(residuals, 20, *learning.FEATURES, "Actual"),
             "first_50": ranking.first_rows(residuals, 50, *learning.FEATURES, "Actual"),
             "error_histogram": kpi.histogram(residuals, "Error", 30, "weight"),
