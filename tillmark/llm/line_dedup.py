@@ -12,7 +12,7 @@ earliest on the other side is all that a line needs to know, and aggregations fi
 
 A line has as many variants as characters, so places where it has no possible partner are sorted out
 first, losing nothing: cut a line into parts, and whatever the edit, what is left without the part that
-holds it is equal in both lines. Lines are cut in 2 parts, those with a partner in 8, and again in 8; only
+holds it is equal in both lines. Lines are cut in 2 parts, those with a partner in 16, and only
 what remains emits variants. What the hashed keys find is verified by edit distance.
 """
 
@@ -26,7 +26,7 @@ from .common import likely, packed, salted_join, stored, table, text_of, unpacke
 #: Shorter lines are left alone: blank lines, brackets, list marks and single words repeat for good reason.
 MIN_CHARS = 20
 #: Parts a line is cut in, and what remains of it with a partner, and so on.
-PARTS = (2, 8, 8)
+PARTS = (2, 16)
 
 
 def _hash(*columns: Column) -> Column:
@@ -50,10 +50,9 @@ def _rest(body: Column, part: Column) -> Column:
 
 
 def _met(keyed: DataFrame, purpose: str) -> DataFrame:
-    """``line, part`` of the rows (``line, part, key``) whose key another line has as well."""
-    keyed = keyed.distinct()
+    """``line, part`` of the rows (``line, part, key``, once each) whose key another line has as well."""
     several = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), purpose)
-    return salted_join(keyed, several, ["key"], "n", ["line"]).select("line", "part").distinct()
+    return salted_join(keyed, several, ["key"], "n", ["line"]).select("line", "part")
 
 
 def _finer(parts: DataFrame, lines: DataFrame, into: int, purpose: str) -> DataFrame:
@@ -68,7 +67,7 @@ def similar_lines(parts: DataFrame, lines: DataFrame) -> DataFrame:
     ``lines``: ``line`` (a hash), ``first`` (its place), ``body``, once each; ``parts``: where a line may have
     a partner.
     """
-    for number, into in enumerate(PARTS[1:]):
+    for number, into in enumerate(PARTS[1:]):  # the first cut needs no texts
         parts = _finer(parts, lines, into, f"line-parts{number}")
     rows = parts.join(lines, "line").withColumn("length", F.char_length("body"))
     # In a part cut for a line one shorter, the additional character may also stand right behind.
@@ -83,7 +82,7 @@ def similar_lines(parts: DataFrame, lines: DataFrame) -> DataFrame:
     whole = rows.where("length = part.m").select(
         "line", "first", _hash128(F.col("body")).alias("text"), F.lit(0).alias("place"), F.lit(False).alias("deleted")
     )
-    variants = stored(exchanged.union(deleted).union(whole).distinct(), "line-variants")
+    variants = stored(exchanged.union(deleted).union(whole), "line-variants")
     own = F.struct("first", "line")
     groups = variants.groupBy("text", "place").agg(
         F.min(F.when(~F.col("deleted"), own)).alias("as_it_is"),
@@ -127,10 +126,9 @@ def repeated_lines(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
     cut = unique.select("line", F.explode("keyed").alias("k")).select("line", "k.part", "k.key")
     parts = stored(_met(cut, "line-halves-keys"), "line-halves")
     # Texts are fetched for lines that may have a partner only, from where they first stand.
-    wanted = unique.join(parts.select("line").distinct(), "line", "left_semi").select("line", "first")
-    wanted = stored(wanted, "lines-wanted")
+    wanted = stored(unique.join(parts, "line", "left_semi").select("line", "first"), "lines-wanted")
     texts = likely(each, F.xxhash64("place"), wanted, F.xxhash64("first"))
-    texts = texts.join(wanted.withColumnRenamed("line", "own"), (F.col("line") == F.col("own")) & F.col("place").eqNullSafe(F.col("first")))
+    texts = texts.join(wanted, "line").where(F.col("place").eqNullSafe(F.col("first")))
     texts = stored(texts.select("line", "first", "body").dropDuplicates(["line"]), "lines-texts")
     alike = similar_lines(parts, texts)
     drops = unique.select("line", "first", "n").join(alike, "line", "left").where("n > 1 or earlier is not null")
