@@ -169,7 +169,8 @@ def test_large_buckets_and_groups(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 9)
     texts = copies_of(5, 60, 4) + copies_of(6, 25, 3)
     rows = [(i, t, "", "", 0) for i, t in enumerate(texts)]
-    assert classes_of(spark.createDataFrame(rows, SCHEMA), small=4, steps=2) == brute_classes(rows)
+    assert classes_of(spark.createDataFrame(rows, SCHEMA), small=4, task=6, steps=2) == brute_classes(rows)
+    assert classes_of(spark.createDataFrame(rows, SCHEMA), small=4, steps=3) == brute_classes(rows)
 
 
 def test_odd_near_duplicates(spark, odd_docs, odd_rows, no_docs):

@@ -11,8 +11,9 @@ pair with probability below 1/e in the first step, and runs are repeated until t
 Choices are made among a sample of each set, itself chosen by a shared hash: it serves all runs and steps, and small
 buckets compare their members by it with a wide margin. What they connect are groups of candidates; within
 a group the whole sets are compared, so links and similarities are exact. No pairs leave a task:
-buckets give spanning trees, groups give a count of links for each member and spanning trees. Buckets that no
-path splits, and groups too large for one task, are compared block by block.
+buckets give spanning trees, groups give a count of links for each member and its class. A bucket that fits a
+task splits further within it; larger ones are split by Spark, step by step. Buckets that no path splits, and groups
+too large for one task, are compared block by block.
 """
 
 from __future__ import annotations
@@ -30,11 +31,15 @@ from pyspark.sql import functions as F
 from .common import likely, packed, salted_join, stored, table, text_of, unpacked
 from .graph import components
 
-SHINGLE, THRESHOLD, RECALL = 5, 0.8, 1 - 1e-6
-#: Expected sample of a set of similarity threshold; members a bucket is compared with at once; steps of a path; members of a block.
-SAMPLE, SMALL, STEPS, BLOCK = 64, 256, 6, 512
+SHINGLE, THRESHOLD, RECALL = 5, 0.8, 1 - 1e-5
+#: Shared sample of two sets of the threshold's similarity; members of a bucket that are compared with each
+#: other, and that fit a task; steps of a path; members of a block of whole sets.
+SAMPLE, SMALL, TASK, STEPS, BLOCK = 64, 256, 20_000, 6, 512
 #: Buckets connect members whose samples agree to this share of the threshold.
-MARGIN = 0.7
+MARGIN = 0.6
+#: A member this similar to another one, by their samples, needs no further partners: by the triangle
+#: inequality of the Jaccard distance these are all similar enough to that other one to be connected to it.
+SETTLED = 0.85
 REMEMBERED = 300_000
 
 
@@ -129,27 +134,27 @@ def _choices(sets: DataFrame, paths: DataFrame | None, runs: int) -> DataFrame:
 
 def _samples(sets: DataFrame, members: DataFrame) -> DataFrame:
     """Samples of the classes that are members of something."""
-    return likely(sets.select("cls", "sample"), F.xxhash64("cls"), members.select("cls").distinct(), F.xxhash64("cls"))
+    return likely(sets.select("cls", "sample"), F.xxhash64("cls"), members, F.xxhash64("cls"))
 
 
-def _buckets(sets: DataFrame, runs: int, small: int, steps: int) -> tuple[list[DataFrame], DataFrame | None]:
-    """Small buckets (``members``, sorted), one frame per step, and ``key, cls, n`` of those that
-    stayed large to the end."""
-    found, paths = [], None
+def _buckets(sets: DataFrame, runs: int, small: int, task: int, steps: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """``bucket, cls`` of buckets that fit a task, and ``key, cls, n`` of those that never do."""
+    found, paths = None, None
     for step in range(steps):
         choices = stored(_choices(sets, paths, runs), f"paths-{step}")
         met = stored(choices.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"path-sizes-{step}")
-        if met.isEmpty():
-            return found, None
         shared = stored(salted_join(choices, met.withColumn("size", F.col("n")), ["key"], "n", ["cls"]), f"path-members-{step}")
+        # Similar sets meet in most runs; of small buckets one of each membership is enough.
         near = shared.where(F.col("size") <= small).groupBy("key").agg(F.sort_array(F.collect_list("cls")).alias("members"))
-        # Similar sets meet in most runs; one bucket of each membership is enough.
-        found.append(near.select("members").distinct())
-        paths = shared.where(F.col("size") > small).select("key", "cls", "size")
+        near = near.select("members").distinct().select(F.xxhash64("members").alias("bucket"), F.explode("members").alias("cls"))
+        fits = near.union(shared.where((F.col("size") > small) & (F.col("size") <= task)).select(F.col("key").alias("bucket"), "cls"))
+        found = fits if found is None else found.union(fits)
+        paths = shared.where(F.col("size") > task).select("key", "cls", F.col("size").alias("n"))
         if paths.isEmpty():
             return found, None
-        paths = paths if step == steps - 1 else paths.drop("size")
-    return found, paths.withColumnRenamed("size", "n")
+        if step < steps - 1:
+            paths = paths.drop("n")
+    return found, paths
 
 
 def overlaps(sets: list[np.ndarray], others: list[np.ndarray] | None = None) -> np.ndarray:
@@ -222,32 +227,80 @@ def _values(column: pa.Array) -> list:
     return [flat[a - ends[0] : b - ends[0]] for a, b in zip(ends, ends[1:])]
 
 
-def _edges_of(members: DataFrame, threshold: float) -> DataFrame:
-    """``a, b``: spanning trees of buckets (``bucket, left, cls, size, sample``; members with ``left``
-    false are compared with the others, not with each other)."""
+def bucket_edges(path: int, samples: list[np.ndarray], threshold: float, small: int, steps: int) -> list[tuple[int, int]]:
+    """Edges that connect the similar members of a bucket, by their samples.
+
+    Small buckets are compared throughout. In a large one, members much like a pivot are linked to it and
+    settled; the others split by the shingles they choose next.
+    """
     low = MARGIN * threshold
+    sizes = np.array([len(s) for s in samples])
+    flat, edges = np.concatenate(samples), []
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+
+    def compared(members: np.ndarray) -> None:
+        own = [samples[i] for i in members]
+        if len(own) == 2:
+            n = len(np.intersect1d(own[0], own[1], assume_unique=True))
+            if n and n >= low * (len(own[0]) + len(own[1]) - n) - 1e-9:
+                edges.append((members[0], members[1]))
+        else:
+            linked = similar(sizes[members], overlaps(own), low)
+            edges.extend((members[i], members[j]) for i, j in spanning(linked))
+
+    def like(pivot: int, members: np.ndarray) -> np.ndarray:
+        hits = np.concatenate([[0], np.cumsum(np.isin(flat, samples[pivot]))])
+        both = hits[bounds[members + 1]] - hits[bounds[members]]
+        return both / (sizes[members] + sizes[pivot] - both)
+
+    todo = [(np.arange(len(samples)), np.uint64(path & 2**64 - 1), 0)]
+    while todo:
+        members, at, step = todo.pop()
+        while len(members) > small:
+            share = like(members[0], members)
+            edges.extend((members[0], j) for j in members[share >= low] if j != members[0])
+            before, members = len(members), members[(share < SETTLED) & (members != members[0])]
+            if len(members) > 0.95 * before:
+                break
+        if len(members) <= small:
+            if len(members) > 1:
+                compared(members)
+        elif step == steps:  # no path splits these
+            for i in range(0, len(members), small):
+                for j in range(i, len(members), small):
+                    part = np.unique(np.concatenate([members[i : i + small], members[j : j + small]]))
+                    compared(part)
+        else:
+            owner = np.repeat(np.arange(len(members)), sizes[members])
+            tokens = np.concatenate([samples[i] for i in members])
+            chosen = _mixed(tokens ^ _mixed(np.array([at + np.uint64(step + 1)], np.uint64))) <= _share(1 / SAMPLE)
+            tokens, owner = tokens[chosen], owner[chosen]
+            order = np.argsort(tokens, kind="stable")
+            keys, starts, counts = np.unique(tokens[order], return_index=True, return_counts=True)
+            for key, start, n in zip(keys, starts, counts):
+                if n > 1:
+                    todo.append((members[owner[order[start : start + n]]], _mixed(np.array([at ^ key], np.uint64))[0], step + 1))
+    return edges
+
+
+def _edges_of(members: DataFrame, threshold: float, small: int, steps: int) -> DataFrame:
+    """``a, b``: edges that connect the similar members of buckets (``bucket, left, cls, sample``;
+    members with ``left`` false are compared with the others, not with each other)."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (lefts, classes, samples) in _grouped(source, ["bucket"], ["left", "cls", "sample"]):
-            a = [i for i, left in enumerate(lefts) if left]
-            b = [i for i, left in enumerate(lefts) if not left]
-            own = [samples[i] for i in a]
-            sizes = np.array([len(s) for s in own])
-            if b:
-                others = [samples[i] for i in b]
-                linked = similar(sizes, overlaps(own, others), low, np.array([len(s) for s in others]))
+        for (bucket,), (lefts, classes, samples) in _grouped(source, ["bucket"], ["left", "cls", "sample"]):
+            if all(lefts):
+                names, edges = classes, bucket_edges(bucket, samples, threshold, small, steps)
+            else:
+                a, b = ([i for i, left in enumerate(lefts) if left is side] for side in (True, False))
+                own, others = [samples[i] for i in a], [samples[i] for i in b]
+                sizes = [np.array([len(s) for s in x]) for x in (own, others)]
                 whole = np.zeros((len(classes),) * 2, bool)
-                whole[: len(a), len(a) :] = linked
+                whole[: len(a), len(a) :] = similar(sizes[0], overlaps(own, others), MARGIN * threshold, sizes[1])
                 edges, names = spanning(whole | whole.T), [classes[i] for i in a + b]
-            elif len(own) == 2:
-                n = len(np.intersect1d(own[0], own[1], assume_unique=True))
-                edges, names = [(0, 1)] if n and n >= low * (sizes.sum() - n) - 1e-9 else [], classes
-            else:
-                edges, names = spanning(similar(sizes, overlaps(own), low)), classes
             if edges:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([names[e[i]] for e in edges], pa.int64()) for i in (0, 1)], names=["a", "b"]
-                )
+                columns = [pa.array([names[e[i]] for e in edges], pa.int64()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
 
     rows = members.repartition("bucket").sortWithinPartitions("bucket", F.desc("left"), "cls")
     return rows.select("bucket", "left", "cls", "sample").mapInArrow(batches, "a long, b long")
@@ -268,35 +321,31 @@ def _blocks(rows: DataFrame, group: str, count: str, member: str) -> DataFrame:
     return dealt.withColumns({"bucket": bucket, "left": F.col("_own") == F.col("_pair.i")}).drop("_n", "_own", "_pair")
 
 
-def _candidate_groups(sets: DataFrame, threshold: float, recall: float, small: int, steps: int) -> DataFrame:
+def _candidate_groups(sets: DataFrame, threshold: float, recall: float, small: int, task: int, steps: int) -> DataFrame:
     """``node, component`` of classes that may be similar to another one."""
-    near, large = _buckets(sets, runs_for(recall), small, steps)
-    links = None
-    for number, members in enumerate(near):
-        own = members.select(F.xxhash64("members").alias("bucket"), F.explode("members").alias("cls"))
-        own = own.join(_samples(sets, own), "cls").withColumn("left", F.lit(True))
-        edges = stored(_edges_of(own, threshold).distinct(), f"links-{number}")
-        links = edges if links is None else links.union(edges)
+    fits, large = _buckets(sets, runs_for(recall), small, task, steps)
+    members = fits.withColumn("left", F.lit(True))
     if large is not None:
-        dealt = _blocks(large, "key", "n", "cls").select(F.xxhash64("bucket").alias("bucket"), "left", "cls")
-        edges = stored(_edges_of(dealt.join(_samples(sets, dealt), "cls"), threshold).distinct(), "links-large")
-        links = edges if links is None else links.union(edges)
-    if links is None:
-        return sets.sparkSession.createDataFrame([], "node long, component long")
-    return components(links, "a", "b")
+        dealt = _blocks(large, "key", "n", "cls").select(F.xxhash64("bucket").alias("bucket"), "cls", "left")
+        members = members.union(dealt)
+    members = stored(members, "bucket-members")
+    edges = _edges_of(members.join(_samples(sets, members), "cls"), threshold, small, steps)
+    return components(edges, "a", "b")
 
 
 # --- whole sets ---------------------------------------------------------------------------------
 
 
 def _compared(members: DataFrame, threshold: float) -> DataFrame:
-    """``cls, other, links``: for every member of a bucket (``bucket, left, cls, copies, text``) the number of
-    documents of other classes linked to it, and edges of a spanning forest (links 0)."""
+    """For every member of a bucket (``bucket, left, n, cls, copies, text``) the number of documents of
+    other classes linked to it there, ``cls, label, other, links``. ``label`` is the smallest class it is connected to, if the bucket is a whole group;
+    else there are edges ``cls, other`` as well (links 0) that connect what is similar."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _grouped(source, ["group", "i", "j"], ["cls", "left", "copies", "text"]):
+        for _, rows in _grouped(source, ["group", "i", "j"], ["cls", "left", "n", "copies", "text"]):
             # A repeated row brings its class again.
-            classes, lefts, copies, texts = zip(*[row for i, row in enumerate(zip(*rows)) if not i or rows[0][i - 1] != row[0]])
+            rows = zip(*[row for i, row in enumerate(zip(*rows)) if not i or rows[0][i - 1] != row[0]])
+            classes, lefts, group_sizes, copies, texts = rows
             sets = [shingles(t) for t in texts]
             sizes, weight = np.array([len(s) for s in sets]), np.array(copies, np.int64)
             a = [i for i, left in enumerate(lefts) if left]
@@ -309,17 +358,23 @@ def _compared(members: DataFrame, threshold: float) -> DataFrame:
             else:
                 whole = similar(sizes, overlaps(sets), threshold)
                 np.fill_diagonal(whole, False)
-            links, edges = whole @ weight, spanning(whole)
-            columns = [
-                list(classes) + [classes[x] for x, _ in edges],
-                [None] * len(classes) + [classes[y] for _, y in edges],
-                links.tolist() + [0] * len(edges),
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["cls", "other", "links"])
+            links, edges = (whole @ weight).tolist(), spanning(whole)
+            if group_sizes[0] <= BLOCK:
+                # Trees are listed from their roots, and members by class: the root is the smallest.
+                root = list(range(len(classes)))
+                for x, y in edges:
+                    root[y] = root[x]
+                columns = [list(classes), [classes[r] for r in root], [None] * len(classes), links]
+            else:
+                columns = [
+                    list(classes) + [classes[x] for x, _ in edges], [None] * (len(classes) + len(edges)),
+                    [None] * len(classes) + [classes[y] for _, y in edges], links + [0] * len(edges),
+                ]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["cls", "label", "other", "links"])
 
-    rows = members.select(F.col("bucket.group"), F.col("bucket.i"), F.col("bucket.j"), "left", "cls", "copies", "text")
+    rows = members.select(F.col("bucket.group"), F.col("bucket.i"), F.col("bucket.j"), "left", "n", "cls", "copies", "text")
     rows = rows.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", F.desc("left"), "cls")
-    return rows.mapInArrow(batches, "cls long, other long, links long")
+    return rows.mapInArrow(batches, "cls long, label long, other long, links long")
 
 
 def _classes(
@@ -330,6 +385,7 @@ def _classes(
     id_column: str = "doc_id",
     text_column: str = "text",
     small: int = SMALL,
+    task: int = TASK,
     steps: int = STEPS,
 ) -> DataFrame:
     """``near_duplicates`` with ``text_hash``, and ``class_key``, which tells classes apart even if ids repeat."""
@@ -342,14 +398,15 @@ def _classes(
     )
     classes = stored(classes.select(*digest, "first.id", "first.text_hash", "copies", "sample"), "shingle-classes")
     # Classes go by their smallest id; where an id stands for several texts, the others by a hash.
-    if classes.groupBy("id").count().where("count > 1 and id is not null").isEmpty():
+    apart = not classes.groupBy("id").count().where("count > 1 and id is not null").isEmpty()
+    if not apart:
         classes = classes.withColumn("cls", F.col("id"))
     else:
         place = F.row_number().over(W.partitionBy("id").orderBy(*digest))
         classes = classes.withColumn("cls", F.when(place == 1, F.col("id")).otherwise(F.xxhash64("id", *digest)))
         classes = stored(classes, "classes-apart")
     sets = classes.where("size > 0 and id is not null").select("cls", "sample")
-    groups = stored(_candidate_groups(sets, threshold, recall, small, steps), "candidate-groups")
+    groups = stored(_candidate_groups(sets, threshold, recall, small, task, steps), "candidate-groups")
     sized = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     wanted = groups.join(sized, "component").withColumnRenamed("node", "cls")
     wanted = stored(wanted.join(classes.select("cls", "id", "text_hash", "copies"), "cls"), "candidates")
@@ -357,15 +414,20 @@ def _classes(
     texts = likely(rows, F.xxhash64("id", "text_hash"), wanted, F.xxhash64("id", "text_hash"))
     blocks = _blocks(wanted, "component", "n", "cls").join(texts, ["id", "text_hash"])
     compared = stored(_compared(blocks, threshold), "compared")
-    links = compared.where("other is null").groupBy("cls").agg(F.sum("links").alias("links"))
-    joined = components(compared.where("other is not null").select("cls", "other"), "cls", "other")
-    joined = joined.join(classes.select(F.col("cls").alias("node"), "id"), "node")
-    smallest = joined.groupBy("component").agg(F.min("id").alias("class_id"))
-    joined = joined.join(smallest, "component").select(F.col("node").alias("cls"), "class_id", F.col("component").alias("class_key"))
-    named = classes.select(*digest, "id", "cls", "copies").join(links, "cls", "left").join(joined, "cls", "left")
+    found = compared.where("other is null").groupBy("cls").agg(F.sum("links").alias("links"), F.min("label").alias("label"))
+    edges = compared.where("other is not null")
+    if not edges.isEmpty():
+        joined = components(edges, "cls", "other").withColumnRenamed("node", "cls")
+        found = found.join(joined, "cls", "left").withColumn("label", F.coalesce("label", "component")).drop("component")
+    named = classes.select(*digest, "id", "cls", "copies").join(found, "cls", "left")
+    named = named.withColumn("class_key", F.coalesce("label", "cls"))
+    if apart:  # a class's key need not be an id
+        smallest = named.groupBy("class_key").agg(F.min("id").alias("class_id"))
+        named = named.join(smallest, F.col("class_key").eqNullSafe(smallest["class_key"])).drop(smallest["class_key"])
+    else:
+        named = named.withColumn("class_id", F.col("class_key"))
     named = named.select(
-        *digest, F.col("id").alias("copy_id"), "copies", F.coalesce("class_id", "id").alias("class_id"),
-        F.coalesce("class_key", "cls").alias("class_key"),
+        *digest, F.col("id").alias("copy_id"), "copies", "class_id", "class_key",
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n"),
     )
     found = salted_join(documents.select("id", "text_hash", *digest), stored(named, "classes-named"), digest, "n", ["id", "text_hash"])
