@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """Session for tests and the bench; on a cluster the submitter configures the session."""
+    """Session for tests and the bench, with a shared folder of its own; on a cluster the submitter
+    configures the session."""
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("tillmark")
@@ -21,6 +22,7 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, memory: str = "8
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tillmark-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
