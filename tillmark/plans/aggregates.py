@@ -133,11 +133,11 @@ QUERIES = {
     .groupBy("Actual", "Predicted", "Error").agg(F.sum("weight").cast("long").alias("rows")),
     "jo5_star_join": lambda s, f: plain(adapters.order_transactions(s, f)),
     "jo6_gap_fill": lambda s, f: plain(series.resample(sales(s, f), "transaction_qty", "hour", ["store_location"])),
-    "wi1_percent_of_total": lambda s, f: inventory.abc_classes(line_sales(s, f)).select(
-        "product_category", "Revenue_Pct"
+    "wi1_percent_of_total": lambda s, f: rounded(
+        inventory.abc_classes(line_sales(s, f)).select("product_category", "Revenue_Pct"), "Revenue_Pct"
     ),
-    "wi2_running_percent": lambda s, f: inventory.abc_classes(line_sales(s, f), "product_type").select(
-        "product_type", "Cumulative_Pct"
+    "wi2_running_percent": lambda s, f: rounded(
+        inventory.abc_classes(line_sales(s, f), "product_type").select("product_type", "Cumulative_Pct"), "Cumulative_Pct"
     ),
     "wi3_first_last_seven": lambda s, f: inventory.demand_trend(line_sales(s, f)).select(
         "product_category", "first7", "last7", "count", "trend"
@@ -348,11 +348,11 @@ ORACLE = {
     "wi1_percent_of_total": over(
         LI,
         _ABC.format(key="product_category", m=m())
-        + """SELECT product_category, CAST(CAST(r AS DECIMAL(38, 9)) AS DOUBLE)
-          / CAST(sum(CAST(r AS DECIMAL(38, 9))) OVER () AS DOUBLE) * 100 AS "Revenue_Pct" FROM w""",
+        + """SELECT product_category, round(r / CAST(sum(CAST(r AS DECIMAL(38, 9))) OVER () AS DOUBLE) * 100, 6)
+          AS "Revenue_Pct" FROM w""",
     ),
     "wi2_running_percent": over(
-        LI, _ABC.format(key="product_type", m=m()) + 'SELECT product_type, u AS "Cumulative_Pct" FROM w'
+        LI, _ABC.format(key="product_type", m=m()) + 'SELECT product_type, round(u, 6) AS "Cumulative_Pct" FROM w'
     ),
     "wi3_first_last_seven": over(
         LI,

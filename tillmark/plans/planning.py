@@ -78,7 +78,7 @@ QUERIES = {
     "sn5_cost_curve": lambda s, f: scenario.cost_curve(_base(s, f)),
     "sn6_expansion_curve": lambda s, f: scenario.expansion_curve(_base(s, f)),
     "sn7_store_scenarios": lambda s, f: _scenario_columns(scenario.store_scenarios(line_sales(s, f), SCENARIOS)),
-    "in1_abc_classes": lambda s, f: inventory.abc_classes(line_sales(s, f)),
+    "in1_abc_classes": lambda s, f: rounded(inventory.abc_classes(line_sales(s, f)), "Revenue_Pct", "Cumulative_Pct"),
     "in1_abc_brands": lambda s, f: inventory.abc_classes(line_sales(s, f), "product_type").select(
         "product_type", "ABC_Class"
     ),
@@ -323,7 +323,11 @@ ORACLE = {
           '$' || CAST(CAST(round_even(v / 1000, 0) AS BIGINT) AS VARCHAR) || 'k' AS label FROM e""",
     ),
     "sn7_store_scenarios": over(LI, _numbers(_STORES) + f"SELECT store_location, {_SHOWN} FROM y"),
-    "in1_abc_classes": over(LI, _abc() + "SELECT * FROM abc"),
+    "in1_abc_classes": over(
+        LI,
+        _abc() + """SELECT * REPLACE (round("Revenue_Pct", 6) AS "Revenue_Pct", round("Cumulative_Pct", 6) AS "Cumulative_Pct")
+        FROM abc""",
+    ),
     "in1_abc_brands": over(LI, _abc("product_type") + 'SELECT product_type, "ABC_Class" FROM abc'),
     "in2_class_counts": over(LI, _abc() + 'SELECT "ABC_Class", count(*) AS "Count" FROM abc GROUP BY 1'),
     "in3_stock_levels": over(
