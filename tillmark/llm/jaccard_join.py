@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import likely, packed, salted_join, stored, table, text_of, unpacked
+from .common import likely, packed, salted_join, slices, stored, table, text_of, unpacked
 from .graph import components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 1 - 1e-5
@@ -40,7 +40,7 @@ MARGIN = 0.6
 #: A member this similar to another one, by their samples, needs no further partners: by the triangle
 #: inequality of the Jaccard distance these are all similar enough to that other one to be connected to it.
 SETTLED = 0.85
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 def runs_for(recall: float) -> int:
@@ -49,7 +49,6 @@ def runs_for(recall: float) -> int:
 
 # --- sets ---------------------------------------------------------------------------------------
 
-_WORDS: dict[str, int] = {}
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -62,10 +61,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
+def shingles(text: str, size: int = SHINGLE, known: dict[str, int] | None = None) -> np.ndarray:
     """Sorted hashes of the distinct runs of ``size`` words (between white space, in lower case);
-    of all words, if there are fewer; none without words."""
-    known = _WORDS
+    of all words, if there are fewer; none without words. ``known`` remembers hashes of words."""
+    known = {} if known is None else known
     if len(known) > REMEMBERED:
         known.clear()
     words = text.lower().split()
@@ -100,8 +99,9 @@ def _sets(rows: DataFrame, threshold: float) -> DataFrame:
     """``id, text_hash, size, h1, h2`` (digest of the set) ``, sample``."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            sets = [shingles(text) for text in batch.column("text").to_pylist()]
+        known: dict[str, int] = {}
+        for batch in slices(source):
+            sets = [shingles(text, known=known) for text in batch.column("text").to_pylist()]
             digests = [xxhash.xxh128_intdigest(s.tobytes()) for s in sets]
             halves = [[(d >> shift & 2**64 - 1) - 2**63 for d in digests] for shift in (0, 64)]
             arrays = [
@@ -206,7 +206,7 @@ def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
 def _grouped(source: Iterator[pa.RecordBatch], key: list[str], value: list[str]):
     """Runs of equal keys in sorted batches: key, and a list of values for each column."""
     now, rows = None, []
-    for batch in source:
+    for batch in slices(source):
         keys = list(zip(*(batch.column(k).to_pylist() for k in key)))
         values = list(zip(*(_values(batch.column(v)) for v in value)))
         for k, v in zip(keys, values):

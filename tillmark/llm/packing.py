@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored, table, text_of
+from .common import slices, stored, table, text_of
 from .word_bpe import word_ids
 
 SEQUENCE, END_ID = 4096, 2
@@ -81,18 +81,16 @@ def _encoded(rows: DataFrame, vocabulary: str) -> DataFrame:
         encode = word_ids(vocabulary)
         kind, size = encode.kind, len(encode.ends)
         end = np.array([END_ID], kind).tobytes()
-        for batch in source:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [d + end for d in encode.of(part.column(1).to_pylist())]
-                arrays = [np.frombuffer(d, kind) for d in ids]
-                columns = [
-                    part.column(0),
-                    pa.array(curve_keys(arrays, size), pa.int64()),
-                    pa.array([len(a) for a in arrays], pa.int64()),
-                    pa.array(ids, pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "n", "ids"])
+        for part in slices(source):
+            ids = [d + end for d in encode.of(part.column(1).to_pylist())]
+            arrays = [np.frombuffer(d, kind) for d in ids]
+            columns = [
+                part.column(0),
+                pa.array(curve_keys(arrays, size), pa.int64()),
+                pa.array([len(a) for a in arrays], pa.int64()),
+                pa.array(ids, pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "n", "ids"])
 
     return rows.mapInArrow(batches, "id long, key long, n long, ids binary")
 
@@ -119,7 +117,7 @@ def _cut(placed: DataFrame, size: int, kind: np.dtype) -> DataFrame:
     names = [field.split()[0] for field in schema.split(", ")]
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in slices(source):
             pieces = []
             rows = zip(*(batch.column(c).to_pylist() for c in ("id", "n", "ids", "place")))
             for doc, n, ids, place in rows:

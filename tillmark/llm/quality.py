@@ -18,7 +18,6 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -26,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import packed, stored, table, text_of, unpacked
+from .common import slices, stored, table, text_of
 
 #: Hashed features, rated documents the fit reads at most, steps, and strength of the L2 penalty.
 SIZE, MAX_RATED, STEPS, PENALTY = 1 << 16, 20_000, 30, 3e-4
 FIT_PARTS = 8
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 SHAPES = ("again", "upper", "shout", "sign", "number", "link", "marks", "many", "long")
 #: Length of a text's word features taken together, and of each shape feature.
 WORD_LENGTH, SHAPE_LENGTH = 24.0, 3.0
@@ -80,7 +79,7 @@ class Model:
 
 
 class _Words:
-    """Features of tokens, remembered by a process up to a bound."""
+    """Features of tokens, remembered by a task up to a bound."""
 
     def __init__(self):
         self.known: dict[str, tuple[tuple[int, ...], int]] = {}
@@ -104,11 +103,6 @@ class _Words:
         return sorted(slots), shape_features(tokens, counts, shapes)
 
 
-@lru_cache(1)
-def _words() -> _Words:
-    return _Words()
-
-
 def rated_features(docs: DataFrame, ratings: DataFrame, max_rated: int) -> DataFrame:
     """``grade, words, shapes`` of at most ``max_rated`` rated documents, by a hash of their ids."""
     rated = ratings.select(F.col("doc_id").alias("id"), F.col("grade").cast("int").alias("grade")).dropna()
@@ -117,8 +111,8 @@ def rated_features(docs: DataFrame, ratings: DataFrame, max_rated: int) -> DataF
     joined = rows.join(F.broadcast(sample), "id")  # at most max_rated rows
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words()
-        for batch in source:
+        words = _Words()
+        for batch in slices(source):
             found = [words.of(text) for text in batch.column("text").to_pylist()]
             arrays = [batch.column("id"), batch.column("grade"), *[pa.array([f[i] for f in found], pa.list_(pa.int32())) for i in (0, 1)]]
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "grade", "words", "shapes"])
@@ -236,27 +230,26 @@ def minimise(evaluate, point: np.ndarray, steps: int, memory: int = 8) -> np.nda
 
 
 def score(docs: DataFrame, model: Model, *, at_least: int | None = None) -> DataFrame:
-    """``docs`` packed as ``_row``, with ``expected`` grade and ``tail`` = P(grade >= ``at_least``,
-    by default the best). Null texts count as empty; whole texts are read."""
+    """``text`` and the other columns as ``_row``, with ``expected`` grade and ``tail`` = P(grade >=
+    ``at_least``, by default the best). Null texts count as empty; whole texts are read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     best = len(model.thresholds) if at_least is None else at_least
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known = _words(), shared.value
-        for batch in source:
+        words, known = _Words(), shared.value
+        for batch in slices(source):
             scores = []
-            for text in batch.column("_text").to_pylist():
-                slots, shapes = words.of(text)
+            for text in batch.column("text").to_pylist():
+                slots, shapes = words.of(text or "")
                 words_part = WORD_LENGTH * known.weights[slots].sum() / math.sqrt(max(1, len(slots)))
                 scores.append(words_part + SHAPE_LENGTH * known.weights[shapes].sum())
             at_most = known.at_most(np.array(scores, float))
-            expected = (1 - at_most).sum(1)
-            arrays = [batch.column("_row"), pa.array(expected), pa.array(1 - at_most[:, best - 1])]
-            yield pa.RecordBatch.from_arrays(arrays, names=["_row", "expected", "tail"])
+            arrays = [batch.column("_row"), batch.column("text"), pa.array((1 - at_most).sum(1)), pa.array(1 - at_most[:, best - 1])]
+            yield pa.RecordBatch.from_arrays(arrays, names=["_row", "text", "expected", "tail"])
 
-    rows = packed(docs, _text=text_of("text"))
-    kind = rows.schema["_row"].dataType.simpleString()
-    return rows.mapInArrow(batches, f"_row {kind}, expected double, tail double")
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row")
+    rows = docs.select(rest, F.col("text"))
+    return rows.mapInArrow(batches, f"_row {rows.schema['_row'].dataType.simpleString()}, text string, expected double, tail double")
 
 
 def grades_of(labels: DataFrame) -> DataFrame:
@@ -270,7 +263,8 @@ KEEP = 0.5
 
 def select_good(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
     """The documents that are good with a probability of at least ``keep``, all columns as they are."""
-    return unpacked(score(docs, fit(docs, grades_of(labels), 3)).where(F.col("tail") >= keep))
+    good = score(docs, fit(docs, grades_of(labels), 3)).where(F.col("tail") >= keep)
+    return good.select(*[F.col("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import slices, table, text_of
 from .word_bpe import counter
 
 LIMIT = 2048
@@ -44,7 +44,7 @@ def prefix_counts(
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = counter(vocabulary)
-        for batch in source:
+        for batch in slices(source):
             texts = batch.column(1).to_pylist()
             deltas = [known.deltas(text) for text in texts]
             columns = [
