@@ -180,7 +180,9 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, *, max_rated: int = MA
                 data = np.concatenate([[total, n], by_weight, by_edge]).tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["sums"])
 
-        parts = sorted(bytes(r["sums"]) for r in features.mapInArrow(batches, "sums binary").collect())
+        # FIT_PARTS sums, into however many files the features were written.
+        parts = features.coalesce(FIT_PARTS).mapInArrow(batches, "sums binary").collect()
+        parts = sorted(bytes(r["sums"]) for r in parts)
         shared.unpersist()
         sums = sum((np.frombuffer(p) for p in parts), np.zeros(2 + SIZE + grades - 1))
         n = max(1.0, sums[1])
