@@ -151,6 +151,8 @@ def deduplicated(
     found = stored(found.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("ats").alias("_ats")), "lines-dropped")
     text = text_of(text_column)
     rows = packed(docs, _own=F.col(id_column), _text=F.xxhash64(text), _lines=F.split(text, "\n", -1))
+    # What is dropped grows with the documents, so it is never broadcast, at any size.
+    found = found.hint("merge")
     joined = rows.join(found, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left")
     none = F.array().cast("array<int>")
     joined = joined.select("_row", "_lines", F.coalesce("_ats", none).alias("ats"))

@@ -154,7 +154,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("copy", "uses"))).alias("_uses")
     )
     rows = packed(docs, _doc=F.col("doc_id"), _text=F.xxhash64(text_of("text")), _source=F.col("source"))
-    joined = rows.join(uses, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_tie")))
+    joined = rows.join(uses.hint("merge"), F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_tie")))
     copy = F.row_number().over(W.partitionBy("_doc", "_text").orderBy("_source"))
     times = F.coalesce(F.try_element_at("_uses", F.col("_copy")), F.lit(0))
     each = joined.withColumn("_copy", copy).withColumn("_times", times).where("_times > 0")
