@@ -164,6 +164,24 @@ def test_near_duplicates_like_brute_force(spark):
     assert classes_of(spark.createDataFrame(rows, SCHEMA)) == brute_classes(rows)
 
 
+def isolated_pairs(seed, n, words, first_id=0):
+    """Pairs of texts that differ by their last word alone, and share no word with other pairs."""
+    rng, rows = random.Random(seed), []
+    for pair in range(n):
+        length = rng.choice(words)
+        base = [f"p{pair}w{i}" for i in range(length)]
+        rows += [(first_id + 2 * pair, " ".join(base), "", "", 0), (first_id + 2 * pair + 1, " ".join([*base[:-1], f"x{pair}"] if length > 12 else [*base, f"x{pair}"]), "", "", 0)]
+    return rows
+
+
+def test_isolated_pairs_of_short_texts(spark):
+    """Every pair is found, however few shingles it shares."""
+    rows = isolated_pairs(8, 400, [8, 9, 10, 12, 15, 20, 30, 45, 60])
+    wanted = brute_classes(rows[:40])
+    assert sum(links for *_, links in wanted) >= 36
+    assert all(links == 1 for *_, links in classes_of(spark.createDataFrame(rows, SCHEMA)))
+
+
 def test_large_buckets_and_groups(spark, monkeypatch):
     """Paths that split no further, and groups of several blocks, give the same classes."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 9)

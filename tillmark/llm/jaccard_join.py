@@ -95,6 +95,12 @@ def sampled(tokens: np.ndarray, threshold: float, seed: int = 0x5EED) -> np.ndar
     return tokens[_mixed(tokens ^ np.uint64(seed)) <= _share(SAMPLE / (threshold * len(tokens)))]
 
 
+def choice_rate(sample: int, threshold: float) -> float:
+    """Share of its sample that a set chooses: 1 / SAMPLE, that is 1 / (threshold s) of the set; sets of fewer
+    shingles than a sample are a sample as a whole. Of two sets the smaller rate decides what both choose."""
+    return 1 / max(1, min(SAMPLE, threshold * sample))
+
+
 def _sets(rows: DataFrame, threshold: float) -> DataFrame:
     """``id, text_hash, size, h1, h2`` (digest of the set) ``, sample``."""
 
@@ -119,15 +125,15 @@ def _sets(rows: DataFrame, threshold: float) -> DataFrame:
 # --- chosen paths -------------------------------------------------------------------------------
 
 
-def _choices(sets: DataFrame, paths: DataFrame | None, runs: int) -> DataFrame:
+def _choices(sets: DataFrame, paths: DataFrame | None, runs: int, threshold: float) -> DataFrame:
     """``key, cls`` for each shingle chosen at the start of each run, or at the end of each path."""
-    # Among a sample, 1 / SAMPLE of the shingles are chosen, that is 1 / (threshold s) of the set.
-    limit = int(2**64 / SAMPLE) - 2**63
+    one_in = F.least(F.lit(float(SAMPLE)), F.size("sample") * F.lit(float(threshold)))
+    limit = F.when(one_in <= 1, F.lit(2**63 - 1)).otherwise((F.lit(2.0**64) / one_in - F.lit(2.0**63)).cast("long"))
     if paths is None:
         chosen = sets.select("cls", "sample", F.explode(F.sequence(F.lit(1), F.lit(runs)).cast("array<long>")).alias("path"))
     else:
         chosen = paths.withColumnRenamed("key", "path").join(_samples(sets, paths), "cls")
-    tokens = F.filter("sample", lambda t: F.xxhash64("path", t) <= F.lit(limit))
+    tokens = F.filter("sample", lambda t: F.xxhash64("path", t) <= limit)
     each = chosen.select("cls", "path", F.explode(tokens).alias("token"))
     return each.select(F.xxhash64(F.lit(3), "path", "token").alias("key"), "cls")
 
@@ -137,11 +143,11 @@ def _samples(sets: DataFrame, members: DataFrame) -> DataFrame:
     return likely(sets.select("cls", "sample"), F.xxhash64("cls"), members, F.xxhash64("cls"))
 
 
-def _buckets(sets: DataFrame, runs: int, small: int, task: int, steps: int) -> tuple[DataFrame | None, DataFrame | None]:
+def _buckets(sets: DataFrame, runs: int, threshold: float, small: int, task: int, steps: int) -> tuple[DataFrame | None, DataFrame | None]:
     """``bucket, cls`` of buckets that fit a task, and ``key, cls, n`` of those that never do."""
     found, paths = None, None
     for step in range(steps):
-        choices = stored(_choices(sets, paths, runs), f"paths-{step}")
+        choices = stored(_choices(sets, paths, runs, threshold), f"paths-{step}")
         met = stored(choices.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"path-sizes-{step}")
         shared = stored(salted_join(choices, met.withColumn("size", F.col("n")), ["key"], "n", ["cls"]), f"path-members-{step}")
         # Similar sets meet in most runs; of small buckets one of each membership is enough.
@@ -237,6 +243,7 @@ def bucket_edges(path: int, samples: list[np.ndarray], threshold: float, small:
     sizes = np.array([len(s) for s in samples])
     flat, edges = np.concatenate(samples), []
     bounds = np.concatenate([[0], np.cumsum(sizes)])
+    limits = np.array([_share(choice_rate(n, threshold)) for n in sizes.tolist()], np.uint64)
 
     def compared(members: np.ndarray) -> None:
         own = [samples[i] for i in members]
@@ -273,7 +280,7 @@ def bucket_edges(path: int, samples: list[np.ndarray], threshold: float, small:
         else:
             owner = np.repeat(np.arange(len(members)), sizes[members])
             tokens = np.concatenate([samples[i] for i in members])
-            chosen = _mixed(tokens ^ _mixed(np.array([at + np.uint64(step + 1)], np.uint64))) <= _share(1 / SAMPLE)
+            chosen = _mixed(tokens ^ _mixed(np.array([at + np.uint64(step + 1)], np.uint64))) <= limits[members][owner]
             tokens, owner = tokens[chosen], owner[chosen]
             order = np.argsort(tokens, kind="stable")
             keys, starts, counts = np.unique(tokens[order], return_index=True, return_counts=True)
@@ -323,7 +330,7 @@ def _blocks(rows: DataFrame, group: str, count: str, member: str) -> DataFrame:
 
 def _candidate_groups(sets: DataFrame, threshold: float, recall: float, small: int, task: int, steps: int) -> DataFrame:
     """``node, component`` of classes that may be similar to another one."""
-    fits, large = _buckets(sets, runs_for(recall), small, task, steps)
+    fits, large = _buckets(sets, runs_for(recall), threshold, small, task, steps)
     members = fits.withColumn("left", F.lit(True))
     if large is not None:
         dealt = _blocks(large, "key", "n", "cls").select(F.xxhash64("bucket").alias("bucket"), "cls", "left")
