@@ -182,6 +182,25 @@ def test_isolated_pairs_of_short_texts(spark):
     assert all(links == 1 for *_, links in classes_of(spark.createDataFrame(rows, SCHEMA)))
 
 
+def pairs_of_passages(seed, n, pool=40, each=10):
+    """Pairs made of the same frequent passages, one of them with a passage more; no other shingles."""
+    rng, rows = random.Random(seed), []
+    stop = " ".join(f"stop{i}" for i in range(5))
+    passage = [" ".join(f"q{p}w{i}" for i in range(5)) for p in range(pool)]
+    for pair in range(n):
+        own = rng.sample(range(pool), each + 1)
+        rows += [(2 * pair + more, " ".join(f"{stop} {passage[p]}" for p in [*own[: each + more]]) + f" {stop}", "", "", 0) for more in (0, 1)]
+    return rows
+
+
+def test_pairs_of_frequent_passages(spark):
+    """A pair is found however often the buckets of what it shares split."""
+    assert jaccard_join.runs_for(1 - 1e-5) < jaccard_join.runs_for(1 - 1e-5, 4) < jaccard_join.runs_for(1 - 1e-5, 7)
+    rows = pairs_of_passages(9, 500)
+    found = classes_of(spark.createDataFrame(rows, SCHEMA), small=3)
+    assert found == brute_classes(rows) and all(links for *_, links in found)
+
+
 def test_large_buckets_and_groups(spark, monkeypatch):
     """Paths that split no further, and groups of several blocks, give the same classes."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 9)

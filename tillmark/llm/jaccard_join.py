@@ -5,8 +5,9 @@ class, which goes on as one. A chosen path starts anew in every run: by a hash s
 size s chooses each of its shingles with probability 1 / (threshold s), and joins the bucket of each;
 buckets that are still large split again by further shingles, chosen by a hash of the path so far. Sets with a Jaccard
 similarity of at least the threshold share one or more choices of a step on average, so a run misses a
-pair with probability below 1/e in the first step, and runs are repeated until the target recall
-(Christiani, Pagh and Sivertsen, "Scalable and Robust Set Similarity Join", 2018).
+pair with probability of about 1/e in the first step and more in each further one, and runs are repeated until the target recall
+(Christiani, Pagh and Sivertsen, "Scalable and Robust Set Similarity Join", 2018). Classes that were in a bucket
+that splits again have as many runs as the deepest path asks for.
 
 Choices are made among a sample of each set, itself chosen by a shared hash: it serves all runs and steps, and small
 buckets compare their members by it with a wide margin. What they connect are groups of candidates; within
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +45,19 @@ SETTLED = 0.85
 REMEMBERED = 100_000
 
 
-def runs_for(recall: float) -> int:
-    return max(1, math.ceil(math.log(1 - recall) / -1))
+def runs_for(recall: float, depth: int = 1) -> int:
+    """Runs after which a pair of the threshold's similarity has shared a path of ``depth`` choices with this probability.
+
+    The pair shares SAMPLE shingles of its samples on average (Poisson), and all runs choose among the same ones."""
+    shared = np.arange(16 * SAMPLE)
+    weight = np.exp(shared * math.log(SAMPLE) - SAMPLE - np.array([math.lgamma(k + 1) for k in shared]))
+    missed = np.zeros(len(shared))
+    for _ in range(depth):
+        missed = (1 - (1 - missed) / SAMPLE) ** shared
+    runs = 1
+    while (weight * missed**runs).sum() > 1 - recall:
+        runs += 1
+    return runs
 
 
 # --- sets ---------------------------------------------------------------------------------------
@@ -125,12 +138,12 @@ def _sets(rows: DataFrame, threshold: float) -> DataFrame:
 # --- chosen paths -------------------------------------------------------------------------------
 
 
-def _choices(sets: DataFrame, paths: DataFrame | None, runs: int, threshold: float) -> DataFrame:
+def _choices(sets: DataFrame, paths: DataFrame | None, runs: range, threshold: float) -> DataFrame:
     """``key, cls`` for each shingle chosen at the start of each run, or at the end of each path."""
     one_in = F.least(F.lit(float(SAMPLE)), F.size("sample") * F.lit(float(threshold)))
     limit = F.when(one_in <= 1, F.lit(2**63 - 1)).otherwise((F.lit(2.0**64) / one_in - F.lit(2.0**63)).cast("long"))
     if paths is None:
-        chosen = sets.select("cls", "sample", F.explode(F.sequence(F.lit(1), F.lit(runs)).cast("array<long>")).alias("path"))
+        chosen = sets.select("cls", "sample", F.explode(F.sequence(F.lit(runs[0]), F.lit(runs[-1])).cast("array<long>")).alias("path"))
     else:
         chosen = paths.withColumnRenamed("key", "path").join(_samples(sets, paths), "cls")
     tokens = F.filter("sample", lambda t: F.xxhash64("path", t) <= limit)
@@ -143,24 +156,28 @@ def _samples(sets: DataFrame, members: DataFrame) -> DataFrame:
     return likely(sets.select("cls", "sample"), F.xxhash64("cls"), members, F.xxhash64("cls"))
 
 
-def _buckets(sets: DataFrame, runs: int, threshold: float, small: int, task: int, steps: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """``bucket, cls`` of buckets that fit a task, and ``key, cls, n`` of those that never do."""
-    found, paths = None, None
+def _buckets(
+    sets: DataFrame, runs: range, threshold: float, small: int, task: int, steps: int
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None, int]:
+    """``members`` of small buckets, ``bucket, cls`` of those that fit a task, ``cls`` of the classes in a bucket that
+    is not small, ``key, cls, n`` of buckets that never fit, and how many steps there were."""
+    smalls, fits, deep, paths = None, None, None, None
     for step in range(steps):
         choices = stored(_choices(sets, paths, runs, threshold), f"paths-{step}")
         met = stored(choices.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"path-sizes-{step}")
         shared = stored(salted_join(choices, met.withColumn("size", F.col("n")), ["key"], "n", ["cls"]), f"path-members-{step}")
-        # Similar sets meet in most runs; of small buckets one of each membership is enough.
         near = shared.where(F.col("size") <= small).groupBy("key").agg(F.sort_array(F.collect_list("cls")).alias("members"))
-        near = near.select("members").distinct().select(F.xxhash64("members").alias("bucket"), F.explode("members").alias("cls"))
-        fits = near.union(shared.where((F.col("size") > small) & (F.col("size") <= task)).select(F.col("key").alias("bucket"), "cls"))
-        found = fits if found is None else found.union(fits)
+        fit = shared.where((F.col("size") > small) & (F.col("size") <= task)).select(F.col("key").alias("bucket"), "cls")
+        smalls = near.select("members") if smalls is None else smalls.union(near.select("members"))
+        fits = fit if fits is None else fits.union(fit)
+        if step == 0:
+            deep = shared.where(F.col("size") > small).select("cls").distinct()
         paths = shared.where(F.col("size") > task).select("key", "cls", F.col("size").alias("n"))
         if paths.isEmpty():
-            return found, None
+            return smalls, fits, deep, None, step + 1
         if step < steps - 1:
             paths = paths.drop("n")
-    return found, paths
+    return smalls, fits, deep, paths, steps
 
 
 def overlaps(sets: list[np.ndarray], others: list[np.ndarray] | None = None) -> np.ndarray:
@@ -330,11 +347,28 @@ def _blocks(rows: DataFrame, group: str, count: str, member: str) -> DataFrame:
 
 def _candidate_groups(sets: DataFrame, threshold: float, recall: float, small: int, task: int, steps: int) -> DataFrame:
     """``node, component`` of classes that may be similar to another one."""
-    fits, large = _buckets(sets, runs_for(recall), threshold, small, task, steps)
-    members = fits.withColumn("left", F.lit(True))
-    if large is not None:
-        dealt = _blocks(large, "key", "n", "cls").select(F.xxhash64("bucket").alias("bucket"), "cls", "left")
-        members = members.union(dealt)
+    # Half of what may be missed is left to pairs that share no first choice, half to those whose buckets split further.
+    half = (1 + recall) / 2
+    done, needed, deepest, of_runs = 0, runs_for(half), 0, []
+    while done < needed:
+        *found, steps_used = _buckets(sets, range(done + 1, needed + 1), threshold, small, task, steps)
+        of_runs.append(found)
+        if not done:
+            deep = stored(found[2], "deep-classes")
+            if deep.isEmpty():
+                break
+            # Only pairs whose first buckets were large can be lost on the way down: their classes have more runs.
+            sets = stored(likely(sets, F.xxhash64("cls"), deep, F.xxhash64("cls")).join(deep, "cls", "left_semi"), "deep-sets")
+        done, deepest = needed, max(deepest, steps_used)
+        needed = runs_for(half, deepest + steps)
+    # Similar sets meet in most runs; of small buckets one of each membership is enough.
+    smalls = reduce(DataFrame.union, [found[0] for found in of_runs]).distinct()
+    members = smalls.select(F.xxhash64("members").alias("bucket"), F.explode("members").alias("cls"))
+    members = reduce(DataFrame.union, [found[1] for found in of_runs], members).withColumn("left", F.lit(True))
+    for *_, large in of_runs:
+        if large is not None:
+            dealt = _blocks(large, "key", "n", "cls").select(F.xxhash64("bucket").alias("bucket"), "cls", "left")
+            members = members.union(dealt)
     members = stored(members, "bucket-members")
     edges = _edges_of(members.join(_samples(sets, members), "cls"), threshold, small, steps)
     return components(edges, "a", "b")
