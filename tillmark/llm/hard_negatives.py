@@ -73,6 +73,7 @@ def score_bounds(a_norms: np.ndarray, a_angles: np.ndarray, norms: np.ndarray, o
 
 def whole_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products row by row, exact: by floats or 64-bit numbers where they hold them, else digit by digit."""
+    a, b = a.astype(np.int64, copy=False), b.astype(np.int64, copy=False)
     top = [int(np.abs(x.astype(object)).max(initial=0)) if (x == np.iinfo(np.int64).min).any() else int(np.abs(x).max(initial=0)) for x in (a, b)]
     if top[0] * top[1] * a.shape[1] < 2**53:
         return np.einsum("ij,ij->i", a.astype(float), b.astype(float)).astype(np.int64)
