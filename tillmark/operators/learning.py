@@ -1,10 +1,9 @@
-"""Demand models on calendar features, trained and scored with MLlib.
+"""Demand models on calendar features: a straight line by MLlib, forests and boosted trees from histograms.
 
-Trees are trained on one row per transaction: their samples, subsets and leaf sizes are drawn and
-counted in rows. The features have few values, so for the line, and for metrics, rows with equal
-features and label can be folded into one row with a weight, which loses nothing there and bounds the
-table by the calendar grid times the distinct quantities. One scan of the facts serves all models,
-folds and reports.
+The features have few values, so rows with equal features and label are folded into one row with a weight.
+That loses nothing: least squares, metrics and histograms add such rows up anyway, and trees draw their samples
+as if from single rows. It bounds the table by the calendar grid times the distinct quantities. One scan
+of the facts serves all models, folds and reports.
 """
 
 from __future__ import annotations
@@ -12,12 +11,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,16 +26,15 @@ from ..schema import MIN_STAFF, PEAK_UNITS_PER_STAFF
 from ..session import durable
 from .enrich import calendar_features
 from .shape import melt, stack
+from .trees import FEATURES, BoostedHistograms, HistogramForest
 
-FEATURES = ["hour", "day", "month", "weekday_num"]
 SEED = 42
 
-# Model settings and search grids. MLlib has no least size of a node that is split,
-# so that parameter of the forest's grid has no counterpart; its depth limit of 30 stands for none.
-BOOSTED = {"maxIter": 100, "stepSize": 0.05, "maxDepth": 5, "subsamplingRate": 0.8}
-FOREST = {"numTrees": 150, "maxDepth": 8}
+# Model settings and search grids.
+BOOSTED = {"maxIter": 100, "stepSize": 0.05, "maxDepth": 5, "rowShare": 0.8, "featureShare": 0.8}
+FOREST = {"numTrees": 150, "maxDepth": 8, "minSplit": 5}
 BOOSTED_GRID = {"maxIter": [50, 100], "maxDepth": [3, 5], "stepSize": [0.05, 0.1]}
-FOREST_GRID = {"numTrees": [50, 100, 200], "maxDepth": [3, 5, 10, 30], "minInstancesPerNode": [1, 2, 4]}
+FOREST_GRID = {"numTrees": [50, 100, 200], "maxDepth": [3, 5, 10, None], "minSplit": [2, 5, 10], "minLeaf": [1, 2, 4]}
 
 
 # --- data ------------------------------------------------------------------------------------
@@ -72,7 +69,7 @@ def training_table(
     df: DataFrame, folds: int = 5, grid_folds: int = 3, grain: str = "row", folded: bool = False
 ) -> DataFrame:
     """Training rows with a weight (1, or how many rows were ``folded``), assembled and kept durable
-    for the many passes of training. Folded rows suit the line, not trees."""
+    for the many passes of training."""
     rows = split_rows(df, grain).withColumns(
         {"fold": (F.col("ticket") % folds).cast("int"), "grid_fold": (F.col("ticket") % grid_folds).cast("int")}
     )
@@ -100,13 +97,13 @@ def full_rows(table: DataFrame) -> DataFrame:
 # --- models ----------------------------------------------------------------------------------
 
 
-def boosted_trees(**params) -> Estimator:
-    """Gradient-boosted trees; each split looks at 80 % of the features."""
-    return GBTRegressor(weightCol="weight", seed=SEED, featureSubsetStrategy="0.8", **{**BOOSTED, **params})
+def boosted_trees(**params) -> BoostedHistograms:
+    """Boosted trees; each sees 80 % of the rows and of the features."""
+    return BoostedHistograms(SEED, **{**BOOSTED, **params})
 
 
-def random_forest(**params) -> Estimator:
-    return RandomForestRegressor(weightCol="weight", seed=SEED, featureSubsetStrategy="all", **{**FOREST, **params})
+def random_forest(**params) -> HistogramForest:
+    return HistogramForest(SEED, **{**FOREST, **params})
 
 
 def linear(**params) -> Estimator:
@@ -115,7 +112,7 @@ def linear(**params) -> Estimator:
     return LinearRegression(weightCol="weight", solver="normal", regParam=0.0, tol=1e-12, **params)
 
 
-MODELS: dict[str, Callable[..., Estimator]] = {
+MODELS: dict[str, Callable] = {
     "Boosted Trees": boosted_trees,
     "Random Forest": random_forest,
     "Linear Regression": linear,
@@ -150,7 +147,7 @@ def metrics(predictions: DataFrame, weight: str = "weight") -> DataFrame:
     )
 
 
-def fit(table: DataFrame, estimator: Estimator) -> Model:
+def fit(table: DataFrame, estimator) -> Model:
     return estimator.fit(train_rows(table))
 
 
@@ -158,52 +155,69 @@ def predict(table: DataFrame, model: Model) -> DataFrame:
     return model.transform(test_rows(table))
 
 
-def cross_validate(table: DataFrame, estimator: Estimator, folds: int = 5) -> DataFrame:
-    """One row: mean and deviation of the R2 (in percent) over the folds, fitted side by side."""
-    rows = full_rows(table)
-
-    def score(k: int) -> DataFrame:
-        model = estimator.fit(rows.where(F.col("fold") != k))
-        return metrics(model.transform(rows.where(F.col("fold") == k))).select("r2")
+def line_fold_scores(rows: DataFrame, part: str, parts: int) -> DataFrame:
+    """``left_out, r2`` of the straight line fitted without each part, from one scan.
 
-    scores = stack(side_by_side(rows.sparkSession, [lambda k=k: score(k) for k in range(folds)]))
+    Sums of products of features and label add up, so what a line without a part needs is the sum over
+    all parts less that part's, and so are its errors there. Features are shifted first, which keeps the sums small.
+    """
+    w = F.col("weight") if "weight" in rows.columns else F.lit(1.0)
+    shifts = {"hour": 12, "day": 16, "month": 6, "weekday_num": 3}
+    terms = [F.lit(1.0), *[(F.col(f) - shifts[f]).cast("double") for f in FEATURES], F.col("label").cast("double")]
+    size = len(terms)
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    products = rows.groupBy(F.col(part).alias("part")).agg(F.array(*[F.sum(w * terms[i] * terms[j]) for i, j in pairs]).alias("sums"))
+    gram = np.zeros((parts, size, size))
+    for row in products.collect():
+        for (i, j), value in zip(pairs, row["sums"]):
+            gram[row["part"], i, j] = gram[row["part"], j, i] = value
+    found = []
+    for k in range(parts):
+        known, held = gram.sum(0) - gram[k], gram[k]
+        if held[0, 0] == 0:
+            continue
+        line = np.append(-np.linalg.lstsq(known[:-1, :-1], known[:-1, -1], rcond=1e-12)[0], 1.0)
+        error, variation = float(line @ held @ line), float(held[-1, -1] - held[0, -1] ** 2 / held[0, 0])
+        found.append((k, 1 - error / variation if variation > 0 else float(error <= 0)))
+    return rows.sparkSession.createDataFrame(found, "left_out int, r2 double")
+
+
+def cross_validate(table: DataFrame, estimator, folds: int = 5) -> DataFrame:
+    """One row: mean and deviation of the R2 (in percent) over the folds. All folds share one pass over the rows."""
+    rows = full_rows(table)
+    if hasattr(estimator, "fold_scores"):
+        scores = estimator.fold_scores(rows, "fold", folds)
+    else:
+        scores = line_fold_scores(rows, "fold", folds)
     return scores.agg(
         half_even(F.avg("r2") * 100, 2).alias("cv_mean"), half_even(F.stddev_pop("r2") * 100, 2).alias("cv_std")
     )
 
 
-def grid_search(
-    table: DataFrame, estimator: Estimator, grid: dict[str, Sequence], folds: int = 3, parallelism: int = 4
-) -> tuple[Model, DataFrame]:
-    """Best model by cross-validated R2 on the training rows, and the score of every grid point,
-    the best one (whose parameters the model has) first."""
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(estimator.getParam(name), list(values))
-    points = builder.build()
-    search = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=points,
-        evaluator=RegressionEvaluator(metricName="r2", weightCol="weight"),
-        numFolds=folds,
-        foldCol="grid_fold",
-        parallelism=parallelism,
-    ).fit(train_rows(table))
+def grid_scores(table: DataFrame, estimator, grid: dict[str, Sequence], folds: int = 3) -> DataFrame:
+    """Mean and deviation of the R2 over the folds for every grid point, the best one first. No limit is null."""
+    scores = estimator.fold_scores(train_rows(table), "grid_fold", folds, grid)
     names = sorted(grid)
-    rows = [
-        (*[float(point[estimator.getParam(n)]) for n in names], float(mean), float(std))
-        for point, mean, std in zip(points, search.avgMetrics, search.stdMetrics)
-    ]
-    schema = ", ".join([f"{n} double" for n in names] + ["r2_mean double", "r2_std double"])
-    scores = table.sparkSession.createDataFrame(rows, schema).orderBy(F.desc("r2_mean"), *names)
-    return search.bestModel, scores
+    points = scores.groupBy(*names).agg(F.avg("r2").alias("r2_mean"), F.stddev_pop("r2").alias("r2_std"))
+    return points.orderBy(F.desc("r2_mean"), *names)
+
+
+def grid_search(table: DataFrame, estimator, grid: dict[str, Sequence], folds: int = 3) -> tuple[Model, DataFrame]:
+    """Best model by cross-validated R2 on the training rows, and the score of every grid point,
+    the best one (whose parameters the model has, in ``params``) first."""
+    scores = durable(grid_scores(table, estimator, grid, folds))
+    best = scores.orderBy(F.desc("r2_mean"), *sorted(grid)).first()
+    chosen = {name: next(v for v in values if (None if v is None else float(v)) == best[name]) for name, values in grid.items()}
+    model = fit(table, estimator.with_params(**chosen))
+    model.params = chosen
+    return model, scores
 
 
 # --- reports ---------------------------------------------------------------------------------
 
 
 def side_by_side(spark: SparkSession, tasks: Sequence[Callable]) -> list:
-    """Run training tasks at the same time: each is a chain of many short jobs, which alone
+    """Run training tasks at the same time: each is a chain of short jobs, which alone
     would leave most executors idle."""
     with ThreadPoolExecutor(len(tasks)) as pool:
         running = [pool.submit(inheritable_thread_target(spark)(task)) for task in tasks]
@@ -235,7 +249,7 @@ def comparison_table(rows: Sequence[DataFrame]) -> DataFrame:
 
 
 def compare_models(
-    table: DataFrame, estimators: dict[str, Estimator] | None = None, folds: int = 5
+    table: DataFrame, estimators: dict | None = None, folds: int = 5
 ) -> tuple[dict[str, Model], DataFrame]:
     """Train all models, cross-validate them, and put their metrics next to each other."""
     estimators = estimators or {name: make() for name, make in MODELS.items()}

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.fits import arima_212, seasonal_fit
+from ..functions.fits import arima_212, arima_forecast_with, seasonal_fit
 from ..functions.measures import MEASURES, rows
 from ..functions.numeric import money_total, ratio
 from ..functions.ordered import arg_best
@@ -158,7 +158,7 @@ def seasonal_forecast(
     """``series_key, ds, yhat, yhat_lower, yhat_upper`` over the history and ``periods`` buckets.
 
     A linear trend with hinges times one plus the seasons: yearly, weekly and, by the hour, daily
-    ones. The default band is 95 %. Series with fewer than 7 buckets are left out. One series is
+    ones. The default band is 95 %; it takes changes of the slope to come into account. Series with fewer than 7 buckets are left out. One series is
     one task, which its number of days (or hours) bounds.
     """
     step = pd.Timedelta(days=1) if freq == "day" else pd.Timedelta(hours=1)
@@ -199,25 +199,48 @@ def forecast_totals(forecast: DataFrame) -> DataFrame:
 
 
 def arima_forecast(
-    df: DataFrame, target: str = "revenue", by: Sequence[str] = (), periods: int = 14
+    df: DataFrame, target: str = "revenue", by: Sequence[str] = (), periods: int = 14, z: float = 1.96
 ) -> DataFrame:
-    """``series_key, ds, yhat`` for the coming days; series under 14 days are left out."""
+    """``series_key, ds, yhat, yhat_lower, yhat_upper`` for the coming days; series under 14 days are left out."""
 
     def fit(series: pd.DataFrame) -> pd.DataFrame:
         series = series.sort_values("ds")
         last = series["ds"].iloc[-1]
+        level, deviation = arima_212(series["y"].to_numpy(float), periods)
         return pd.DataFrame(
             {
                 "series_key": series["series_key"].iloc[0],
                 "ds": pd.date_range(last + pd.Timedelta(days=1), periods=periods, freq="D"),
-                "yhat": arima_212(series["y"].to_numpy(float), periods),
+                "yhat": level,
+                "yhat_lower": level - z * deviation,
+                "yhat_upper": level + z * deviation,
             }
         )
 
-    schema = "series_key string, ds timestamp, yhat double"
+    schema = "series_key string, ds timestamp, yhat double, yhat_lower double, yhat_upper double"
     return _positive(df, target, "day", by, 14).groupBy("series_key").applyInPandas(fit, schema)
 
 
+def arima_replay(
+    df: DataFrame, ar: Sequence[float], ma: Sequence[float], target: str = "revenue", by: Sequence[str] = (), periods: int = 14
+) -> DataFrame:
+    """``series_key, step, yhat, deviation, likelihood``: forecasts with given coefficients, say those of an earlier fit,
+    their standard deviations, and the log likelihood of the series."""
+
+    def replay(series: pd.DataFrame) -> pd.DataFrame:
+        y = series.sort_values("ds")["y"].to_numpy(float)
+        level, deviation, likelihood = arima_forecast_with(y, np.array(ar, float), np.array(ma, float), periods)
+        return pd.DataFrame(
+            {
+                "series_key": series["series_key"].iloc[0], "step": np.arange(1, periods + 1), "yhat": level,
+                "deviation": deviation, "likelihood": likelihood,
+            }
+        )
+
+    schema = "series_key string, step long, yhat double, deviation double, likelihood double"
+    return _positive(df, target, "day", by, 14).groupBy("series_key").applyInPandas(replay, schema)
+
+
 def comparison(forecasts: Sequence[tuple[str, str, DataFrame]]) -> DataFrame:
     """Totals of forecasts (model, horizon, frame) per series, below each other."""
     return stack(

@@ -49,6 +49,15 @@ def ts6(spark, folder):
     return plain(series.arima_forecast(line_sales(spark, folder), "revenue", ["store_location"]))
 
 
+#: Coefficients that the recursion is checked with.
+AR, MA = (0.5, -0.3), (0.4, 0.2)
+
+
+def ts6_replay(spark, folder):
+    found = series.arima_replay(sales(spark, folder), AR, MA, "transaction_qty", ["store_location"], 10)
+    return rounded(found, "yhat", "deviation", "likelihood", digits=4)
+
+
 def dates(forecast):
     """Which series and days a fitted forecast covers."""
     return plain(forecast.select("series_key", "ds"))
@@ -76,6 +85,7 @@ QUERIES = {
     ),
     "ts6_arima_forecast": ts6,
     "ts6_forecast_days": lambda s, f: dates(series.arima_forecast(line_sales(s, f), by=["store_location"], periods=60)),
+    "ts6_fixed_coefficients": ts6_replay,
     "ts7_compare_forecasts": lambda s, f: series.compare_forecasts(sales(s, f), "revenue", ["store_location"]),
     "ts8_forecast_by_hour": lambda s, f: rounded(series.forecast_by_hour(_hourly(s, f)), "yhat"),
     "ts8_forecast_table": ts8_table,
@@ -116,7 +126,57 @@ ends AS (SELECT series_key, max(ds) AS last FROM d GROUP BY 1 HAVING count(*) >=
 _AHEAD = """SELECT series_key, strftime(last + to_hours(CAST(i AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS ds,
   round(yhat, 6) AS yhat FROM level, range(1, {n}) AS r(i)"""
 
+def _arima(ahead: int) -> str:
+    """Kalman filter of ARMA(2,2) on daily changes, step by step; the starting covariance by repeated transitions.
+
+    States (x1, x2, x3) move to (a1 x1 + x2, a2 x1 + x3, 0), shocks enter as (1, m1, m2)."""
+    (a1, a2), (m1, m2) = AR, MA
+
+    def moved(x1: str, x2: str, x3: str) -> tuple[str, str]:
+        return f"({a1} * ({x1}) + ({x2}))", f"({a2} * ({x1}) + ({x3}))"
+
+    def spread(c: dict[str, str]) -> list[str]:
+        """Covariance after a transition and a shock, from entries such as c["12"]."""
+        p11 = f"{a1} * ({a1} * {c['11']} + {c['12']}) + ({a1} * {c['12']} + {c['22']}) + 1"
+        p12 = f"{a1} * ({a2} * {c['11']} + {c['13']}) + ({a2} * {c['12']} + {c['23']}) + {m1}"
+        p22 = f"{a2} * ({a2} * {c['11']} + {c['13']}) + ({a2} * {c['13']} + {c['33']}) + {m1 * m1}"
+        return [p11, p12, str(m2), p22, str(m1 * m2), str(m2 * m2)]
+
+    entries = ["11", "12", "13", "22", "23", "33"]
+    plain = {e: f"p{e}" for e in entries}
+    left = {e: f"(p{e} - p1{e[0]} * p1{e[1]} / p11)" for e in entries}
+    s1, s2 = moved("x1 + v", "x2 + p12 / p11 * v", "x3 + p13 / p11 * v")
+    start = ", ".join(f"{v} AS p{e}" for v, e in zip(spread(plain), entries))
+    step = ", ".join(f"{v} AS p{e}" for v, e in zip(spread(left), entries))
+    f1, f2 = moved("x1", "x2", "x3")
+    return f"""--with
+h AS (SELECT store_location AS series_key, date, CAST({q()} AS DOUBLE) AS y FROM ev GROUP BY ALL HAVING {q()} > 0),
+d AS (SELECT series_key, y, row_number() OVER o AS i, y - lag(y) OVER o AS w, count(*) OVER (PARTITION BY series_key) AS n
+  FROM h WINDOW o AS (PARTITION BY series_key ORDER BY date)),
+cov AS (SELECT 0 AS turn, 1.0::DOUBLE AS p11, 0.0::DOUBLE AS p12, 0.0::DOUBLE AS p13, 0.0::DOUBLE AS p22, 0.0::DOUBLE AS p23, 0.0::DOUBLE AS p33
+  UNION ALL SELECT turn + 1, {start} FROM cov WHERE turn < 200),
+k AS (
+  SELECT series_key, 1 AS i, n, 0.0::DOUBLE AS x1, 0.0::DOUBLE AS x2, 0.0::DOUBLE AS x3, p11, p12, p13, p22, p23, p33,
+    0.0::DOUBLE AS squares, 0.0::DOUBLE AS logs
+  FROM (SELECT DISTINCT series_key, n FROM d WHERE n >= 14), cov WHERE turn = 200
+  UNION ALL
+  SELECT series_key, i, n, {s1} AS x1, {s2} AS x2, 0.0 AS x3, {step}, squares + v * v / p11, logs + ln(p11)
+  FROM (SELECT k.* EXCLUDE (i), d.i, d.w - k.x1 AS v FROM k JOIN d ON d.series_key = k.series_key AND d.i = k.i + 1)),
+f AS (
+  SELECT k.series_key, 0 AS step, x1, x2, x3, d.y AS yhat, squares / (k.n - 1) AS variance,
+    -0.5 * ((k.n - 1) * (ln(2 * pi() * squares / (k.n - 1)) + 1) + logs) AS likelihood,
+    1.0::DOUBLE AS w1, {m1}::DOUBLE AS w2, {m2}::DOUBLE AS w3, 0.0::DOUBLE AS level, 0.0::DOUBLE AS total
+  FROM k JOIN d ON d.series_key = k.series_key AND d.i = k.i WHERE k.i = k.n
+  UNION ALL
+  SELECT series_key, step + 1, {f1}, {f2}, 0.0, yhat + x1, variance, likelihood,
+    {a1} * w1 + w2, {a2} * w1 + w3, 0.0, level + w1, total + (level + w1) * (level + w1)
+  FROM f WHERE step < {ahead})
+SELECT series_key, CAST(step AS BIGINT) AS step, round(yhat, 4) AS yhat, round(sqrt(variance * total), 4) AS deviation,
+  round(likelihood, 4) AS likelihood FROM f WHERE step > 0"""
+
+
 ORACLE = {
+    "ts6_fixed_coefficients": over(EV, _arima(10)).replace("WITH", "WITH RECURSIVE", 1),
     "ts1_resample_hourly": over(EV, _filled("ev", "hour")),
     "ts1_resample_daily": over(LI, _filled("li", "day")),
     "ts2_moving_average": over(

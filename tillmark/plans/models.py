@@ -1,7 +1,8 @@
 """Demand models as registered queries.
 
-Models are fitted once per session and folder and shared by the reports on them. Fitted trees
-have no SQL equivalent. The line has: least squares by successive projections. Metrics, residuals
+Models are fitted once per session and folder and shared by the reports on them. Trees from random samples
+have no SQL equivalent; what they are made of has: a first split of all rows, in the forest's and the boosted way, and the
+reports on models of that one split. The line has: least squares by successive projections. Metrics, residuals
 and comparison reports are also checked on the simplest models, training means by one feature.
 """
 
@@ -24,18 +25,17 @@ def _once(spark, folder, what, make):
     return _DONE[key]
 
 
-def table(spark, folder, folded=True):
-    """Folded rows for reports and the line, rows as they are for trees."""
-    return _once(spark, folder, ("table", folded), lambda: learning.training_table(sales(spark, folder), folded=folded))
+def table(spark, folder):
+    return _once(spark, folder, "table", lambda: learning.training_table(sales(spark, folder), folded=True))
 
 
 def model(spark, folder, name):
-    rows = table(spark, folder, name == "Linear Regression")
+    rows = table(spark, folder)
     return _once(spark, folder, name, lambda: learning.fit(rows, learning.MODELS[name]()))
 
 
 def validated(spark, folder, name):
-    rows = table(spark, folder, name == "Linear Regression")
+    rows = table(spark, folder)
     return _once(spark, folder, ("cv", name), lambda: learning.cross_validate(rows, learning.MODELS[name]()))
 
 
@@ -43,8 +43,7 @@ def compared(spark, folder):
     """Comparison table over all models; what is not fitted yet is fitted side by side."""
 
     def make():
-        for folded in (True, False):
-            table(spark, folder, folded)
+        table(spark, folder)
         names = list(learning.MODELS)
         learning.side_by_side(
             spark,
@@ -92,7 +91,7 @@ def ml5_line(spark, folder):
 
 def grid(make, points):
     def run(spark, folder):
-        return learning.grid_search(table(spark, folder, False), make(), points, parallelism=8)[1]
+        return learning.grid_scores(table(spark, folder), make(), points)
 
     return run
 
@@ -116,6 +115,37 @@ def mean_models(spark, folder):
     )
 
 
+STUMPS = {
+    "Boosted Trees": lambda: learning.boosted_trees(maxIter=1, maxDepth=1, rowShare=1.0, featureShare=1.0),
+    "Random Forest": lambda: learning.random_forest(numTrees=1, maxDepth=1, bootstrap=False),
+}
+
+
+def stump(spark, folder, name):
+    rows = table(spark, folder)
+    return _once(spark, folder, ("stump", name), lambda: learning.fit(rows, STUMPS[name]()))
+
+
+def first_split(name):
+    """The one split of a model of one tree, and what it predicts on both sides."""
+
+    def run(spark, folder):
+        model = stump(spark, folder, name)
+        feature = F.element_at(F.array(*[F.lit(f) for f in learning.FEATURES]), F.col("feature")[0] + 1)
+        sides = [F.round(model.base + model.scale * F.col("value")[i], 6).alias(n) for i, n in ((1, "below"), (2, "above"))]
+        return model.trees.select(feature.alias("Feature"), F.col("threshold")[0].alias("threshold"), *sides, F.round(F.col("gain")[0], 4).alias("gain"))
+
+    return run
+
+
+def stump_models(spark, folder):
+    """The comparison table over models of one split."""
+    rows = table(spark, folder)
+    return learning.comparison_table(
+        [learning.model_row(name, learning.predict(rows, stump(spark, folder, name))) for name in STUMPS]
+    )
+
+
 def ml12_first(spark, folder):
     order = ["weekday_num", "month", "day", "hour", "Actual", "Predicted"]
     return ranking.first_rows(residuals(spark, folder), 20, *order).select(*order, "Error")
@@ -130,6 +160,12 @@ def ml12_model_error(spark, folder):
 QUERIES = {
     "ml1_split": ml1,
     "ml2_metrics": lambda s, f: rounded(learning.metrics(baseline(s, f)), "mae", "rmse", "r2"),
+    "ml3_first_split": first_split("Boosted Trees"),
+    "ml4_first_split": first_split("Random Forest"),
+    "ml8_stump_models": lambda s, f: rounded(stump_models(s, f), "MAE", "RMSE", "R2 Score"),
+    "ml10_radar_stump_models": lambda s, f: rounded(
+        learning.radar(stump_models(s, f)), "Accuracy (%)", "CV Score (%)", "R2 Score", "MAE", "RMSE"
+    ),
     "ml3_boosted_trees": fitted_metrics("Boosted Trees"),
     "ml4_random_forest": fitted_metrics("Random Forest"),
     "ml5_linear_regression": lambda s, f: rounded(
@@ -196,6 +232,11 @@ _METRICS = f"""SELECT round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(r2, 6)
   CAST(greatest(2, round_even(peak_demand / 50, 0)) AS BIGINT) AS staff FROM s"""
 
 
+_CMP = f"""cmp AS (SELECT model AS "Model", greatest(0.0::DOUBLE, {even("r2 * 100", 2)}) AS "Accuracy (%)",
+      0.0::DOUBLE AS "CV Score (%)", mae AS "MAE", rmse AS "RMSE", r2 AS "R2 Score", peak_demand AS "Peak Demand",
+      CAST(greatest(2, round_even(peak_demand / 50, 0)) AS BIGINT) AS "Recommended Staff" FROM s0)"""
+
+
 def _mean_scores() -> str:
     parts, tables = [], []
     for name, key in (("Day Mean", "day(date)"), ("Hour Mean", "hour"), ("Weekday Mean", "weekday_num")):
@@ -207,9 +248,40 @@ def _mean_scores() -> str:
         )
         parts.append(f"SELECT '{name}' AS model, * FROM {t}_r")
     return f"""--with {', '.join(tables)}, s0 AS ({' UNION ALL '.join(parts)}),
-    cmp AS (SELECT model AS "Model", greatest(0.0::DOUBLE, {even("r2 * 100", 2)}) AS "Accuracy (%)",
-      0.0::DOUBLE AS "CV Score (%)", mae AS "MAE", rmse AS "RMSE", r2 AS "R2 Score", peak_demand AS "Peak Demand",
-      CAST(greatest(2, round_even(peak_demand / 50, 0)) AS BIGINT) AS "Recommended Staff" FROM s0) """
+    {_CMP} """
+
+
+def _split(name: str, ridge: float, step: float) -> str:
+    """Tables ``{name}_t`` (training rows), ``{name}_b`` (the best split and both predictions) and ``{name}_p`` (test rows)."""
+    parts = " UNION ALL ".join(
+        f"SELECT {i} AS f, {c} AS v, count(*) AS n, sum(e) AS s FROM {name}_t GROUP BY 2" for i, c in enumerate(("hour", "day", "month", "weekday_num"))
+    )
+    mean = f"(SELECT avg(transaction_qty) FROM ev WHERE NOT ({_TEST}))" if ridge else "0.0::DOUBLE"
+    return f"""{name}_m AS (SELECT {mean} AS base),
+    {name}_t AS (SELECT transaction_qty - base AS e, hour, day(date) AS day, month, weekday_num FROM ev, {name}_m WHERE NOT ({_TEST})),
+    {name}_u AS ({parts}),
+    {name}_c AS (SELECT f, v, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER a AS n, sum(s) OVER a AS s,
+      lead(v) OVER (PARTITION BY f ORDER BY v) AS nv FROM {name}_u WINDOW w AS (PARTITION BY f ORDER BY v), a AS (PARTITION BY f)),
+    {name}_b AS (SELECT f, (v + nv) / 2.0 AS threshold, base + {step} * sl / (nl + {ridge}) AS below,
+      base + {step} * (s - sl) / (n - nl + {ridge}) AS above,
+      sl * sl / (nl + {ridge}) + (s - sl) * (s - sl) / (n - nl + {ridge}) - s * s / (n + {ridge}) AS gain
+      FROM {name}_c, {name}_m WHERE nv IS NOT NULL ORDER BY round(gain, 6) DESC, f, v LIMIT 1),
+    {name}_p AS (SELECT transaction_qty AS y,
+      CASE WHEN CASE f WHEN 0 THEN hour WHEN 1 THEN day(date) WHEN 2 THEN month ELSE weekday_num END <= threshold THEN below ELSE above END AS p
+      FROM ev, {name}_b WHERE {_TEST})"""
+
+
+def _first_split(ridge: float, step: float) -> str:
+    return f"""--with {_split("one", ridge, step)}
+    SELECT CASE f WHEN 0 THEN 'hour' WHEN 1 THEN 'day' WHEN 2 THEN 'month' ELSE 'weekday_num' END AS "Feature", CAST(threshold AS DOUBLE) AS threshold,
+      round(below, 6) AS below, round(above, 6) AS above, round(gain, 4) AS gain FROM one_b"""
+
+
+def _stump_scores() -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT '{model}' AS model, * FROM ({_SCORES.format(t=t + '_p')})" for model, t in (("Boosted Trees", "boosted"), ("Random Forest", "forest"))
+    )
+    return f"""--with {_split("boosted", 1.0, 0.05)}, {_split("forest", 0.0, 1.0)}, s0 AS ({parts}), {_CMP} """
 
 
 def _best(measure: str, order: str) -> str:
@@ -252,6 +324,19 @@ ORACLE = {
         _mean_scores() + """SELECT "Model", "Accuracy (%)", "CV Score (%)", round("MAE", 6) AS "MAE",
           round("RMSE", 6) AS "RMSE", round("R2 Score", 6) AS "R2 Score", "Peak Demand", "Recommended Staff" FROM cmp""",
     ),
+    "ml3_first_split": over(EV, _first_split(1.0, 0.05)),
+    "ml4_first_split": over(EV, _first_split(0.0, 1.0)),
+    "ml8_stump_models": over(
+        EV,
+        _stump_scores() + """SELECT "Model", "Accuracy (%)", "CV Score (%)", round("MAE", 6) AS "MAE",
+          round("RMSE", 6) AS "RMSE", round("R2 Score", 6) AS "R2 Score", "Peak Demand", "Recommended Staff" FROM cmp""",
+    ),
+    "ml10_radar_stump_models": over(
+        EV,
+        _stump_scores()
+        + f"""SELECT "Model", {_scaled("Accuracy (%)", True)}, {_scaled("CV Score (%)", True)},
+          {_scaled("R2 Score", True)}, {_scaled("MAE", False)}, {_scaled("RMSE", False)} FROM cmp""",
+    ),
     "ml9_best_mean_models": over(
         EV,
         _mean_scores()

@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import zipfile
 from datetime import datetime
+from pathlib import Path
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,9 +30,23 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, memory: str = "8
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of a session, for those that do not have it installed.
+
+    Once for a session is enough. Needed wherever the package lies on the driver's path only.
+    """
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="tillmark-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
