@@ -35,6 +35,7 @@ def made(n, d, seed=2):
 
 def test_like_brute_force(spark, monkeypatch):
     monkeypatch.setattr(h, "SHARD_ROWS", 150)
+    monkeypatch.setattr(h, "TILE_ROWS", 16)
     monkeypatch.setattr(h, "BLOCK_ROWS", 4)
     rows = made(800, 6)
     rows += [(2000 + i, rows[7][1], rows[7][2]) for i in range(30)]  # ties
@@ -66,10 +67,14 @@ def test_large_products_are_exact(spark):
 def test_bounds_hold_and_leave_work_out():
     rng = np.random.RandomState(4)
     centres = 200 * rng.randn(8, 16)
-    points = np.concatenate([centres[k] + 30 * rng.randn(200, 16) for k in range(8)]).astype(np.int64)
+    points = np.concatenate([centres[k] + 30 * rng.randn(1024, 16) for k in range(8)]).astype(np.int64)
     norms, own = h.angles(points, h.references(points.astype(float)))
-    low, high = h.score_bounds(norms[:40], own[:40], norms, own)
+    order = np.lexsort((own.min(1), own.argmin(1)))
+    points, norms, own = points[order], norms[order], own[order]
+    tile = h.tiles(norms, own)
+    low, high = h.score_bounds(norms[:40], own[:40], tile)
     scores = points[:40] @ points.T
-    assert (low <= scores).all() and (scores <= high).all()
-    kth = np.sort(low, 1)[:, -6]
+    most, least = (f.reduceat(scores, tile["first"], axis=1) for f in (np.maximum, np.minimum))
+    assert (low <= least).all() and (most <= high).all()
+    kth = np.sort(scores, 1)[:, -6]
     assert (high >= kth[:, None]).mean() < 0.3

@@ -3,8 +3,10 @@
 Every vector keeps its angles to a few reference directions. Angles obey the triangle inequality, so with an
 anchor at angles s and a vector at angles t to the same references, the angle between the two lies between the largest
 |s - t| and the smallest of s + t and 2 pi - s - t. The cosines of these limits, times both norms and widened by
-what rounding may take, bound the score. Whole-number products are worked out only where these bounds reach what is asked for: for
-positives the kth best lower bound of an anchor's label, for negatives the windows of scores its positives open.
+what rounding may take, bound the score. Vectors of a shard that are near in angle lie together, and a tile of them shares
+one interval of angles and norms. Whole-number products are worked out only where a tile's bounds overlap what an anchor still asks for:
+for positives scores from the kth best so far on, for negatives the windows of scores its positives open, from the kth best
+so far in each window on. (Bounds of single vectors would cost more than their products, which BLAS gives for a tile at once.)
 
 Rows lie in shards and anchors in blocks, both with norms and angles; each pair of a block and a shard is one row of
 a join and is searched by itself. What shards find, at most a few rows per anchor, is merged by windows over the anchor.
@@ -23,14 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
-SHARD_ROWS, BLOCK_ROWS = 4096, 512
+SHARD_ROWS, BLOCK_ROWS, TILE_ROWS = 8192, 512, 256
 #: Reference directions, and rows they are chosen from (the first by a hash; results do not depend on them).
 REFERENCES, SAMPLE_ROWS = 8, 1024
 #: Angles from rounded cosines are off by less than this, and products by less than this share.
 ANGLE_SLACK, SHARE_SLACK = 1e-6, 1e-9
-#: Bounds looked at, and products worked out, at a time.
-CELLS, PAIRS = 1 << 20, 1 << 16
-
 _BEST = Iterator[pa.RecordBatch]
 
 
@@ -55,99 +54,92 @@ def angles(points: np.ndarray, directions: np.ndarray) -> tuple[np.ndarray, np.n
     return norms, np.arccos(np.clip(cosines, -1, 1))
 
 
-def score_bounds(a_norms: np.ndarray, a_angles: np.ndarray, norms: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of the products of each anchor with each vector."""
-    least = np.zeros((len(a_norms), len(norms)))
+def tiles(norms: np.ndarray, own: np.ndarray) -> dict[str, np.ndarray]:
+    """First and last row of each tile, and the least and greatest norm and angles of its rows."""
+    first = np.arange(0, len(norms), TILE_ROWS)
+    at = {"first": first, "last": np.append(first[1:], len(norms))}
+    for name, values in (("norm", norms), ("angle", own)):
+        at |= {f"{name}_low": np.minimum.reduceat(values, first), f"{name}_high": np.maximum.reduceat(values, first)}
+    return at
+
+
+def score_bounds(norms: np.ndarray, own: np.ndarray, tile: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the products of each anchor (norms, angles) with the vectors of each tile."""
+    least = np.zeros((len(norms), len(tile["first"])))
     most = np.full(least.shape, np.pi)
-    for r in range(a_angles.shape[1]):
-        s, t = a_angles[:, r, None], own[None, :, r]
-        np.maximum(least, np.abs(s - t), out=least)
-        both = s + t
-        np.minimum(most, np.minimum(both, 2 * np.pi - both), out=most)
-    size = a_norms[:, None] * norms[None, :]
-    slack = SHARE_SLACK * size + 1e-6
-    low = size * np.cos(np.minimum(most + ANGLE_SLACK, np.pi)) - slack
-    high = size * np.cos(np.maximum(least - ANGLE_SLACK, 0)) + slack
-    return low, high
+    for r in range(own.shape[1]):
+        s, low, high = own[:, r, None], tile["angle_low"][None, :, r], tile["angle_high"][None, :, r]
+        np.maximum(least, np.maximum(s - high, low - s), out=least)
+        widest = np.where(s + high <= np.pi, s + high, np.where(s + low >= np.pi, 2 * np.pi - s - low, np.pi))
+        np.minimum(most, widest, out=most)
+    small, large = norms[:, None] * tile["norm_low"], norms[:, None] * tile["norm_high"]
+    slack = SHARE_SLACK * large + 1e-6
+    low, high = np.cos(np.minimum(most + ANGLE_SLACK, np.pi)), np.cos(np.maximum(least - ANGLE_SLACK, 0))
+    return np.where(low < 0, large, small) * low - slack, np.where(high < 0, small, large) * high + slack
 
 
 def whole_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products row by row, exact: by floats or 64-bit numbers where they hold them, else digit by digit."""
-    a, b = a.astype(np.int64, copy=False), b.astype(np.int64, copy=False)
-    top = [int(np.abs(x.astype(object)).max(initial=0)) if (x == np.iinfo(np.int64).min).any() else int(np.abs(x).max(initial=0)) for x in (a, b)]
+    """Inner products of all rows of a with all rows of b, exact: by floats or 64-bit numbers where they hold them, else digit by digit."""
+    top = [max(abs(int(x.min(initial=0))), abs(int(x.max(initial=0)))) for x in (a, b)]
     if top[0] * top[1] * a.shape[1] < 2**53:
-        return np.einsum("ij,ij->i", a.astype(float), b.astype(float)).astype(np.int64)
+        return (a.astype(float) @ b.T.astype(float)).astype(np.int64)
     if top[0] * top[1] * a.shape[1] < 2**63:
-        return np.einsum("ij,ij->i", a, b)
-    found = (a.astype(object) * b.astype(object)).sum(1)
-    if len(found) and max(abs(x) for x in found) >= 2**63:
+        return a.astype(np.int64) @ b.T.astype(np.int64)
+    found = a.astype(object) @ b.T.astype(object)
+    if found.size and max(abs(x) for x in found.flat) >= 2**63:
         raise OverflowError("a score does not fit 64 bits")
     return found.astype(np.int64)
 
 
-def _scored(anchors: dict, shard: dict, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    parts = [
-        whole_products(anchors["points"][rows[i : i + PAIRS]], shard["points"][columns[i : i + PAIRS]])
-        for i in range(0, len(rows), PAIRS)
-    ]
-    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
-
-
-def _first(group: np.ndarray, scores: np.ndarray, ids: np.ndarray, rids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best of each group: higher scores, then smaller identifiers."""
-    order = np.lexsort((rids, ids, -scores, group))
-    starts = np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1]]) if len(order) else order
+def _first(groups: np.ndarray, scores: np.ndarray, ids: np.ndarray, rids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k best of each group (higher scores, then smaller identifiers), and their rank from 0."""
+    order = np.lexsort((rids, ids, -scores, groups))
+    starts = np.flatnonzero(np.r_[True, groups[order][1:] != groups[order][:-1]]) if len(order) else order
     rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
-    return order[rank < k]
-
-
-def _pieces(anchors: dict, shard: dict):
-    """Parts of the anchors with their bounds against the whole shard."""
-    step = max(1, CELLS // max(1, len(shard["ids"])))
-    for at in range(0, len(anchors["ids"]), step):
-        own = slice(at, at + step)
-        yield at, own, *score_bounds(anchors["norms"][own], anchors["angles"][own], shard["norms"], shard["angles"])
-
-
-def positives_in(anchors: dict, shard: dict, k: int) -> tuple[np.ndarray, ...]:
-    """Anchor row, found row, identifier and score of each anchor's k best of its label in a shard."""
-    found = []
-    for at, own, low, high in _pieces(anchors, shard):
-        fit = anchors["labels"][own, None] == shard["labels"][None, :]
-        fit &= anchors["ids"][own, None] != shard["ids"][None, :]
-        if fit.shape[1] > k:
-            kth = np.partition(np.where(fit, low, -np.inf), -k, axis=1)[:, -k]
-            fit &= high >= kth[:, None]
+    return order[rank < k], rank[rank < k]
+
+
+def search(anchors: dict, shard: dict, k: int, same: bool) -> tuple[np.ndarray, ...]:
+    """Anchor row, window, found row, identifier and score of the k best in each of an anchor's windows of scores
+    (``lows`` to ``highs``, one column per window; none: every score), among vectors of the same label or of other ones."""
+    count = len(anchors["ids"])
+    whole = np.iinfo(np.int64)
+    lows = anchors.get("lows", np.full((count, 1), whole.min))
+    highs = anchors.get("highs", np.full((count, 1), whole.max))
+    windows = lows.shape[1]
+    wanted = np.where(lows <= highs, lows, whole.max)  # from where on scores are asked for
+    at_least, at_most = score_bounds(anchors["norms"], anchors["angles"], shard)
+    best = [np.zeros(0, np.int64)] * 4  # group, score, identifier, row
+    top = highs.max(1)
+    # Tiles that promise most come first, so that the scores asked for rise early.
+    for t in np.argsort(-at_most.mean(0), kind="stable"):
+        # A window without an end takes everything: scores beyond 64 bits are met, and refused, not passed over.
+        above = (at_most[:, t, None] >= wanted) | (wanted == whole.min)
+        below = (at_least[:, t, None] <= highs) | (highs == whole.max)
+        asked = ((wanted <= highs) & above & below).any(1)
+        asking = np.flatnonzero(asked)
+        if not len(asking):
+            continue
+        own = slice(shard["first"][t], shard["last"][t])
+        scores = whole_products(anchors["points"][asking], shard["points"][own])
+        floor = wanted[asking].min(1)
+        fit = (scores >= floor[:, None]) & (scores <= top[asking, None])
+        fit &= (anchors["labels"][asking, None] == shard["labels"][None, own]) == same
+        fit &= anchors["ids"][asking, None] != shard["ids"][None, own]
         rows, columns = np.nonzero(fit)
-        rows += at
-        found.append((rows, columns, _scored(anchors, shard, rows, columns)))
-    rows, columns, scores = (np.concatenate(x) for x in zip(*found))
-    best = _first(rows, scores, shard["ids"][columns], shard["rids"][columns], k)
-    rows, columns = rows[best], columns[best]
-    return anchors["rids"][rows], shard["rids"][columns], shard["ids"][columns], scores[best]
-
-
-def negatives_in(anchors: dict, shard: dict, k: int) -> tuple[np.ndarray, ...]:
-    """Anchor row, place of its positive, found row, identifier and score: the k best of another label
-    in each window of scores (``lows`` to ``highs``, one column per positive; empty: low above high)."""
-    lows, highs = anchors["lows"], anchors["highs"]
-    out = []
-    for at, own, low, high in _pieces(anchors, shard):
-        other = anchors["labels"][own, None] != shard["labels"][None, :]
-        asked = np.zeros(other.shape, bool)
-        for p in range(lows.shape[1]):
-            some = (lows[own, p] <= highs[own, p])[:, None]
-            asked |= some & (high >= lows[own, p, None]) & (low <= highs[own, p, None])
-        rows, columns = np.nonzero(asked & other & (anchors["ids"][own, None] != shard["ids"][None, :]))
-        rows += at
-        scores = _scored(anchors, shard, rows, columns)
-        for p in range(lows.shape[1]):
-            inside = np.flatnonzero((scores >= lows[rows, p]) & (scores <= highs[rows, p]))
-            r, c, s = rows[inside], columns[inside], scores[inside]
-            best = _first(r, s, shard["ids"][c], shard["rids"][c], k)
-            r, c = r[best], c[best]
-            out.append((anchors["rids"][r], np.full(len(r), p), shard["rids"][c], shard["ids"][c], s[best]))
-    return tuple(np.concatenate(x) for x in zip(*out))
+        if not len(rows):
+            continue
+        found, rows, columns = scores[rows, columns], asking[rows], columns + shard["first"][t]
+        pairs, window = np.nonzero((found[:, None] >= wanted[rows]) & (found[:, None] <= highs[rows]))
+        rows, columns, found = rows[pairs], columns[pairs], found[pairs]
+        fresh = (rows * windows + window, found, shard["ids"][columns], shard["rids"][columns])
+        best = [np.concatenate(x) for x in zip(best, fresh)]
+        kept, rank = _first(*best, k)
+        best = [x[kept] for x in best]
+        full = rank == k - 1
+        group = best[0][full]
+        wanted[group // windows, group % windows] = best[1][full]
+    return anchors["rids"][best[0] // windows], best[0] % windows, best[3], best[2], best[1]
 
 
 # --- tables -------------------------------------------------------------------------------------
@@ -175,10 +167,14 @@ def _packs(rows: DataFrame, part: str, directions: dict[int, np.ndarray], window
             points = np.array(vectors, np.int64)
             directed = directions.get(now[1], np.zeros((0, points.shape[1])))
             norms, own = angles(points, directed)
-            arrays = {"rids": np.array(rids), "ids": np.array(ids), "labels": np.array(labels), "norms": norms, "angles": own}
+            # Rows near the same direction, by their angle to it.
+            near = np.lexsort((own.min(1), own.argmin(1))) if own.shape[1] else np.arange(len(norms))
+            rids, ids, labels = (np.array(x, np.int64)[near] for x in (rids, ids, labels))
+            points, norms, own = points[near], norms[near], own[near]
+            arrays = {"rids": rids, "ids": ids, "labels": labels, "norms": norms, "angles": own, **tiles(norms, own)}
             arrays["points"] = points.astype(np.int32) if np.abs(points.astype(float)).max(initial=0) < 2**31 else points
             if windows is not None:
-                arrays |= {n: np.array(x, np.int64).reshape(len(ids), windows) for n, x in zip(("lows", "highs"), limits)}
+                arrays |= {n: np.array(x, np.int64).reshape(len(ids), windows)[near] for n, x in zip(("lows", "highs"), limits)}
             columns = [pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([_pack(arrays)], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["part", "d", "data"])
 
@@ -265,8 +261,9 @@ def hard_negatives(
     blocks = max(1, -(-anchors.count() // BLOCK_ROWS))
     anchors = stored(anchors.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "rid"), F.lit(blocks)).cast("int")), "negatives-anchors")
     asked = stored(_packs(anchors, "block", directions), "negatives-blocks")
-    near = _met(asked, packed, shards, lambda a, s: positives_in(a, s, positives), "anchor long, rid long, id long, score long")
-    near = stored(_merged(near, ["anchor"], positives), "negatives-positives")
+    schema = "anchor long, place long, rid long, id long, score long"
+    near = _met(asked, packed, shards, lambda a, s: search(a, s, positives, True), schema)
+    near = stored(_merged(near.drop("place"), ["anchor"], positives), "negatives-positives")
 
     # Windows of scores, as whole numbers: least * p <= 100 * n <= most * p.
     p = F.col("score").cast("decimal(38,0)")
@@ -278,8 +275,7 @@ def hard_negatives(
     filled = [F.slice(F.concat(f"w.{side}", b), 1, positives) for side, b in zip(("low", "high"), blank)]
     asked = anchors.join(windows, "rid").withColumns({"lows": filled[0], "highs": filled[1]})
     asked = stored(_packs(asked, "block", directions, positives), "negatives-windows")
-    schema = "anchor long, place long, rid long, id long, score long"
-    hard = _met(asked, packed, shards, lambda a, s: negatives_in(a, s, negatives), schema)
+    hard = _met(asked, packed, shards, lambda a, s: search(a, s, negatives, False), schema)
     hard = _merged(hard, ["anchor", "place"], negatives)
     hard = hard.select("anchor", "place", "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
     near = near.select(
