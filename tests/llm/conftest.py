@@ -30,7 +30,7 @@ def odd_docs(spark, odd_rows):
     from pyspark.sql import functions as F
 
     docs = spark.createDataFrame(odd_rows, SCHEMA)
-    clash = ("id", "size", "key", "n", "tie", "copy", "line", "cls", "_row", "_id", "_text", "place", "body", "digest")
+    clash = ("id", "size", "key", "n", "tie", "copy", "line", "cls", "_row", "_id", "_text", "place", "body", "digest", "my col", "a.b", "x-y", "é")
     return docs.select("*", *[F.lit("mine").alias(c) for c in clash])
 
 

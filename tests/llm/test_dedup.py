@@ -66,11 +66,13 @@ def one_edit(a, b):
 
 
 def brute_lines(rows, least):
-    places = sorted((i, n, line) for i, t, *_ in set(rows) for n, line in enumerate((t or "").split("\n")) if len(line.strip(" ")) >= least)
+    """Lines of ``least`` characters count as repeated one edit apart, all if they are equal."""
+    places = sorted((i, n, line) for i, t, *_ in set(rows) for n, line in enumerate((t or "").split("\n")) if line.strip(" "))
     first = {}
     for i, n, line in places:
         first.setdefault(line, (i, n))
-    near = {a: [f for b, f in first.items() if a != b and one_edit(a, b)] for a in first}
+    long = {line for line in first if len(line.strip(" ")) >= least}
+    near = {a: [f for b, f in first.items() if a != b and a in long and b in long and one_edit(a, b)] for a in first}
     dropped = {}
     for i, n, line in places:
         if first[line] < (i, n) or any(f < (i, n) for f in near[line]):
@@ -98,8 +100,16 @@ def lines_of(seed):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_lines_like_brute_force(spark, seed):
     rows = lines_of(seed)
-    found = line_dedup.repeated_lines(spark.createDataFrame(rows, SCHEMA).repartition(5), min_chars=4)
+    found = line_dedup.repeated_lines(spark.createDataFrame(rows, SCHEMA).repartition(5), edit_chars=4)
     assert {r["id"]: r["ats"] for r in found.collect()} == brute_lines(rows, 4)
+    found = line_dedup.repeated_lines(spark.createDataFrame(rows, SCHEMA))
+    assert {r["id"]: r["ats"] for r in found.collect()} == brute_lines(rows, 20)
+
+
+def test_short_lines_repeat(spark):
+    rows = [(i, f"Home\nAbout us\n\nStory {str(i) * 4} of this site, told at some length.", "", "", 0) for i in range(5)]
+    left = {r["doc_id"]: r["text"] for r in line_dedup.without_repeated_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert left[0] == rows[0][1] and left[3].startswith("\n") and "Home" not in left[3] and "About" not in left[4]
 
 
 def test_odd_lines(spark, odd_docs, odd_rows, no_docs):
@@ -195,7 +205,7 @@ def pairs_of_passages(seed, n, pool=40, each=10):
 
 def test_pairs_of_frequent_passages(spark):
     """A pair is found however often the buckets of what it shares split."""
-    assert jaccard_join.runs_for(1 - 1e-5) < jaccard_join.runs_for(1 - 1e-5, 4) < jaccard_join.runs_for(1 - 1e-5, 7)
+    assert jaccard_join.runs_for(1 - 1e-5) < jaccard_join.runs_for(1 - 1e-5, 4) < jaccard_join.runs_for(1 - 1e-5, 7) < 30
     rows = pairs_of_passages(9, 500)
     found = classes_of(spark.createDataFrame(rows, SCHEMA), small=3)
     assert found == brute_classes(rows) and all(links for *_, links in found)
@@ -220,6 +230,39 @@ def test_odd_near_duplicates(spark, odd_docs, odd_rows, no_docs):
     assert sorted((r["doc_id"] or 0, r["text"][0]) for r in left) == [(0, "a"), (1, "a"), (1, "u")]
 
 
+def test_rows_without_an_id_change_nothing(spark):
+    """Neither for copies and near copies of their text, nor for each other."""
+    base = [f"w{i}" for i in range(300)]
+    near = [*base[:-1], "other"]
+    rows = [(1, " ".join(base)), (2, " ".join(base)), (None, " ".join(base)), (3, " ".join(near)), (None, "of another text"), (7, "quite another text")]
+    df = spark.createDataFrame([(*r, "", "", 0) for r in rows], SCHEMA)
+    found = sorted((r["id"], r["copy_id"], r["copies"], r["class_id"], r["n_links"]) for r in jaccard_join.near_duplicates(df).where("id is not null").collect())
+    assert found == [(1, 1, 2, 1, 2), (2, 1, 2, 1, 2), (3, 3, 1, 1, 2), (7, 7, 1, 7, 0)]
+    left = jaccard_join.one_of_each(df).collect()
+    assert sorted(r["doc_id"] or 0 for r in left) == [0, 0, 1, 7]
+
+
+def test_work_for_a_large_cluster_is_linear(spark, monkeypatch):
+    rows = {}
+    stored = jaccard_join.stored
+
+    def counting(df, purpose):
+        made = stored(df, purpose)
+        if purpose.startswith("paths-"):
+            rows["paths"] = rows.get("paths", 0) + made.count()
+        return made
+
+    monkeypatch.setattr(jaccard_join, "stored", counting)
+    each = []
+    for n in (250, 1000):
+        rows.clear()
+        texts = copies_of(11, n, 2)
+        found = classes_of(spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], SCHEMA))
+        assert len({c for _, c, _ in found}) < 5
+        each.append(rows["paths"] / n)
+    assert each[1] < 1.3 * each[0]
+
+
 def test_intersections():
     rng = np.random.RandomState(3)
     sets = [np.unique(rng.randint(0, 60, rng.randint(0, 40))).astype(np.uint64) for _ in range(20)]

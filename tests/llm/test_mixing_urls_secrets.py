@@ -186,6 +186,20 @@ def test_random_strings_are_told_from_names(spark):
     assert hits > 0.8 * len(secrets) and false <= 0.1 * max(1, hits)
 
 
+def test_a_single_secret_is_found_like_one_of_many(spark):
+    """A random key alone in its corpus, at many seeds; and words of any kind are left alone."""
+    rng = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    keys = ["".join(rng.choice(letters) for _ in range(40)) for _ in range(200)]
+    found = 0
+    for key in keys:
+        result = secret_scan.tested(key)
+        if result:
+            cuts = secret_scan.thresholds({(result[0], secret_scan.length_class(40), int(result[1] * secret_scan.BINS)): 1}, 0.05)
+            found += result[1] >= cuts.get((result[0], secret_scan.length_class(40)), 2.0)
+    assert found >= 0.9 * len(keys)
+
+
 def test_p_values_of_random_strings_are_uniform():
     rng = random.Random(7)
     p = [secret_scan.tested("".join(rng.choice("0123456789abcdef") for _ in range(48)))[1] for _ in range(600)]

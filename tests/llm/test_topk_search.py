@@ -6,14 +6,13 @@ from tillmark.llm import topk_search as t
 
 
 def brute(rows, k):
-    fit = {}
+    fit = []
     for i, v in rows:
         if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
-            whole = [int(np.floor(1024 * float(x))) for x in v]
-            fit[i] = min(fit.get(i, whole), whole)
+            fit.append((i, [int(np.floor(1024 * float(x))) for x in v]))
     found = []
-    for q in [i for i in fit if i % 100 == 0]:
-        scores = [(-sum(a * b for a, b in zip(fit[q], fit[i])), i) for i in fit if i != q and len(fit[i]) == len(fit[q])]
+    for q, own in [r for r in fit if r[0] % 100 == 0]:
+        scores = [(-sum(a * b for a, b in zip(own, v)), i) for i, v in fit if i != q and len(v) == len(own)]
         found += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted(scores)[:k])]
     return sorted(found)
 
@@ -42,8 +41,11 @@ def test_odd_vectors(spark):
     assert run(spark, rows[:1]) == [] and run(spark, rows[2:3]) == []
 
 
-def test_only_exact_products(spark):
-    with pytest.raises(Exception, match="2\\*\\*53"):
+def test_large_products_are_exact(spark):
+    big = 2.0**20
+    rows = [(0, [big, 1.0]), (0, [big, 2.0])] + [(i, [big, float(i)]) for i in range(1, 20)] + [(3, [big, 9.0]), (3, [big, 9.0])]
+    assert run(spark, rows, 12) == brute(rows, 12)
+    with pytest.raises(Exception, match="64 bits"):
         run(spark, [(0, [1e9, 1e9]), (1, [1e9, 1e9])])
 
 

@@ -3,11 +3,16 @@
 A document is its set of word shingles (hashes of 64 bits). Documents with equal sets are one copy
 class, which goes on as one. A chosen path starts anew in every run: by a hash shared by all, a set of
 size s chooses each of its shingles with probability 1 / (threshold s), and joins the bucket of each;
-buckets that are still large split again by further shingles, chosen by a hash of the path so far. Sets with a Jaccard
-similarity of at least the threshold share one or more choices of a step on average, so a run misses a
-pair with probability of about 1/e in the first step and more in each further one, and runs are repeated until the target recall
-(Christiani, Pagh and Sivertsen, "Scalable and Robust Set Similarity Join", 2018). Classes that were in a bucket
-that splits again have as many runs as the deepest path asks for.
+buckets that are still large split again by further shingles, chosen by a hash of the path so far, ``BRANCH`` times as many
+of them, so that a pair that got into a large bucket is hardly lost on the way down, however deep that is. Sets with a Jaccard
+similarity of at least the threshold share one or more first choices on average, so a run misses a
+pair with probability of about 1/e, and runs are repeated until the target recall
+(Christiani, Pagh and Sivertsen, "Scalable and Robust Set Similarity Join", 2018). What was in a bucket that splits again
+takes part in some more runs, as many as ``DEPTH`` steps ask for.
+
+Before a large bucket splits, its members are compared with its first one, and those that are much like it go no further: whatever
+is similar to them is similar enough to the first one to be connected to it. After the first runs
+what was found to be nearly equal to a first member, which is not so itself to an earlier one, takes no part in the others.
 
 Choices are made among a sample of each set, itself chosen by a shared hash: it serves all runs and steps, and small
 buckets compare their members by it with a wide margin. What they connect are groups of candidates; within
@@ -37,23 +42,29 @@ SHINGLE, THRESHOLD, RECALL = 5, 0.8, 1 - 1e-5
 #: Shared sample of two sets of the threshold's similarity; members of a bucket that are compared with each
 #: other, and that fit a task; steps of a path; members of a block of whole sets.
 SAMPLE, SMALL, TASK, STEPS, BLOCK = 64, 256, 20_000, 6, 512
+#: Steps that pairs are still found behind with the target recall, be they Spark's or a task's.
+DEPTH = 6
+#: Choices of a step after the first one, as a multiple of those of the first; runs before what is settled is left out.
+BRANCH, FIRST_RUNS = 2, 5
 #: Buckets connect members whose samples agree to this share of the threshold.
 MARGIN = 0.6
 #: A member this similar to another one, by their samples, needs no further partners: by the triangle
 #: inequality of the Jaccard distance these are all similar enough to that other one to be connected to it.
 SETTLED = 0.85
+#: The same for all further runs. Two sets of the threshold's similarity are then at least 0.6 similar by their first members.
+SETTLED_FOR_ALL, STILL_SHARED = 0.9, 0.9
 REMEMBERED = 100_000
 
 
-def runs_for(recall: float, depth: int = 1) -> int:
-    """Runs after which a pair of the threshold's similarity has shared a path of ``depth`` choices with this probability.
+def runs_for(recall: float, depth: int = 1, shared: float = SAMPLE) -> int:
+    """Runs after which a pair has shared a path of ``depth`` choices with this probability.
 
-    The pair shares SAMPLE shingles of its samples on average (Poisson), and all runs choose among the same ones."""
-    shared = np.arange(16 * SAMPLE)
-    weight = np.exp(shared * math.log(SAMPLE) - SAMPLE - np.array([math.lgamma(k + 1) for k in shared]))
-    missed = np.zeros(len(shared))
-    for _ in range(depth):
-        missed = (1 - (1 - missed) / SAMPLE) ** shared
+    The pair shares ``shared`` shingles of its samples on average (Poisson), and all runs choose among the same ones."""
+    each = np.arange(16 * SAMPLE)
+    weight = np.exp(each * math.log(shared) - shared - np.array([math.lgamma(k + 1) for k in each]))
+    missed = np.zeros(len(each))
+    for step in range(depth, 0, -1):
+        missed = (1 - (1 - missed) * (1 if step == 1 else BRANCH) / SAMPLE) ** each
     runs = 1
     while (weight * missed**runs).sum() > 1 - recall:
         runs += 1
@@ -97,7 +108,7 @@ def shingles(text: str, size: int = SHINGLE, known: dict[str, int] | None = None
     return np.unique(total)
 
 
-def _share(probability: float) -> np.uint64:
+def _part(probability: float) -> np.uint64:
     return np.uint64(min(2**64 - 1, int(probability * 2**64)))
 
 
@@ -105,7 +116,7 @@ def sampled(tokens: np.ndarray, threshold: float, seed: int = 0x5EED) -> np.ndar
     """The shingles a set offers to all its choices: about SAMPLE / threshold of them."""
     if not len(tokens):
         return tokens
-    return tokens[_mixed(tokens ^ np.uint64(seed)) <= _share(SAMPLE / (threshold * len(tokens)))]
+    return tokens[_mixed(tokens ^ np.uint64(seed)) <= _part(SAMPLE / (threshold * len(tokens)))]
 
 
 def choice_rate(sample: int, threshold: float) -> float:
@@ -140,7 +151,7 @@ def _sets(rows: DataFrame, threshold: float) -> DataFrame:
 
 def _choices(sets: DataFrame, paths: DataFrame | None, runs: range, threshold: float) -> DataFrame:
     """``key, cls`` for each shingle chosen at the start of each run, or at the end of each path."""
-    one_in = F.least(F.lit(float(SAMPLE)), F.size("sample") * F.lit(float(threshold)))
+    one_in = F.least(F.lit(float(SAMPLE)), F.size("sample") * F.lit(float(threshold))) / (1 if paths is None else BRANCH)
     limit = F.when(one_in <= 1, F.lit(2**63 - 1)).otherwise((F.lit(2.0**64) / one_in - F.lit(2.0**63)).cast("long"))
     if paths is None:
         chosen = sets.select("cls", "sample", F.explode(F.sequence(F.lit(runs[0]), F.lit(runs[-1])).cast("array<long>")).alias("path"))
@@ -156,12 +167,30 @@ def _samples(sets: DataFrame, members: DataFrame) -> DataFrame:
     return likely(sets.select("cls", "sample"), F.xxhash64("cls"), members, F.xxhash64("cls"))
 
 
+def _share(one: str, other: str) -> F.Column:
+    """Similarity of two sets by their samples."""
+    both = F.size(F.array_intersect(one, other))
+    return both / (F.size(one) + F.size(other) - both)
+
+
+def _led(paths: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Edges ``a, b, alike`` from the first member of each bucket (``key, cls``), and ``key, cls`` of the members
+    that are not much like it."""
+    first = paths.groupBy("key").agg(F.min("cls").alias("lead"), F.count(F.lit(1)).alias("n"))
+    leads = first.join(sets.select(F.col("cls").alias("lead"), F.col("sample").alias("led_by")), "lead")
+    rows = salted_join(paths.join(_samples(sets, paths), "cls"), stored(leads, "bucket-leads"), ["key"], "n", ["cls"])
+    rows = stored(rows.where("cls <> lead").select("key", "cls", "lead", _share("sample", "led_by").alias("share")), "bucket-led")
+    edges = rows.where(F.col("share") >= MARGIN * threshold)
+    edges = edges.select(F.col("lead").alias("a"), F.col("cls").alias("b"), (F.col("share") >= SETTLED_FOR_ALL).alias("alike"))
+    return edges, rows.where(F.col("share") < SETTLED).select("key", "cls")
+
+
 def _buckets(
     sets: DataFrame, runs: range, threshold: float, small: int, task: int, steps: int
-) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None, int]:
-    """``members`` of small buckets, ``bucket, cls`` of those that fit a task, ``cls`` of the classes in a bucket that
-    is not small, ``key, cls, n`` of buckets that never fit, and how many steps there were."""
-    smalls, fits, deep, paths = None, None, None, None
+) -> tuple[DataFrame, DataFrame, DataFrame | None, list[DataFrame], DataFrame]:
+    """``members`` of small buckets, ``bucket, cls`` of those that fit a task, ``key, cls, n`` of buckets that never
+    fit, edges found on the way, and ``cls`` of those in a bucket that is not small."""
+    smalls, fits, paths, edges = None, None, None, []
     for step in range(steps):
         choices = stored(_choices(sets, paths, runs, threshold), f"paths-{step}")
         met = stored(choices.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"path-sizes-{step}")
@@ -172,12 +201,20 @@ def _buckets(
         fits = fit if fits is None else fits.union(fit)
         if step == 0:
             deep = shared.where(F.col("size") > small).select("cls").distinct()
-        paths = shared.where(F.col("size") > task).select("key", "cls", F.col("size").alias("n"))
+        paths = shared.where(F.col("size") > task).select("key", "cls")
         if paths.isEmpty():
-            return smalls, fits, deep, None, step + 1
+            return smalls, fits, None, edges, deep
+        found, rest = _led(paths, sets, threshold)
+        edges.append(found)
+        sizes = stored(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")), f"path-rests-{step}")
+        rest = salted_join(rest, sizes.withColumn("size", F.col("n")), ["key"], "n", ["cls"])
+        fits = fits.union(rest.where(F.col("size") <= task).select(F.col("key").alias("bucket"), "cls"))
+        paths = stored(rest.where(F.col("size") > task).select("key", "cls", F.col("size").alias("n")), f"path-ends-{step}")
+        if paths.isEmpty():
+            return smalls, fits, None, edges, deep
         if step < steps - 1:
             paths = paths.drop("n")
-    return smalls, fits, deep, paths, steps
+    return smalls, fits, paths, edges, deep
 
 
 def overlaps(sets: list[np.ndarray], others: list[np.ndarray] | None = None) -> np.ndarray:
@@ -250,40 +287,61 @@ def _values(column: pa.Array) -> list:
     return [flat[a - ends[0] : b - ends[0]] for a, b in zip(ends, ends[1:])]
 
 
-def bucket_edges(path: int, samples: list[np.ndarray], threshold: float, small: int, steps: int) -> list[tuple[int, int]]:
-    """Edges that connect the similar members of a bucket, by their samples.
+def bucket_edges(
+    path: int, samples: list[np.ndarray], threshold: float, small: int, steps: int
+) -> list[tuple[int, int, bool]]:
+    """Edges that connect the similar members of a bucket, by their samples, and whether the second one is nearly
+    equal to the first.
 
     Small buckets are compared throughout. In a large one, members much like a pivot are linked to it and
     settled; the others split by the shingles they choose next.
     """
     low = MARGIN * threshold
     sizes = np.array([len(s) for s in samples])
-    flat, edges = np.concatenate(samples), []
+    tokens, flat = np.unique(np.concatenate(samples), return_inverse=True)
     bounds = np.concatenate([[0], np.cumsum(sizes)])
-    limits = np.array([_share(choice_rate(n, threshold)) for n in sizes.tolist()], np.uint64)
+    limits = np.array([_part(BRANCH * choice_rate(n, threshold)) for n in sizes.tolist()], np.uint64)
+    marked, edges, seen = np.zeros(len(tokens), bool), [], set()
 
     def compared(members: np.ndarray) -> None:
+        if members.tobytes() in seen:  # many paths lead to the same few
+            return
+        seen.add(members.tobytes())
         own = [samples[i] for i in members]
         if len(own) == 2:
             n = len(np.intersect1d(own[0], own[1], assume_unique=True))
             if n and n >= low * (len(own[0]) + len(own[1]) - n) - 1e-9:
-                edges.append((members[0], members[1]))
+                edges.append((members[0], members[1], False))
         else:
             linked = similar(sizes[members], overlaps(own), low)
-            edges.extend((members[i], members[j]) for i, j in spanning(linked))
+            edges.extend((members[i], members[j], False) for i, j in spanning(linked))
 
-    def like(pivot: int, members: np.ndarray) -> np.ndarray:
-        hits = np.concatenate([[0], np.cumsum(np.isin(flat, samples[pivot]))])
-        both = hits[bounds[members + 1]] - hits[bounds[members]]
-        return both / (sizes[members] + sizes[pivot] - both)
+    def held(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Their tokens one after the other, and whose each is."""
+        owner = np.repeat(np.arange(len(members)), sizes[members])
+        first = np.cumsum(sizes[members]) - sizes[members]
+        return flat[np.repeat(bounds[members] - first, sizes[members]) + np.arange(len(owner))], owner
 
     todo = [(np.arange(len(samples)), np.uint64(path & 2**64 - 1), 0)]
     while todo:
         members, at, step = todo.pop()
+        if len(members) <= small:
+            if len(members) > 1:
+                compared(members)
+            continue
+        own, owner = held(members)
         while len(members) > small:
-            share = like(members[0], members)
-            edges.extend((members[0], j) for j in members[share >= low] if j != members[0])
-            before, members = len(members), members[(share < SETTLED) & (members != members[0])]
+            pivot = own[: sizes[members[0]]]
+            marked[pivot] = True
+            both = np.bincount(owner[marked[own]], minlength=len(members))
+            marked[pivot] = False
+            share = both / (sizes[members] + sizes[members[0]] - both)
+            near = np.flatnonzero(share >= low)[1:]
+            edges.extend((members[0], members[j], bool(share[j] >= SETTLED_FOR_ALL)) for j in near)
+            stay = share < SETTLED
+            stay[0] = False
+            before, members = len(members), members[stay]
+            own, owner = own[stay[owner]], (np.cumsum(stay) - 1)[owner[stay[owner]]]
             if len(members) > 0.95 * before:
                 break
         if len(members) <= small:
@@ -295,20 +353,18 @@ def bucket_edges(path: int, samples: list[np.ndarray], threshold: float, small:
                     part = np.unique(np.concatenate([members[i : i + small], members[j : j + small]]))
                     compared(part)
         else:
-            owner = np.repeat(np.arange(len(members)), sizes[members])
-            tokens = np.concatenate([samples[i] for i in members])
-            chosen = _mixed(tokens ^ _mixed(np.array([at + np.uint64(step + 1)], np.uint64))) <= limits[members][owner]
-            tokens, owner = tokens[chosen], owner[chosen]
-            order = np.argsort(tokens, kind="stable")
-            keys, starts, counts = np.unique(tokens[order], return_index=True, return_counts=True)
+            chosen = _mixed(tokens[own] ^ _mixed(np.array([at + np.uint64(step + 1)], np.uint64))) <= limits[members][owner]
+            own, owner = own[chosen], owner[chosen]
+            order = np.argsort(own, kind="stable")
+            keys, starts, counts = np.unique(own[order], return_index=True, return_counts=True)
             for key, start, n in zip(keys, starts, counts):
                 if n > 1:
-                    todo.append((members[owner[order[start : start + n]]], _mixed(np.array([at ^ key], np.uint64))[0], step + 1))
+                    todo.append((members[owner[order[start : start + n]]], _mixed(np.array([at ^ tokens[key]], np.uint64))[0], step + 1))
     return edges
 
 
 def _edges_of(members: DataFrame, threshold: float, small: int, steps: int) -> DataFrame:
-    """``a, b``: edges that connect the similar members of buckets (``bucket, left, cls, sample``;
+    """``a, b, alike``: edges that connect the similar members of buckets (``bucket, left, cls, sample``;
     members with ``left`` false are compared with the others, not with each other)."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,13 +377,14 @@ def _edges_of(members: DataFrame, threshold: float, small: int, steps: int) -> D
                 sizes = [np.array([len(s) for s in x]) for x in (own, others)]
                 whole = np.zeros((len(classes),) * 2, bool)
                 whole[: len(a), len(a) :] = similar(sizes[0], overlaps(own, others), MARGIN * threshold, sizes[1])
-                edges, names = spanning(whole | whole.T), [classes[i] for i in a + b]
+                edges, names = [(*e, False) for e in spanning(whole | whole.T)], [classes[i] for i in a + b]
             if edges:
                 columns = [pa.array([names[e[i]] for e in edges], pa.int64()) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+                alike = pa.array([bool(e[2]) for e in edges], pa.bool_())
+                yield pa.RecordBatch.from_arrays([*columns, alike], names=["a", "b", "alike"])
 
     rows = members.repartition("bucket").sortWithinPartitions("bucket", F.desc("left"), "cls")
-    return rows.select("bucket", "left", "cls", "sample").mapInArrow(batches, "a long, b long")
+    return rows.select("bucket", "left", "cls", "sample").mapInArrow(batches, "a long, b long, alike boolean")
 
 
 def _blocks(rows: DataFrame, group: str, count: str, member: str) -> DataFrame:
@@ -345,32 +402,33 @@ def _blocks(rows: DataFrame, group: str, count: str, member: str) -> DataFrame:
     return dealt.withColumns({"bucket": bucket, "left": F.col("_own") == F.col("_pair.i")}).drop("_n", "_own", "_pair")
 
 
-def _candidate_groups(sets: DataFrame, threshold: float, recall: float, small: int, task: int, steps: int) -> DataFrame:
-    """``node, component`` of classes that may be similar to another one."""
-    # Half of what may be missed is left to pairs that share no first choice, half to those whose buckets split further.
-    half = (1 + recall) / 2
-    done, needed, deepest, of_runs = 0, runs_for(half), 0, []
-    while done < needed:
-        *found, steps_used = _buckets(sets, range(done + 1, needed + 1), threshold, small, task, steps)
-        of_runs.append(found)
-        if not done:
-            deep = stored(found[2], "deep-classes")
-            if deep.isEmpty():
-                break
-            # Only pairs whose first buckets were large can be lost on the way down: their classes have more runs.
-            sets = stored(likely(sets, F.xxhash64("cls"), deep, F.xxhash64("cls")).join(deep, "cls", "left_semi"), "deep-sets")
-        done, deepest = needed, max(deepest, steps_used)
-        needed = runs_for(half, deepest + steps)
+def _run_edges(sets: DataFrame, runs: range, threshold: float, small: int, task: int, steps: int) -> tuple[DataFrame, DataFrame]:
+    """``a, b, alike`` from some runs, and the classes whose buckets split."""
+    smalls, fits, large, edges, deep = _buckets(sets, runs, threshold, small, task, steps)
     # Similar sets meet in most runs; of small buckets one of each membership is enough.
-    smalls = reduce(DataFrame.union, [found[0] for found in of_runs]).distinct()
-    members = smalls.select(F.xxhash64("members").alias("bucket"), F.explode("members").alias("cls"))
-    members = reduce(DataFrame.union, [found[1] for found in of_runs], members).withColumn("left", F.lit(True))
-    for *_, large in of_runs:
-        if large is not None:
-            dealt = _blocks(large, "key", "n", "cls").select(F.xxhash64("bucket").alias("bucket"), "cls", "left")
-            members = members.union(dealt)
+    members = smalls.distinct().select(F.xxhash64("members").alias("bucket"), F.explode("members").alias("cls"))
+    members = members.union(fits).withColumn("left", F.lit(True))
+    if large is not None:
+        members = members.union(_blocks(large, "key", "n", "cls").select(F.xxhash64("bucket").alias("bucket"), "cls", "left"))
     members = stored(members, "bucket-members")
-    edges = _edges_of(members.join(_samples(sets, members), "cls"), threshold, small, steps)
+    found = _edges_of(members.join(_samples(sets, members), "cls"), threshold, small, steps)
+    return stored(reduce(DataFrame.union, edges, found).distinct(), "run-edges"), deep
+
+
+def _candidate_groups(sets: DataFrame, threshold: float, recall: float, small: int, task: int, steps: int) -> DataFrame:
+    """``node, component`` of classes that may be similar to another one."""
+    runs, more = (runs_for(recall, depth, STILL_SHARED * SAMPLE) for depth in (1, DEPTH))
+    edges, first_deep = _run_edges(sets, range(1, FIRST_RUNS + 1), threshold, small, task, steps)
+    # A member is left out for a first member that stays in; the smaller one of a pair is the first one.
+    alike = edges.where("alike").select("a", "b")
+    settled = alike.join(alike.select(F.col("b").alias("a")), "a", "left_anti").select(F.col("b").alias("cls")).distinct()
+    others = stored(sets.join(stored(settled, "settled"), "cls", "left_anti"), "unsettled")
+    later, deep = _run_edges(others, range(FIRST_RUNS + 1, runs + 1), threshold, small, task, steps)
+    edges = edges.union(later)
+    deep = stored(first_deep.union(deep).distinct(), "deep-classes")
+    if not deep.isEmpty():
+        others = stored(others.join(deep, "cls", "left_semi"), "deep-sets")
+        edges = edges.union(_run_edges(others, range(runs + 1, more + 1), threshold, small, task, steps)[0])
     return components(edges, "a", "b")
 
 
@@ -431,7 +489,8 @@ def _classes(
 ) -> DataFrame:
     """``near_duplicates`` with ``text_hash``, and ``class_key``, which tells classes apart even if ids repeat."""
     text = text_of(text_column)
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    every = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    rows = every.where("id is not null")
     documents = stored(_sets(rows, threshold), "shingle-sets")
     digest = ["size", "h1", "h2"]
     classes = documents.groupBy(*digest).agg(
@@ -439,20 +498,22 @@ def _classes(
     )
     classes = stored(classes.select(*digest, "first.id", "first.text_hash", "copies", "sample"), "shingle-classes")
     # Classes go by their smallest id; where an id stands for several texts, the others by a hash.
-    apart = not classes.groupBy("id").count().where("count > 1 and id is not null").isEmpty()
+    apart = not classes.groupBy("id").count().where("count > 1").isEmpty()
     if not apart:
         classes = classes.withColumn("cls", F.col("id"))
     else:
         place = F.row_number().over(W.partitionBy("id").orderBy(*digest))
         classes = classes.withColumn("cls", F.when(place == 1, F.col("id")).otherwise(F.xxhash64("id", *digest)))
         classes = stored(classes, "classes-apart")
-    sets = classes.where("size > 0 and id is not null").select("cls", "sample")
+    sets = classes.where("size > 0").select("cls", "sample")
     groups = stored(_candidate_groups(sets, threshold, recall, small, task, steps), "candidate-groups")
     sized = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     wanted = groups.join(sized, "component").withColumnRenamed("node", "cls")
     wanted = stored(wanted.join(classes.select("cls", "id", "text_hash", "copies"), "cls"), "candidates")
     # Texts of classes with candidates only, one row of each class.
     texts = likely(rows, F.xxhash64("id", "text_hash"), wanted, F.xxhash64("id", "text_hash"))
+    if not documents.groupBy("id", "text_hash").count().where("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["id", "text_hash"])
     blocks = _blocks(wanted, "component", "n", "cls").join(texts, ["id", "text_hash"])
     compared = stored(_compared(blocks, threshold), "compared")
     found = compared.where("other is null").groupBy("cls").agg(F.sum("links").alias("links"), F.min("label").alias("label"))
@@ -464,7 +525,7 @@ def _classes(
     named = named.withColumn("class_key", F.coalesce("label", "cls"))
     if apart:  # a class's key need not be an id
         smallest = named.groupBy("class_key").agg(F.min("id").alias("class_id"))
-        named = named.join(smallest, F.col("class_key").eqNullSafe(smallest["class_key"])).drop(smallest["class_key"])
+        named = named.join(smallest, "class_key")
     else:
         named = named.withColumn("class_id", F.col("class_key"))
     named = named.select(
@@ -472,7 +533,12 @@ def _classes(
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n"),
     )
     found = salted_join(documents.select("id", "text_hash", *digest), stored(named, "classes-named"), digest, "n", ["id", "text_hash"])
-    return found.select("id", "text_hash", "copy_id", "copies", "class_id", "class_key", "n_links")
+    found = found.select("id", "text_hash", "copy_id", "copies", "class_id", "class_key", "n_links")
+    none, one = F.lit(None).cast("long"), F.lit(1).cast("long")
+    alone = every.where("id is null").select(
+        "id", "text_hash", none.alias("copy_id"), one.alias("copies"), none.alias("class_id"), none.alias("class_key"), (one - 1).alias("n_links")
+    )
+    return found.unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -483,8 +549,8 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     of that similarity, copies included. Each link is found with a probability of at least ``recall``.
 
     Null texts count as empty; texts without words are copies of each other and similar to nothing else. Texts of
-    fewer than five words are one shingle. Repeated rows are copies. Null ids are a class of their own, next to nothing.
-    No rows give no rows; other columns are not read; whole texts are compared.
+    fewer than five words are one shingle. Repeated rows are copies. Rows without an id are
+    next to nothing, have no class, and change nothing for others. No rows give no rows; other columns are not read; whole texts are compared.
     """
     return _classes(docs, **options).select("id", "copy_id", "copies", "class_id", "n_links")
 

@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import likely, packed, salted_join, stored, table, text_of, unpacked
 
-#: Shorter lines are left alone: blank lines, brackets, list marks and single words repeat for good reason.
-MIN_CHARS = 20
+#: Lines of this many characters (spaces at the ends aside) count as repeated one edit apart; in shorter ones an edit makes
+#: another word, so they only count if they are equal.
+EDIT_CHARS = 20
 #: Parts a line is cut in, and what remains of it with a partner, and so on.
 PARTS = (2, 16)
 
@@ -100,25 +101,26 @@ def similar_lines(parts: DataFrame, lines: DataFrame) -> DataFrame:
     return near.groupBy("line").agg(F.min("other.first").alias("earlier"))
 
 
-def _lines(docs: DataFrame, id_column: str, text_column: str, min_chars: int) -> DataFrame:
-    """``place, line, body`` of all lines that take part; a place is id, number and the text's hash."""
+def _lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """``place, line, body`` of all lines but blank ones; a place is id, number and the text's hash."""
     rows = docs.select(F.col(id_column).alias("id"), text_of(text_column).alias("text"))
     rows = rows.select("id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n", -1).alias("lines"))
     each = rows.select("id", "text_hash", F.posexplode("lines").alias("at", "body"))
-    each = each.where(F.char_length(F.trim("body")) >= max(1, min_chars))
+    each = each.where(F.trim("body") != "")
     return each.select(F.struct("id", "at", "text_hash").alias("place"), _hash128(F.col("body")).alias("line"), "body")
 
 
-def repeated_lines(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", edit_chars: int = EDIT_CHARS) -> DataFrame:
     """``id, text_hash, ats``: numbers of the lines that repeat an earlier one, for documents with any.
 
-    Earlier is smaller by id, then by number of the line. A line repeats one that is equal or one
-    edit away, even if that one repeats another.
+    Earlier is smaller by id, then by number of the line. A line repeats one that is equal or, if
+    both have ``edit_chars`` characters, one edit away, even if that one repeats another.
     """
-    each = _lines(docs, id_column, text_column, min_chars)
+    each = _lines(docs, id_column, text_column)
     length = F.char_length("body")
     halves = F.flatten(F.transform(F.array(length, length - 1), lambda m: _cut(m, F.lit(0), m, PARTS[0])))
     keyed = F.transform(halves, lambda part: F.struct(part.alias("part"), _rest(F.col("body"), part).alias("key")))
+    keyed = F.when(F.char_length(F.trim("body")) >= edit_chars, keyed).otherwise(F.filter(keyed, lambda k: F.lit(False)))
     unique = each.select("line", "place", keyed.alias("keyed")).groupBy("line").agg(
         F.min("place").alias("first"), F.any_value("keyed").alias("keyed"), F.count(F.lit(1)).alias("n")
     )
@@ -138,16 +140,16 @@ def repeated_lines(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
 
 
 def deduplicated(
-    docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", min_chars: int = MIN_CHARS, counts: str | None = "n_chars"
+    docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", edit_chars: int = EDIT_CHARS, counts: str | None = "n_chars"
 ) -> DataFrame:
     """``docs`` packed as ``_row``, with ``lines`` (number of lines), ``ats`` (of the repeated ones)
     and ``left`` (the text without them).
 
-    Lines end at a line feed. Null texts count as empty and stay as they are. Lines of fewer than
-    ``min_chars`` characters, spaces at the ends aside, are left alone. Repeated rows (one id, one text) are one document: what one keeps, all keep.
+    Lines end at a line feed. Null texts count as empty and stay as they are. Blank lines are left alone; lines of fewer than
+    ``edit_chars`` characters, spaces at the ends aside, go if they equal an earlier one. Repeated rows (one id, one text) are one document: what one keeps, all keep.
     No rows give no rows; other columns pass through, whatever their names.
     """
-    found = repeated_lines(docs, id_column=id_column, text_column=text_column, min_chars=min_chars)
+    found = repeated_lines(docs, id_column=id_column, text_column=text_column, edit_chars=edit_chars)
     found = stored(found.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("ats").alias("_ats")), "lines-dropped")
     text = text_of(text_column)
     rows = packed(docs, _own=F.col(id_column), _text=F.xxhash64(text), _lines=F.split(text, "\n", -1))
@@ -193,8 +195,9 @@ ORACLE = {
     "op7_line_dedup": f"""
 WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 each AS (SELECT doc_id, unnest(ls) AS body, unnest(range(0, len(ls))) AS num FROM split),
-line AS (SELECT *, [doc_id, num] AS place FROM each WHERE length(trim(body, ' ')) >= {MIN_CHARS}),
-u AS (SELECT body, min(place) AS first, length(body) AS n FROM line GROUP BY body),
+line AS (SELECT *, [doc_id, num] AS place FROM each WHERE trim(body, ' ') <> ''),
+a AS (SELECT body, min(place) AS first, length(body) AS n FROM line GROUP BY body),
+u AS (SELECT * FROM a WHERE length(trim(body, ' ')) >= {EDIT_CHARS}),
 pair AS (
   SELECT x.body AS b, y.body AS o, x.first AS f, y.first AS g FROM u AS x JOIN u AS y
     ON left(x.body, 10) = left(y.body, 10) AND y.first < x.first AND abs(x.n - y.n) <= 1
@@ -209,8 +212,8 @@ same AS (
 near AS (SELECT b, min(g) AS g FROM same WHERE s + e >= n - 1 GROUP BY b),
 gone AS (
   SELECT line.doc_id, list(line.num ORDER BY line.num) AS ats
-  FROM line JOIN u USING (body) LEFT JOIN near ON near.b = line.body
-  WHERE line.place > u.first OR line.place > near.g GROUP BY line.doc_id)
+  FROM line JOIN a USING (body) LEFT JOIN near ON near.b = line.body
+  WHERE line.place > a.first OR line.place > near.g GROUP BY line.doc_id)
 SELECT doc_id, CAST(len(ls) AS INTEGER) AS lines, coalesce(array_to_string(ats, ','), '') AS repeated,
   sha256(coalesce(array_to_string(list_filter(ls, lambda x, i: NOT list_contains(coalesce(ats, []), i - 1)), chr(10)), '')) AS text_sha256
 FROM split LEFT JOIN gone USING (doc_id)"""

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, stored, table, text_of
 
@@ -251,7 +252,8 @@ def score(docs: DataFrame, model: Model, *, at_least: int | None = None) -> Data
 
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row")
     rows = docs.select(rest, F.col("text"))
-    return rows.mapInArrow(batches, f"_row {rows.schema['_row'].dataType.simpleString()}, text string, expected double, tail double")
+    schema = T.StructType([rows.schema["_row"], T.StructField("text", T.StringType())])
+    return rows.mapInArrow(batches, schema.add("expected", "double").add("tail", "double"))
 
 
 def grades_of(labels: DataFrame) -> DataFrame:

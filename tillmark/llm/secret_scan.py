@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, text_of
+from .common import slices, stored, table, text_of
 
 # The patterns of the base scan and the kinds of spans, in order.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -47,6 +47,8 @@ ENCODINGS = {
 }
 PLACES = [{c: i for i, c in enumerate(alphabet)} for alphabet, _ in ENCODINGS.values()]
 BINS = 50
+#: Longer strings are tested each time they occur; what is remembered stays small.
+REMEMBERED_CHARS = 256
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -112,9 +114,12 @@ def combined(p_values: list[float]) -> float:
     return min(1.0, math.exp(-half) * total)
 
 
-@lru_cache(100_000)
 def tested(string: str) -> tuple[int, float] | None:
     """Inferred encoding and p-value of a candidate; None if it has no letters or no digits."""
+    return _remembered(string) if len(string) <= REMEMBERED_CHARS else _tested(string)
+
+
+def _tested(string: str) -> tuple[int, float] | None:
     classes = [any(c in own for c in string) for own in (DIGITS, LOWER, UPPER)]
     if not classes[0] or not any(classes[1:]):
         return None
@@ -128,6 +133,9 @@ def tested(string: str) -> tuple[int, float] | None:
     return None
 
 
+_remembered = lru_cache(100_000)(_tested)
+
+
 def length_class(n: int) -> int:
     return int(2 * math.log2(n))
 
@@ -155,7 +163,8 @@ def thresholds(counts: dict[tuple[int, int, int], int], rate: float) -> dict[tup
         strata.setdefault((encoding, length), [0] * BINS)[min(place, BINS - 1)] += n
     found = {}
     for stratum, bins in strata.items():
-        random = 2 * sum(bins[BINS // 2 :])
+        # One more, since few candidates say little: a single random one is then found like one of many.
+        random = 2 * sum(bins[BINS // 2 :]) + 1
         for cut in range(1, BINS):
             above = sum(bins[cut:])
             if above and 1 - min(1.0, random * (1 - cut / BINS) / above) <= rate:
@@ -179,7 +188,7 @@ def scan(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text
     """
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in slices(source):
             base, odd = [], []
             for text in batch.column(1).to_pylist():
                 own = base_spans(text)

@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, text_of
+from .common import slices, stored, table, text_of
 from .word_bpe import counter
 
 LIMIT = 2048
@@ -62,22 +62,28 @@ def prefix_counts(
 
 
 def answers(store: DataFrame, budget: int) -> DataFrame:
-    """``id, n_tokens, over_limit, prefix_length`` for a budget, from a store of ``prefix_counts``."""
+    """``id, n_bytes, n_tokens, over_limit, prefix_length`` for a budget, from the counts in a store of ``prefix_counts``."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            lengths = [longest_within(d, budget) for d in batch.column(2).to_pylist()]
-            over = [n > budget for n in batch.column(1).to_pylist()]
-            arrays = [batch.column(0), batch.column(1), pa.array(over, pa.bool_()), pa.array(lengths, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "n_tokens", "over_limit", "prefix_length"])
+        for batch in slices(source):
+            at = [counts(d) for d in batch.column(2).to_pylist()]
+            totals = [int(c[-1]) for c in at]
+            # The longest prefix within the budget, which an earlier, shorter one may exceed.
+            lengths = [int(np.flatnonzero(c <= budget)[-1]) for c in at]
+            arrays = [
+                batch.column(0), batch.column(1), pa.array(totals, pa.int64()), pa.array([n > budget for n in totals], pa.bool_()),
+                pa.array(lengths, pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "n_bytes", "n_tokens", "over_limit", "prefix_length"])
 
-    schema = "id long, n_tokens long, over_limit boolean, prefix_length long"
-    return store.select("id", "n_tokens", "prefix_deltas").mapInArrow(batches, schema)
+    schema = "id long, n_bytes long, n_tokens long, over_limit boolean, prefix_length long"
+    return store.select("id", "n_bytes", "prefix_deltas").mapInArrow(batches, schema)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = prefix_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), store=False)
-    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
+    found = prefix_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    found = answers(stored(found, "prefix-counts"), LIMIT)
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", "over_limit", "prefix_length")
 
 
 QUERIES = {"op3_token_counts": op3}

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 SHARD_ROWS, LEAF_ROWS, QUERY_ROWS = 8192, 64, 2048
+#: Stands for no score; below all scores, which fit 64 bits.
+NONE = np.iinfo(np.int64).min
 
 
 def build_tree(points: np.ndarray, leaf_rows: int = LEAF_ROWS) -> dict[str, np.ndarray]:
@@ -51,36 +53,41 @@ def build_tree(points: np.ndarray, leaf_rows: int = LEAF_ROWS) -> dict[str, np.n
 
 
 class Best:
-    """The k best (score, identifier) of each query so far; ties go to the smaller identifier."""
+    """The k best (score, identifier) of each query so far, whole numbers; ties go to the smaller identifier."""
 
     def __init__(self, queries: int, k: int, floors: np.ndarray | None = None):
         self.ids = np.full((queries, k), np.iinfo(np.int64).max)
-        self.scores = np.full((queries, k), -np.inf)
-        self.floors = np.full(queries, -np.inf) if floors is None else floors.astype(float)
+        self.scores = np.full((queries, k), NONE)
+        self.floors = np.full(queries, NONE) if floors is None else floors
 
     def kth(self) -> np.ndarray:
         return np.maximum(self.scores[:, -1], self.floors)
 
     def take(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        """Scores (rows x candidates) of candidates with these identifiers; -inf: not a candidate."""
-        some = (scores >= self.kth()[rows, None]).any(1)
+        """Scores (rows x candidates) of candidates with these identifiers; NONE: not a candidate."""
+        some = ((scores >= self.kth()[rows, None]) & (scores > NONE)).any(1)
         rows, scores = rows[some], scores[some]
         if not len(rows):
             return
         k = self.ids.shape[1]
         scores = np.concatenate([self.scores[rows], scores], 1)
         ids = np.concatenate([self.ids[rows], np.broadcast_to(ids, (len(rows), len(ids)))], 1)
-        top = np.lexsort((ids, -scores), axis=1)[:, :k]
+        top = np.lexsort((ids, ~scores), axis=1)[:, :k]
         self.scores[rows] = np.take_along_axis(scores, top, 1)
         self.ids[rows] = np.take_along_axis(ids, top, 1)
 
 
 def _scores(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Whole inner products; in floating point where that is exact, which BLAS makes fast."""
-    most = [int(np.abs(x).max(initial=0)) for x in (queries, points)]
-    if most[0] * most[1] * queries.shape[1] >= 2**53:
-        raise OverflowError("inner products from 2**53 on cannot be ranked exactly")
-    return queries.astype(float) @ points.T.astype(float)
+    """Whole inner products; in floating point where that is exact, which BLAS makes fast, else in 64 bits."""
+    most = [max(abs(int(x.min(initial=0))), abs(int(x.max(initial=0)))) for x in (queries, points)]
+    if most[0] * most[1] * queries.shape[1] < 2**53:
+        return (queries.astype(float) @ points.T.astype(float)).astype(np.int64)
+    if most[0] * most[1] * queries.shape[1] < 2**63:
+        return queries @ points.T
+    found = queries.astype(object) @ points.T.astype(object)
+    if max((abs(x) for x in found.flat), default=0) >= 2**63 - 1:
+        raise OverflowError("an inner product does not fit 64 bits")
+    return found.astype(np.int64)
 
 
 def search_shard(
@@ -115,7 +122,7 @@ def search_shard(
             rows = asking[chosen == leaf]
             a, b = nodes[leaves[leaf], :2]
             scores = _scores(queries[rows], points[a:b])
-            scores[query_ids[rows][:, None] == ids[a:b][None, :]] = -np.inf
+            scores[query_ids[rows][:, None] == ids[a:b][None, :]] = NONE
             best.take(rows, scores, ids[a:b])
 
 
@@ -146,11 +153,12 @@ def top_k(
     Scores are inner products of the components as whole numbers, ties go to the smaller
     identifier; with fewer than k candidates, all. Null vectors, vectors holding a null or
     non-finite component, empty ones and null identifiers take no part; vectors of another length than a query's are no
-    candidates for it. Repeated rows count once: of several vectors of one identifier the smallest stays. No rows give no rows. Inner
-    products from 2**53 on raise an error. Other columns are not read.
+    candidates for it. Rows that share an identifier all take part, as queries and as candidates, but not for each other.
+    No rows give no rows. Inner products that do not fit 64 bits raise an error. Other columns are not read.
     """
     whole = whole_vectors(rows, id_column, vector, scale)
-    vectors = stored(whole.groupBy("id").agg(F.min("v").alias("v")).withColumn("d", F.size("v")), "topk-vectors")
+    # Written once, so that the row numbers stay what they are.
+    vectors = stored(whole.withColumns({"d": F.size("v"), "rid": F.monotonically_increasing_id()}), "topk-vectors")
     shards = max(1, -(-vectors.count() // SHARD_ROWS))
 
     def planted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,12 +182,12 @@ def top_k(
         for key in list(parts):
             yield made(key)
 
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int"))
     dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "d", "id")
     trees = stored(dealt.select("shard", "d", "id", "v").mapInArrow(planted, "d int, tree binary"), "topk-trees")
     wanted = vectors.where(is_query)
     blocks = max(1, -(-wanted.count() // QUERY_ROWS))
-    wanted = stored(wanted.withColumn("block", F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(blocks)).cast("int")), "topk-queries")
+    wanted = stored(wanted.withColumn("block", F.pmod(F.xxhash64(F.lit(7), "rid"), F.lit(blocks)).cast("int")), "topk-queries")
     return _searched(trees, wanted, blocks, k)
 
 
@@ -196,7 +204,7 @@ def _searched(trees: DataFrame, wanted: DataFrame, blocks: int, k: int) -> DataF
             shared = spark.sparkContext.broadcast((ids, queries))
             seeds = stored(_pass(own_trees, shared, None, k), "topk-seeds")
             ranked = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-            floors = np.full(len(ids), -np.inf)
+            floors = np.full(len(ids), NONE)
             kth = seeds.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") == k)
             for row in kth.select("query", "score").collect():
                 floors[row["query"]] = row["score"]
@@ -218,8 +226,8 @@ def _pass(trees: DataFrame, shared, floors: np.ndarray | None, k: int) -> DataFr
             for data in batch.column("tree"):
                 tree = _unpack(data.as_py())
                 search_shard(tree, tree["points"], tree["ids"], queries, query_ids, best, floors is None)
-        rows, places = np.nonzero(best.scores > -np.inf)
-        arrays = [pa.array(rows.astype(np.int32)), pa.array(best.ids[rows, places]), pa.array(best.scores[rows, places].astype(np.int64))]
+        rows, places = np.nonzero(best.scores > NONE)
+        arrays = [pa.array(rows.astype(np.int32)), pa.array(best.ids[rows, places]), pa.array(best.scores[rows, places])]
         yield pa.RecordBatch.from_arrays(arrays, names=["query", "vec_id", "score"])
 
     return trees.mapInArrow(batches, "query int, vec_id long, score long")
