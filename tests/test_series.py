@@ -94,7 +94,7 @@ def test_arima_recovers_known_coefficients():
     for i in range(2, n):
         w[i] = 0.5 * w[i - 1] - 0.3 * w[i - 2] + e[i] + 0.4 * e[i - 1]
     y = 1000 + np.cumsum(w)
-    got = np.diff(np.r_[y[-1], arima_212(y, 3)])
+    got = np.diff(np.r_[y[-1], arima_212(y, 3)[0]])
     first = 0.5 * w[-1] - 0.3 * w[-2] + 0.4 * e[-1]
     second = 0.5 * first - 0.3 * w[-1]
     assert got[:2] == pytest.approx([first, second], abs=0.15)
@@ -167,3 +167,61 @@ def test_fits_share_one_partitioning(sell):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning(series_key") == 1
     assert "REPARTITION_BY_NUM" in text
+
+
+def changing(rng, n, rate, size, noise):
+    """A line whose slope changes now and then."""
+    slopes, slope = np.zeros(n), rng.normal(0, size)
+    for i in range(n):
+        slope = rng.normal(0, size) if rng.random() < rate else slope
+        slopes[i] = slope
+    return 100 + np.cumsum(slopes) + rng.normal(0, noise, n)
+
+
+def covered(make, count, history, ahead=60):
+    rng, shares = np.random.default_rng(history), []
+    for _ in range(count):
+        y, days = make(rng, history + ahead), np.arange(float(history + ahead))
+        low, high = seasonal_fit(days[:history], y[:history], days[history:], 1.96)[history:, 1:].T
+        shares.append(((low <= y[history:]) & (y[history:] <= high)).mean())
+    return np.mean(shares)
+
+
+@pytest.mark.parametrize("history, rate, size, noise", [(730, 0.02, 0.3, 3), (730, 0.01, 1, 5), (200, 0.01, 1, 5), (400, 0.01, 1, 5)])
+def test_bands_cover_changes_of_the_slope(history, rate, size, noise):
+    assert covered(lambda rng, n: changing(rng, n, rate, size, noise), 30, history) >= 0.88
+
+
+@pytest.mark.parametrize("history", [60, 400])
+def test_bands_cover_plain_noise(history):
+    assert 0.9 <= covered(lambda rng, n: 100 + rng.normal(0, 5, n), 20, history) <= 0.99
+
+
+@pytest.mark.parametrize("history,ahead", [(60, 90), (180, 90), (14, 30), (400, 60)])
+def test_a_straight_line_goes_on_within_a_hundredth(history, ahead):
+    days = np.arange(float(history + ahead))
+    line = 100 + 10 * days
+    assert seasonal_fit(days[:history], line[:history], days[history:], 1.96)[history:, 0] == pytest.approx(line[history:], rel=0.01)
+
+
+def test_two_weeks_of_a_random_walk():
+    """A forecast from 14 days is not much worse than the last value, not on the worst of 200 walks either."""
+    rng = np.random.default_rng(0)
+    walks = 100 + np.cumsum(rng.normal(0, 1, (200, 28)), 1)
+    errors = np.array([np.abs(arima_212(y[:14], 14)[0] - y[14:]).mean() for y in walks])
+    last = np.abs(walks[:, 13:14] - walks[:, 14:]).mean(1)
+    assert errors.mean() < 1.1 * last.mean() and errors.max() < 1.5 * last.max()
+
+
+def test_deviations_of_the_forecast():
+    """95 % of the values of known processes lie within 1.96 deviations, near and far."""
+    rng, inside = np.random.default_rng(2), []
+    for _ in range(60):
+        e = rng.normal(0, 1, 230)
+        w = np.zeros(230)
+        for i in range(2, 230):
+            w[i] = 0.5 * w[i - 1] - 0.3 * w[i - 2] + e[i] + 0.4 * e[i - 1]
+        y = np.cumsum(w)
+        level, deviation = arima_212(y[:200], 30)
+        inside.append(np.abs(y[200:] - level) < 1.96 * deviation)
+    assert 0.88 < np.mean(inside) < 0.99

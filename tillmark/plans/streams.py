@@ -15,7 +15,7 @@ from ..operators.enrich import enrich
 from ..session import durable, shared_path
 from ..sources.adapters import TABLES, event_mapping, garbled_events
 from ..sources.transactions import from_text
-from ..streaming import ingest, sinks, windows
+from ..streaming import baselines, ingest, sinks, windows
 from .common import CLEAN, EV, TIME, m, over, plain, q, rounded, sales
 
 
@@ -49,21 +49,63 @@ def st1(spark, folder):
     return appended(spark, ingest.stream_clean(text, _past(raw)), "st1")
 
 
-def cleaned_stream(spark, folder, files=4):
-    """Text rows with defects that arrive in the order of their times, a file per batch, and are
+#: Parts of the days that arrive one after the other, and files each of them is written in, side by side.
+PARTS, PART_FILES = 4, 4
+
+
+def arriving(spark, rows, day, write):
+    """Rows in the order of their days, a part of the days after the other; how many files a part has.
+
+    ``write`` stores one part; a stream that takes as many files at a time sees a part per batch."""
+    part = F.ntile(PARTS).over(W.orderBy("day"))  # one row per day
+    days = rows.select(day.alias("day")).where("day is not null").distinct().withColumn("part", part)
+    dealt = durable(rows.withColumn("day", day).join(F.broadcast(days), "day").drop("day"))
+    least = dealt.groupBy("part").count().agg(F.min("count")).first()[0] or 1
+    files = min(PART_FILES, least)
+    for number in range(1, PARTS + 1):
+        write(dealt.where(F.col("part") == number).drop("part").repartition(files), number)
+    return files
+
+
+def cleaned_stream(spark, folder):
+    """Text rows with defects that arrive in the order of their times, a part of the days per batch, and are
     cleaned on the way."""
     path = shared_path(spark, "incoming")
     raw = garbled_events(spark, folder)
-    part = F.ntile(files).over(W.orderBy("day"))
-    days = raw.select(F.substring("transaction_time", 1, 10).alias("day")).distinct().withColumn("part", part)
-    dealt = durable(raw.withColumn("day", F.substring("transaction_time", 1, 10)).join(F.broadcast(days), "day").drop("day"))
-    for number in range(1, files + 1):
-        one = dealt.where(F.col("part") == number).drop("part").coalesce(1)
-        one.write.mode("append").option("header", True).csv(path)
-    text = ingest.stream_csv(spark, f"{path}/*.csv", raw.columns, maxFilesPerTrigger=1)
+    files = arriving(
+        spark, raw, F.substring("transaction_time", 1, 10),
+        lambda rows, number: rows.write.option("header", True).csv(f"{path}/part-{number}"),
+    )
+    text = ingest.stream_csv(spark, f"{path}/*/*.csv", raw.columns, maxFilesPerTrigger=files)
     return ingest.stream_clean(text, _past(raw))
 
 
+def moving(spark, folder, purpose, score):
+    """Score a stream of events by a baseline that moves with it. The stream is stopped and started anew after every part of the
+    days, on the same state."""
+    path, incoming = shared_path(spark, purpose), shared_path(spark, "incoming")
+    rows = sales(spark, folder).select("transaction_time", "transaction_qty", "revenue", "store_location", "date")
+    schema = rows.drop("date").schema
+
+    def run(part, number):
+        part.drop("date").write.parquet(f"{incoming}/part-{number}")
+        stream = spark.readStream.schema(schema).parquet(f"{incoming}/*/*.parquet")
+        score(ingest.marked(stream), path).awaitTermination()
+
+    arriving(spark, rows, F.col("date"), run)
+    return plain(baselines.read_scored(spark, path))
+
+
+def st4_moving(spark, folder):
+    found = moving(spark, folder, "st4", baselines.score_rolling)
+    return rounded(found, "baseline_revenue", "vs_baseline", digits=7)
+
+
+def st5_moving(spark, folder):
+    found = moving(spark, folder, "st5", lambda stream, path: baselines.score_anomalies(stream, path, 1.5))
+    return rounded(found, "z_score")
+
+
 def st3(spark, folder):
     return appended(spark, windows.rolling_windows(event_stream(spark, folder)), "st3")
 
@@ -114,6 +156,9 @@ QUERIES = {
     "st3_rolling_windows": st3,
     "st3_cleaned": lambda s, f: appended(s, windows.rolling_windows(cleaned_stream(s, f)), "st3"),
     "st4_rolling_vs_baseline": st4,
+    "st3_long_windows": lambda s, f: appended(s, windows.rolling_windows(event_stream(s, f), 240, 10), "st3"),
+    "st4_moving_baseline": st4_moving,
+    "st5_moving_baseline": st5_moving,
     "st5_window_anomalies": st5,
     "st5_cleaned": st5_cleaned,
     "st6_latest_feed": st6,
@@ -121,11 +166,11 @@ QUERIES = {
 }
 
 
-def _sliding(t: str, since: str = "2000-01-01") -> str:
+def _sliding(t: str, since: str = "2000-01-01", minutes: int = 60, slide: int = 15) -> str:
     return f"""--with mark AS (SELECT max(transaction_time) - INTERVAL 10 MINUTE AS t FROM {t}),
-starts AS (SELECT time_bucket(INTERVAL 15 MINUTE, transaction_time) - to_minutes(CAST(15 * k AS INTEGER)) AS ws, {t}.*
-  FROM {t}, range(0, 4) AS r(k) WHERE date >= DATE '{since}'),
-w AS (SELECT ws, ws + INTERVAL 60 MINUTE AS we, {m()} AS revenue, {q()} AS units, count(*) AS transactions
+starts AS (SELECT time_bucket(INTERVAL {slide} MINUTE, transaction_time) - to_minutes(CAST({slide} * k AS INTEGER)) AS ws, {t}.*
+  FROM {t}, range(0, {minutes // slide}) AS r(k) WHERE date >= DATE '{since}'),
+w AS (SELECT ws, ws + INTERVAL {minutes} MINUTE AS we, {m()} AS revenue, {q()} AS units, count(*) AS transactions
   FROM starts GROUP BY ws),
 closed AS (SELECT w.* FROM w, mark WHERE we <= t)
 """
@@ -150,8 +195,8 @@ def _by_store(t: str) -> str:
       {_S.format("ws + INTERVAL 1 HOUR")} AS window_end, store_location, units, revenue, transactions FROM closed"""
 
 
-def _rolling(t: str) -> str:
-    return _sliding(t) + f"""SELECT {_S.format("ws")} AS window_start, {_S.format("we")} AS window_end, units, revenue,
+def _rolling(t: str, minutes: int = 60, slide: int = 15) -> str:
+    return _sliding(t, minutes=minutes, slide=slide) + f"""SELECT {_S.format("ws")} AS window_start, {_S.format("we")} AS window_end, units, revenue,
       transactions, revenue / transactions AS avg_order FROM closed"""
 
 
@@ -172,6 +217,24 @@ ORACLE = {
     "st2_cleaned": over(CLEAN, _by_store("tidy")),
     "st3_rolling_windows": over(EV, _rolling("ev")),
     "st3_cleaned": over(CLEAN, _rolling("tidy")),
+    "st3_long_windows": over(EV, _rolling("ev", 240, 10)),
+    "st4_moving_baseline": over(
+        EV,
+        _sliding("ev") + f""", days AS (SELECT date, hour, {m()} AS r FROM ev GROUP BY ALL),
+        s AS (SELECT ws, any_value(we) AS we, any_value(revenue) AS revenue, count(days.r) AS days, avg(days.r) AS b
+          FROM closed LEFT JOIN days ON days.hour = hour(ws) AND days.date < CAST(ws AS DATE) GROUP BY ws)
+        SELECT {_S.format("ws")} AS window_start, {_S.format("we")} AS window_end, CAST(hour(ws) AS INTEGER) AS hour,
+          revenue, days, round(b, 7) AS baseline_revenue, round(revenue / b, 7) AS vs_baseline FROM s""",
+    ),
+    "st5_moving_baseline": over(
+        EV,
+        _hours("ev") + f""", every AS (SELECT date, hour, {q()} AS u FROM ev GROUP BY ALL),
+        s AS (SELECT ws, any_value(closed.units) AS units, count(u) AS days, avg(u) AS mean, stddev_samp(u) AS std
+          FROM closed LEFT JOIN every ON every.hour = hour(ws) AND every.date < CAST(ws AS DATE) GROUP BY ws)
+        SELECT {_S.format("ws")} AS window_start, CAST(hour(ws) AS INTEGER) AS hour, units,
+          days, round((units - mean) / (std + 1e-9), 6) AS z_score,
+          coalesce(abs((units - mean) / (std + 1e-9)) > 1.5, false) AS is_anomaly FROM s""",
+    ),
     "st4_rolling_vs_baseline": over(
         EV,
         _sliding("ev", SCORED_FROM)

@@ -6,11 +6,13 @@ a hot key are combined before the shuffle, and the watermark bounds how many win
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import revenue, rows, units
-from ..functions.numeric import ratio
+from ..functions.numeric import money_total, ratio, total
 from ..operators.kpi import known
 from ..schema import Z_EPSILON
 from ..sources.sinks import write_table
@@ -34,8 +36,21 @@ def hourly_by_store(df: DataFrame) -> DataFrame:
 
 
 def rolling_windows(df: DataFrame, minutes: int = 60, slide: int = 15) -> DataFrame:
-    """Revenue, transactions and average order of sliding windows."""
-    sums = _windows(df, f"{minutes} minutes", f"{slide} minutes")
+    """Revenue, transactions and average order of sliding windows.
+
+    Rows are first summed up in panes that every window is made of, so a row is counted once however long and
+    close the windows are; only panes are repeated for each window they lie in.
+    """
+    pane = math.gcd(minutes, slide)
+    marked_rows = marked(df)
+    panes = marked_rows.groupBy(F.window("transaction_time", f"{pane} minutes").alias("pane")).agg(
+        units().alias("units"), revenue().alias("revenue"), rows(df).alias("transactions")
+    )
+    window = F.window(F.window_time("pane"), f"{minutes} minutes", f"{slide} minutes")
+    sums = panes.groupBy(window).agg(
+        total("units").alias("units"), money_total("revenue").alias("revenue"), F.sum("transactions").alias("transactions")
+    )
+    sums = sums.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "units", "revenue", "transactions")
     return sums.withColumn("avg_order", ratio(F.col("revenue"), F.col("transactions"), 0.0))
 
 
