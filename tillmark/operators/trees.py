@@ -3,8 +3,8 @@
 The features of a sale are its hour, day, month and weekday, so at most ``CELLS`` combinations (cells) exist,
 whatever the number of rows. One pass folds the rows to cells, labels and a count. Sampling is by row all the same: of n equal rows, how many
 a tree draws once, twice and so on is a multinomial number, and how many a subsample keeps a binomial one, so
-folded rows are drawn with exactly the distribution of single ones. All draws come from a generator seeded by the cell and the part
-its rows belong to, so they do not depend on partitions or retries, and leaving a part (a fold) out changes no other draws.
+folded rows are drawn with exactly the distribution of single ones. All draws come from generators seeded by cell, label and the part
+that the rows belong to, so they do not depend on partitions or retries, and leaving a part (a fold) out changes no other draws.
 
 What a tree sees is then one row per cell: rows drawn, their number and sum of labels. All nodes of a level are
 split at once by the histograms of the features' values. Splits do not depend on how deep a tree may grow or how many trees
@@ -175,7 +175,7 @@ def drawn(folded: DataFrame, trees: int, seed: int, bootstrap: bool, share: floa
     """
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, generator, sums, done = None, None, None, []
+        now, sums, done = None, None, []
 
         def made() -> pa.RecordBatch:
             columns = list(zip(*done))
@@ -195,7 +195,8 @@ def drawn(folded: DataFrame, trees: int, seed: int, bootstrap: bool, share: floa
                         yield made()
                         done = []
                     now, sums = key, (np.zeros(3), np.zeros((3, trees)))
-                    generator = np.random.default_rng([seed, key[0] + 1, _ordinal(*key[1:])])
+                # More trees draw more numbers behind the same first ones.
+                generator = np.random.default_rng([seed, key[0] + 1, _ordinal(*key[1:]), int(np.float64(label).view(np.uint64))])
                 sums[0][:] += n, n * label, n * label * label
                 if bootstrap:
                     times = generator.multinomial(n, [*_DRAWN[:-1], 1 - sum(_DRAWN[:-1])], trees)
