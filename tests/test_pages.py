@@ -57,3 +57,18 @@ def test_model_pages(spark, folder, monkeypatch):
     for page in pages.peak_demand(facts, tune=True).values():
         assert filled(page)["first_20"] == 20
     assert filled(pages.model_comparison(facts))["radar"] == 3
+
+
+def test_distinct_ids_merge_over_days(spark, folder):
+    """Bitmaps of single days, merged, count as the transactions do; a day added later is one more merge."""
+    from tillmark.operators import kpi
+    from tillmark.plans import rollup
+    from tillmark.plans.common import line_sales
+
+    facts = line_sales(spark, folder)
+    want = {r["store_location"]: r["transaction_id"] for r in kpi.distinct_transactions(facts).collect()}
+    early, late = (facts.where(f"date {op} date'1995-06-01'") for op in ("<", ">="))
+    both = rollup.id_bitmaps(early).union(rollup.id_bitmaps(late))
+    assert {r["store_location"]: r["transaction_id"] for r in rollup.distinct_from_bitmaps(both).collect()} == want
+    guess = rollup.distinct_from_sketches(rollup.id_sketches(early).union(rollup.id_sketches(late)))
+    assert all(abs(r["transaction_id"] / want[r["store_location"]] - 1) < 0.04 for r in guess.collect())

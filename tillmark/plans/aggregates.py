@@ -8,8 +8,10 @@ from ..functions.ordered import arg_best
 from ..operators import (
     anomaly, clean, demand, inventory, kpi, learning, ranking, rolling, series, shape, workforce,
 )
+from ..session import shared_path
 from ..sources import adapters, transactions
 from .common import EV, LI, RAW, TIME, even, line_sales, m, over, plain, q, rounded, sales
+from . import rollup
 from .rollup import hourly_rollup
 
 
@@ -31,6 +33,20 @@ def _baseline(spark, folder):
     return learning.mean_model(learning.training_table(sales(spark, folder)))
 
 
+def ag9_bitmaps(spark, folder):
+    """Distinct ids from stored bitmaps of each day."""
+    return rollup.distinct_from_bitmaps(rollup.stored_ids(line_sales(spark, folder), shared_path(spark, "ids")))
+
+
+def ag9_sketches(spark, folder):
+    """Whether estimates from stored sketches are within 4 % of the exact numbers."""
+    facts = line_sales(spark, folder)
+    guess = rollup.distinct_from_sketches(rollup.stored_ids(facts, shared_path(spark, "sketches"), exact=False))
+    exact = kpi.distinct_transactions(facts).withColumnRenamed("transaction_id", "exact")
+    near = F.abs(F.col("transaction_id") / F.col("exact") - 1) < 0.04
+    return guess.join(exact, "store_location").select("store_location", "exact", near.alias("near"))
+
+
 def ag17(spark, folder):
     """The best and the worst day."""
     days = kpi.daily_sales(line_sales(spark, folder))
@@ -106,6 +122,8 @@ QUERIES = {
     "ag7_weekday_hour": lambda s, f: kpi.weekday_hour_units(sales(s, f)),
     "ag8_quarterly_revenue": lambda s, f: kpi.quarterly_revenue(line_sales(s, f)),
     "ag9_distinct_transactions": lambda s, f: kpi.distinct_transactions(line_sales(s, f)),
+    "ag9_from_bitmaps": ag9_bitmaps,
+    "ag9_from_sketches": ag9_sketches,
     "ag10_distinct_counts": lambda s, f: kpi.distinct_counts(line_sales(s, f)),
     "ag11_store_revenue": lambda s, f: kpi.store_revenue(sales(s, f)),
     "ag12_daily_spread_category": lambda s, f: _spread(s, f, "product_category"),
@@ -258,6 +276,12 @@ ORACLE = {
     "ag9_distinct_transactions": over(
         LI, "SELECT store_location, count(DISTINCT transaction_id) AS transaction_id FROM li GROUP BY 1"
     ),
+    "ag9_from_bitmaps": over(
+        LI, "SELECT store_location, count(DISTINCT transaction_id) AS transaction_id FROM li WHERE store_location IS NOT NULL GROUP BY 1"
+    ),
+    "ag9_from_sketches": over(
+        LI, "SELECT store_location, count(DISTINCT transaction_id) AS exact, true AS near FROM li WHERE store_location IS NOT NULL GROUP BY 1"
+    ),
     "ag10_distinct_counts": over(
         LI, "SELECT count(DISTINCT store_location) AS stores, count(DISTINCT product_category) AS categories FROM li"
     ),
