@@ -302,6 +302,21 @@ def bucket_edges(
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     limits = np.array([_part(BRANCH * choice_rate(n, threshold)) for n in sizes.tolist()], np.uint64)
     marked, edges, seen = np.zeros(len(tokens), bool), [], set()
+    parent = list(range(len(samples)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    def link(i: int, j: int, alike: bool) -> None:
+        """Take an edge that connects what was not connected yet, or says that the second member is settled."""
+        a, b = root(i), root(j)
+        if a != b:
+            parent[b] = a
+        if a != b or alike:
+            edges.append((i, j, alike))
 
     def compared(members: np.ndarray) -> None:
         if members.tobytes() in seen:  # many paths lead to the same few
@@ -311,10 +326,11 @@ def bucket_edges(
         if len(own) == 2:
             n = len(np.intersect1d(own[0], own[1], assume_unique=True))
             if n and n >= low * (len(own[0]) + len(own[1]) - n) - 1e-9:
-                edges.append((members[0], members[1], False))
+                link(int(members[0]), int(members[1]), False)
         else:
             linked = similar(sizes[members], overlaps(own), low)
-            edges.extend((members[i], members[j], False) for i, j in spanning(linked))
+            for i, j in spanning(linked):
+                link(int(members[i]), int(members[j]), False)
 
     def held(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Their tokens one after the other, and whose each is."""
@@ -337,7 +353,9 @@ def bucket_edges(
             marked[pivot] = False
             share = both / (sizes[members] + sizes[members[0]] - both)
             near = np.flatnonzero(share >= low)[1:]
-            edges.extend((members[0], members[j], bool(share[j] >= SETTLED_FOR_ALL)) for j in near)
+            first = int(members[0])
+            for j, alike in zip(members[near].tolist(), (share[near] >= SETTLED_FOR_ALL).tolist()):
+                link(first, j, alike)
             stay = share < SETTLED
             stay[0] = False
             before, members = len(members), members[stay]
