@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import random
 
@@ -99,3 +100,29 @@ def test_work_is_linear():
     for i in range(1000):
         prefixes.add("user", str(i))
     assert sum(calls) < 1000 * 2 * 2 * c.WINDOW
+
+
+def test_templates_that_look_back_any_distance(spark):
+    """Pieces add up to the whole conversation's output: by all turns, or by a window if the template states one."""
+
+    def system_with_last(turns):
+        """Shows the first turn in the last one, and the answers' numbers: looks back and rewrites."""
+        last = len(turns) - 1
+        return "".join(f"<{i}>{turns[0][1] if i == last else ''}{text}</{i}>" for i, (_, text) in enumerate(turns))
+
+    def from_afar(turns):
+        """Every turn shows how long the one 20 turns before is, and puts a mark on it."""
+        marks = [t + ("*" if i + 20 < len(turns) else "") for i, (_, t) in enumerate(turns)]
+        return "".join(f"[{len(turns[i - 20][1]) if i >= 20 else 0}:{t}]" for i, t in enumerate(marks))
+
+    stated = functools.partial(from_afar)
+    stated.looks_back = 20
+    rows = [(4, i, ["user", "assistant"][i % 2], "word " * (i % 7) + str(i), 0, "") for i in range(130)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, place long, piece string")
+    whole = [(r[2], r[3]) for r in rows]
+    assert c.window_of(system_with_last) is None and c.window_of(stated) == 40 and c.window_of(c.inst_template) == c.WINDOW
+    for template in (system_with_last, from_afar, stated):
+        out = ""
+        for t in sorted(c.formatted_turns(df, template).collect(), key=lambda r: r.place):
+            out = out[: len(out) - t.replaced] + t.piece
+        assert out == template(whole)
