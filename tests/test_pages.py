@@ -72,3 +72,16 @@ def test_distinct_ids_merge_over_days(spark, folder):
     assert {r["store_location"]: r["transaction_id"] for r in rollup.distinct_from_bitmaps(both).collect()} == want
     guess = rollup.distinct_from_sketches(rollup.id_sketches(early).union(rollup.id_sketches(late)))
     assert all(abs(r["transaction_id"] / want[r["store_location"]] - 1) < 0.04 for r in guess.collect())
+
+
+def test_bitmaps_take_the_room_of_their_ids(spark, monkeypatch):
+    """Days of few ids that lie far apart: short bitmaps, made by tasks of few rows; ids of any sign and size count."""
+    from tillmark.plans import rollup
+
+    monkeypatch.setattr(rollup, "TASK_ROWS", 100)
+    ids = [(i - 500) * 1_000_003 for i in range(1000)] + [0, -1, 63, 64, -64, 2**63 - 1, -(2**63)]
+    rows = [("Store", day, i) for i in ids for day in ("2024-01-01", "2024-01-02", None)] + [(None, None, 1), ("Store", None, None)]
+    made = rollup.id_bitmaps(spark.createDataFrame(rows, "store_location string, date string, transaction_id long"))
+    assert made.rdd.getNumPartitions() >= len(ids) * 3 // 100
+    assert {f.name: f.dataType.simpleString() for f in made.schema.fields}["bits"] == "bigint"
+    assert [r["transaction_id"] for r in rollup.distinct_from_bitmaps(made).collect()] == [len(set(ids))]

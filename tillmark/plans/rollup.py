@@ -39,24 +39,31 @@ def stored_rollup(df: DataFrame, path: str) -> DataFrame:
 
 #: Bits that number a sketch's registers; the relative error of an estimate is about 1.04 / sqrt(2 ** 14) = 0.8 %.
 SKETCH_BITS = 14
+#: Ids of a bitmap, which is a long; rows that a task makes bitmaps of.
+WORD_IDS, TASK_ROWS = 64, 1 << 20
 
 
 def id_bitmaps(df: DataFrame) -> DataFrame:
-    """``store_location, date, bucket, bits``: which ids a store has on a day, as bitmaps of 32,768 ids each.
+    """``store_location, date, word, bits``: which ids a store has on a day, as bitmaps of 64 ids each.
 
-    For ids that are whole numbers. Copies of an id are one bit, so a hot store combines on the map side.
+    For ids that are whole numbers. A day has few of all ids: short bitmaps take no more room than the ids themselves, and a
+    group's state is one number. Hardly any rows would combine on the map side, so they are dealt first, to tasks of so many
+    rows that their groups fit in memory whatever the table's size; a hot store spreads over days and words.
     """
-    bucket, place = F.bitmap_bucket_number("transaction_id"), F.bitmap_bit_position("transaction_id")
+    id_ = F.col("transaction_id").cast("long")
+    place = (id_.bitwiseAND(F.lit(WORD_IDS - 1))).cast("int")
     met = df.where("store_location is not null and transaction_id is not null").select(
-        "store_location", "date", bucket.alias("bucket"), place.alias("place")
+        "store_location", "date", F.shiftright(id_, WORD_IDS.bit_length() - 1).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), place).alias("bit")
     )
-    return met.groupBy("store_location", "date", "bucket").agg(F.bitmap_construct_agg("place").alias("bits"))
+    key = ["store_location", "date", "word"]
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-met.count() // TASK_ROWS))
+    return met.repartition(tasks, *key).groupBy(*key).agg(F.bit_or("bit").alias("bits"))
 
 
 def distinct_from_bitmaps(bitmaps: DataFrame) -> DataFrame:
     """Distinct ids per store over all days of the bitmaps, exact: days are merged bit by bit, then counted."""
-    whole = bitmaps.groupBy("store_location", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-    return whole.groupBy("store_location").agg(F.sum(F.bitmap_count("bits")).alias("transaction_id"))
+    whole = bitmaps.groupBy("store_location", "word").agg(F.bit_or("bits").alias("bits"))
+    return whole.groupBy("store_location").agg(F.sum(F.bit_count("bits")).alias("transaction_id"))
 
 
 def id_sketches(df: DataFrame) -> DataFrame:
