@@ -89,7 +89,7 @@ def peak_demand(transactions: DataFrame, tune: bool = False) -> dict[str, Page]:
         if tune and name in grids:
             model, page["grid"] = learning.grid_search(table, estimator, grids[name])
             page["best_parameters"] = page["grid"].limit(1).select(*sorted(grids[name]))
-            estimator = estimator.copy(model.extractParamMap())
+            estimator = estimator.with_params(**model.params)
         else:
             model = learning.fit(table, estimator)
         scored = learning.predict(table, model)
