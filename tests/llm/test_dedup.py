@@ -290,3 +290,36 @@ def test_components(spark, seed):
             root[b] = a
     found = graph.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
     assert {r["node"]: r["component"] for r in found} == {x: find(x) for x in root} and len(found) == len(root)
+
+
+def test_work_within_a_bucket_of_near_copies(monkeypatch):
+    """Members that no pivot settles are not compared pair by pair once they are connected; those that are not are found all the same."""
+    rng = np.random.RandomState(5)
+    base = rng.randint(0, 2**32, 110).astype(np.uint64)
+
+    def near(kept):
+        return np.unique(np.concatenate([rng.permutation(base)[:kept], rng.randint(0, 2**32, 110 - kept).astype(np.uint64)]))
+
+    # Some 0.5 similar to each other; a few chains that lead to them, whose ends are like none but the one before.
+    samples = [near(92) for _ in range(900)]
+    for at in (5, 700):
+        link = np.unique(np.concatenate([samples[at][:80], rng.randint(0, 2**32, 30).astype(np.uint64)]))
+        samples += [link, np.unique(np.concatenate([link[-80:], rng.randint(0, 2**32, 30).astype(np.uint64)]))]
+    samples.append(rng.randint(0, 2**32, 110).astype(np.uint64))
+    compared, overlaps = [], jaccard_join.overlaps
+    monkeypatch.setattr(jaccard_join, "overlaps", lambda sets, others=None: compared.append(len(sets)) or overlaps(sets, others))
+    edges = jaccard_join.bucket_edges(7, samples, 0.8, 32, 6)
+    assert sum(n * n for n in compared) < 20 * len(samples)
+    sizes = np.array([len(s) for s in samples])
+    root = {i: i for i in range(len(samples))}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for i, j, _ in edges:
+        a, b = sorted((find(i), find(j)))
+        root[b] = a
+    wanted = list(range(len(samples)))
+    for i, j in jaccard_join.spanning(jaccard_join.similar(sizes, overlaps(samples), jaccard_join.MARGIN * 0.8)):
+        wanted[j] = wanted[i]
+    assert [find(i) for i in range(len(samples))] == wanted and len(set(wanted)) > 1

@@ -283,7 +283,7 @@ def _values(column: pa.Array) -> list:
     if not pa.types.is_list(column.type):
         return column.to_pylist()
     flat, ends = column.flatten().to_numpy(), column.offsets.to_numpy()
-    flat = flat.view(np.uint64) if flat.dtype == np.int64 else flat
+    flat = flat.view(np.uint32).astype(np.uint64) if flat.dtype == np.int32 else flat
     return [flat[a - ends[0] : b - ends[0]] for a, b in zip(ends, ends[1:])]
 
 
@@ -294,7 +294,9 @@ def bucket_edges(
     equal to the first.
 
     Small buckets are compared throughout. In a large one, members much like a pivot are linked to it and
-    settled; the others split by the shingles they choose next.
+    settled; the others split by the shingles they choose next. Members that are connected already, by whatever way, need
+    not be compared with each other, as an edge between them would connect nothing: once most are connected, only
+    the few others are compared, with all.
     """
     low = MARGIN * threshold
     sizes = np.array([len(s) for s in samples])
@@ -318,8 +320,25 @@ def bucket_edges(
         if a != b or alike:
             edges.append((i, j, alike))
 
+    def connected(members: np.ndarray) -> bool:
+        first = root(int(members[0]))
+        return all(root(i) == first for i in members[1:].tolist())
+
+    def apart(members: np.ndarray) -> np.ndarray:
+        """Places of the members that are not connected to most of them."""
+        names, which, counts = np.unique([root(i) for i in members.tolist()], return_inverse=True, return_counts=True)
+        return np.flatnonzero(which != counts.argmax())
+
+    def shares(place: int, members: np.ndarray, own: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Similarity of the member at this place to each of them."""
+        pivot = own[np.searchsorted(owner, place) : np.searchsorted(owner, place, "right")]
+        marked[pivot] = True
+        both = np.bincount(owner[marked[own]], minlength=len(members))
+        marked[pivot] = False
+        return both / (sizes[members] + len(pivot) - both)
+
     def compared(members: np.ndarray) -> None:
-        if members.tobytes() in seen:  # many paths lead to the same few
+        if members.tobytes() in seen or connected(members):  # many paths lead to the same few
             return
         seen.add(members.tobytes())
         own = [samples[i] for i in members]
@@ -347,11 +366,7 @@ def bucket_edges(
             continue
         own, owner = held(members)
         while len(members) > small:
-            pivot = own[: sizes[members[0]]]
-            marked[pivot] = True
-            both = np.bincount(owner[marked[own]], minlength=len(members))
-            marked[pivot] = False
-            share = both / (sizes[members] + sizes[members[0]] - both)
+            share = shares(0, members, own, owner)
             near = np.flatnonzero(share >= low)[1:]
             first = int(members[0])
             for j, alike in zip(members[near].tolist(), (share[near] >= SETTLED_FOR_ALL).tolist()):
@@ -365,7 +380,12 @@ def bucket_edges(
         if len(members) <= small:
             if len(members) > 1:
                 compared(members)
+        elif len(others := apart(members)) <= small:
+            for place in others.tolist():
+                for j in members[shares(place, members, own, owner) >= low].tolist():
+                    link(int(members[place]), j, False)
         elif step == steps:  # no path splits these
+            members = members[np.argsort([root(i) for i in members.tolist()], kind="stable")]
             for i in range(0, len(members), small):
                 for j in range(i, len(members), small):
                     part = np.unique(np.concatenate([members[i : i + small], members[j : j + small]]))
@@ -429,7 +449,9 @@ def _run_edges(sets: DataFrame, runs: range, threshold: float, small: int, task:
     if large is not None:
         members = members.union(_blocks(large, "key", "n", "cls").select(F.xxhash64("bucket").alias("bucket"), "cls", "left"))
     members = stored(members, "bucket-members")
-    found = _edges_of(members.join(_samples(sets, members), "cls"), threshold, small, steps)
+    # Half of each hash tells the shingles of a bucket apart well enough to find candidates.
+    halves = _samples(sets, members).withColumn("sample", F.transform("sample", lambda t: F.shiftright(t, 32).cast("int")))
+    found = _edges_of(members.join(halves, "cls"), threshold, small, steps)
     return stored(reduce(DataFrame.union, edges, found).distinct(), "run-edges"), deep
 
 
