@@ -1,3 +1,5 @@
+import random
+import sys
 import zlib
 
 import numpy as np
@@ -8,8 +10,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tillmark.llm import packing, token_counts
-from tillmark.llm.word_bpe import SPECIAL, counter, word_ids
+from tillmark.llm import packing, token_counts, word_bpe
+from tillmark.llm.word_bpe import SPECIAL, PrefixCounter, counter, word_ids
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -46,6 +48,49 @@ def test_every_prefix(library):
             assert token_counts.longest_within(counter(PATH).deltas(text), budget) == max(i for i, n in enumerate(want) if n <= budget)
 
 
+def made_up_words(seed, n):
+    pick = random.Random(seed)
+    parts = ["an", "the", "or", "ing", "ti", "on", "re", "ver", "é", "ção", "st", "x"]
+    return ["".join(pick.choices(parts, k=pick.randint(3, 6))) for _ in range(n)]
+
+
+def test_new_words_take_remembered_steps():
+    """Calls for each character of words not seen before, whose parts were: one to remember its change, few others."""
+    known = PrefixCounter(PATH)
+    seen = made_up_words(1, 30_000)
+    known.deltas(" ".join(seen))
+    new = sorted({*made_up_words(2, 5000)} - {*seen})
+    calls = 0
+
+    def count(frame, event, _):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    text = " ".join(new)
+    before = sys.getprofile()
+    sys.setprofile(count)
+    try:
+        known.deltas(text)
+    finally:
+        sys.setprofile(before)
+    assert len(new) > 2000 and calls < 4 * len(text)
+
+
+@pytest.mark.parametrize("words,states", [(300_000, 250_000), (4, 7)])
+def test_prefixes_whatever_is_remembered(library, monkeypatch, words, states):
+    monkeypatch.setattr(word_bpe, "REMEMBERED", words)
+    monkeypatch.setattr(word_bpe, "REMEMBERED_STATES", states)
+    known = PrefixCounter(PATH)
+    for seed in range(20):
+        text = " ".join(made_up_words(seed, 6) * 2) + " ñ日本 it's <|endoftext|> \n"
+        plain = text[: text.index("<")]
+        counts = token_counts.counts(known.deltas(plain)).tolist()
+        assert counts == [len(library.encode(plain[:i], add_special_tokens=False).ids) for i in range(len(plain) + 1)]
+        want = library.encode(text, add_special_tokens=False).ids
+        assert known.count(text) == len(want) and np.frombuffer(known.ids(text), "<u4").tolist() == want
+        assert len(known.words) <= max(2, words // 2) and len(known.states) <= states
+
+
 def test_odd_documents(spark, odd_docs, odd_rows, no_docs, library):
     store = token_counts.prefix_counts(odd_docs, PATH)
     rows = sorted((r["id"], r["n_bytes"], r["n_tokens"]) for r in store.collect())

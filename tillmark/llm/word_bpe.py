@@ -7,7 +7,10 @@ count of every prefix: one look-up for each candidate token, and no encoding fro
 this vocabulary the last symbol of a word carries a mark, so a prefix that ends within a word takes
 its last token from the marked ones, and what is before it from the plain ones.
 
-Words are worked out once and remembered, up to a bound; a text is the sum of its words.
+What the next symbol adds follows from the places where a token may still be under way, the last
+tokens before them and their counts against each other. Such a state of the programme comes up again in
+many words: steps from state to state are worked out once and remembered, as are words, both up to
+a bound; a text is the sum of its words.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -28,6 +32,8 @@ WORD_END = "</w>"
 PLAIN_LIMIT = 0x250
 #: Words remembered by a process.
 REMEMBERED = 300_000
+#: States of the dynamic programme remembered by a process.
+REMEMBERED_STATES = 250_000
 
 
 def _ranges(test) -> str:
@@ -55,29 +61,82 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in set(shown) else chr(256 + hidden.index(b)) for b in range(256)]
 
 
+def _total(deltas: bytes) -> int:
+    """The count that changes, signed bytes, add up to."""
+    return int(np.frombuffer(deltas, np.int8).sum(dtype=np.int64))
+
+
+class _State(dict):
+    """Where the dynamic programme is after a prefix of a word: for each next character, the state after it and, as a
+    byte, by how much the count of the prefix as a word changes.
+
+    ``open`` has, from the longest, each end of the prefix that begins a token, the last token before that end, and
+    the token count up to there against that of the prefix, both as part of a longer word; ``ended`` is the
+    count of the prefix as a word, against the same.
+    """
+
+    __slots__ = ("counter", "open", "ended")
+
+    def __init__(self, counter: PrefixCounter, open: tuple, ended: int):
+        self.counter, self.open, self.ended = counter, open, ended
+
+    def __missing__(self, character: str) -> tuple[_State, int]:
+        after, changed = self, 0
+        for symbol in self.counter.shown(character):
+            after, change = self.counter.after(after, symbol)
+            changed += change
+        self[character] = step = after, changed & 0xFF
+        return step
+
+
+class _Words(dict):
+    """Changes of the count in words, worked out where they are not remembered."""
+
+    def __init__(self, work_out: Callable[[str], bytes]):
+        self.work_out = work_out
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        changes = self.older.get(word)
+        if changes is None:
+            changes = self.work_out(word)
+        if len(word) <= 64:
+            if len(self) >= REMEMBERED // 2:
+                # Words not met since the last time are forgotten.
+                self.older = dict(self)
+                self.clear()
+            self[word] = changes
+        return changes
+
+
 class PrefixCounter:
     """Token counts of all prefixes of texts, and token ids of whole texts."""
 
     def __init__(self, path: str):
-        import ahocorasick
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
         self.vocab: dict[str, int] = model["vocab"]
-        self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
+        # One string object for each token: equal ones need not be compared.
+        self.same = {t: t for t in self.vocab}
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.rank = {(self.same[a], self.same[b]): i for i, (a, b) in enumerate(pairs)}
         self.library = Tokenizer.from_file(path)
         self.special = {s: self.library.token_to_id(s) for s in SPECIAL}
         marked = {t: t.removesuffix(WORD_END) for t in self.vocab if t.endswith(WORD_END) and t != WORD_END}
-        # Finds all tokens that end at a place of a word, the longest first.
-        self.ending = ahocorasick.Automaton()
+        # What tokens begin with: the same once more, and the plain and the marked token it is, if any.
+        self.begins: dict[str, tuple[str, str, str]] = {}
         for body in {*self.vocab.keys() - marked.keys(), *marked.values()}:
-            self.ending.add_word(body, (len(body), body if body in self.vocab else "", body + WORD_END if body + WORD_END in marked else ""))
-        self.ending.make_automaton()
+            for begin in [body[:i] for i in range(1, len(body) + 1)]:
+                if begin not in self.begins:
+                    self.begins[begin] = (begin, self.same.get(begin, ""), self.same.get(begin + WORD_END, ""))
         self.symbols = dict(enumerate(byte_symbols()))
         self.halves: dict[str, tuple[int, str, str] | None] = {}
         self.beside: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, tuple[int, bytes, bytes]] = {}
+        self.states: dict[tuple, _State] = {}
+        self.start = _State(self, (("", "", 0),), 0)
+        self.words = _Words(self._word)
 
     # --- the dynamic programme ------------------------------------------------------------------
 
@@ -94,7 +153,7 @@ class PrefixCounter:
                     break
                 made = (rank, parts[at], parts[at + 1])
                 parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            self.halves[token] = made if parts == [token] else None
+            self.halves[token] = (made[0], *map(self.same.__getitem__, made[1:])) if parts == [token] else None
         return self.halves[token]
 
     def _stays(self, before: str, token: str) -> bool:
@@ -126,83 +185,83 @@ class PrefixCounter:
             self.beside[pair] = known
         return known
 
-    def prefixes(self, shown: str) -> tuple[list[int], list[str]]:
-        """Token counts of all prefixes of a word in byte symbols, each as a word of its own, and the
-        tokens of the whole word."""
-        beside, stays = self.beside.get, self._stays
-        counts, last, starts, ended = [0], [""], [0], [0]
-        inner = outer = 0  # prefixes that are done, as part of a longer word and as a word
-        for end, (size, plain, marked) in self.ending.iter(shown):
-            if inner <= end and plain:
-                start = end + 1 - size
-                fits = beside((last[start], plain))
-                if stays(last[start], plain) if fits is None else fits:
-                    counts.append(counts[start] + 1)
-                    last.append(plain)
-                    starts.append(start)
-                    inner = end + 1
-            if outer <= end and marked:
-                start = end + 1 - size
-                fits = beside((last[start], marked))
-                if stays(last[start], marked) if fits is None else fits:
-                    ended.append(counts[start] + 1)
-                    final, at = marked, start
-                    outer = end + 1
-        tokens = [final]
+    def _reached(self, state: _State, symbol: str) -> tuple[list[tuple[str, str, int]], str, int, str, int]:
+        """One step of the programme: ends that begin a token, last token and count as part of a longer
+        word, and as a word; counts against that of the prefix before."""
+        begins, beside, stays = self.begins.get, self.beside.get, self._stays
+        open, last, count, final, ended = [], "", 0, "", 0
+        for part, before, at in state.open:
+            begin = begins(part + symbol)
+            if begin is None:
+                continue
+            part, plain, marked = begin
+            open.append((part, before, at))
+            if plain and not last:
+                fits = beside((before, plain))
+                if stays(before, plain) if fits is None else fits:
+                    last, count = plain, at + 1
+            if marked and not final:
+                fits = beside((before, marked))
+                if stays(before, marked) if fits is None else fits:
+                    final, ended = marked, at + 1
+        return open, last, count, final, ended
+
+    def after(self, state: _State, symbol: str) -> tuple[_State, int]:
+        """The state after one more byte symbol, and by how much the count of the prefix as a word changes."""
+        open, last, count, _, ended = self._reached(state, symbol)
+        # After these a word goes the same way, whatever came before.
+        key = (*[(part, before, at - count) for part, before, at in open], ("", last, 0))
+        after = self.states.get((key, ended - count))
+        if after is None:
+            if len(self.states) >= REMEMBERED_STATES:
+                for known in [self.start, *self.states.values()]:
+                    known.clear()
+                self.states.clear()
+            after = self.states[key, ended - count] = _State(self, key, ended - count)
+        return after, ended - state.ended
+
+    def changes(self, word: str) -> bytes:
+        """By how much the token count changes, as a byte, from prefix to prefix of a word, each as a word of its own."""
+        state, changes = self.start, bytearray()
+        for character in word:
+            state, change = state[character]
+            changes.append(change)
+        return bytes(changes)
+
+    def tokens(self, word: str) -> list[str]:
+        """Tokens of a word: the last one, that of the prefix before it, and so on."""
+        shown, states = self.shown(word), [self.start]
+        for symbol in shown:
+            states.append(self.after(states[-1], symbol)[0])
+        final = self._reached(states[-2], shown[-1])[3]
+        tokens, at = [final], len(shown) - len(final) + len(WORD_END)
         while at:
-            tokens.append(last[at])
-            at = starts[at]
+            tokens.append(states[at].open[-1][1])
+            at -= len(tokens[-1])
         tokens.reverse()
-        return ended, tokens
+        return tokens
 
-    def _word(self, word: str) -> tuple[int, bytes, bytes]:
-        """Tokens, change of the count at each code point, and ids of a (spaced) word."""
+    def shown(self, text: str) -> str:
+        """A text in byte symbols."""
+        return text.encode().decode("latin-1").translate(self.symbols)
+
+    def _word(self, word: str) -> bytes:
+        """Change of the count at each code point of a (spaced) word."""
         bare = word.lstrip(_SPACE)
-        deltas = bytearray(len(word) - len(bare))
-        if not bare:
-            return 0, bytes(deltas), b""
-        data = bare.encode()
-        shown = data.decode("latin-1").translate(self.symbols)
-        ended, tokens = self.prefixes(shown)
-        if bare in CONTRACTIONS:  # shorter prefixes are not contractions, but quote and letters
-            upto = [sum(self._word(w)[0] for w in _BARE_WORD.findall(bare[:i])) for i in range(1, len(bare))] + [len(tokens)]
-        elif len(data) == len(bare):
-            upto = ended[1:]
-        else:
-            at, upto = 0, []
-            for c in bare:
-                at += len(c.encode())
-                upto.append(ended[at])
-        deltas += bytes([(b - a) & 0xFF for a, b in zip([0, *upto], upto)])
-        ids = b"".join([self.vocab[t].to_bytes(4, "little") for t in tokens])
-        return len(tokens), bytes(deltas), ids
-
-    def _remembered(self, words: list[str]) -> list[tuple[int, bytes, bytes]]:
-        known = self.words
-        try:
-            return [known[w] for w in words]
-        except KeyError:
-            pass
-        if len(known) >= REMEMBERED:
-            known.clear()
-        found = []
-        for w in words:
-            value = known.get(w)
-            if value is None:
-                value = self._word(w)
-                if len(w) <= 64:
-                    known[w] = value
-            found.append(value)
-        return found
+        changes = self.changes(bare)
+        if bare[:1] == "'" and bare in CONTRACTIONS:  # shorter prefixes are not contractions, but quote and letters
+            upto = [sum(_total(self._word(w)) for w in _BARE_WORD.findall(bare[:i])) for i in range(1, len(bare))] + [_total(changes)]
+            changes = bytes([(b - a) & 0xFF for a, b in zip([0, *upto], upto)])
+        return bytes(len(word) - len(bare)) + changes
 
     # --- texts ----------------------------------------------------------------------------------
 
     def _split(self, text: str) -> list[str]:
         """Words of a text with the white space before them, and white space at its end."""
-        if not _NOT_PLAIN.search(text):
+        if text.isascii() or not _NOT_PLAIN.search(text):
             text = text.lower()
             words = _SPACED_WORD.findall(text)
-            rest = len(text) - sum(map(len, words))
+            rest = len(text) - len(text.rstrip(_SPACE))
             return [*words, text[-rest:]] if rest else words
         text = self.library.normalizer.normalize_str(text)
         words, at = [], 0
@@ -211,31 +270,31 @@ class PrefixCounter:
             at = end
         return [*words, text[at:]] if at < len(text) else words
 
-    def of(self, text: str) -> list[tuple[int, bytes, bytes]]:
-        """Count, count changes per code point of the normalised text, and ids: a tuple per word."""
+    def deltas(self, text: str) -> bytes:
+        """Change of the count at each code point of the normalised text."""
         if "<|" not in text or not _ANY_SPECIAL.search(text):
-            return self._remembered(self._split(text))
+            return b"".join(map(self.words.__getitem__, self._split(text)))
         found = []
         for piece in _ANY_SPECIAL.split(text):
-            if piece in self.special:
-                words = self._remembered(self._split(piece))  # as ordinary text, but for its end
-                before = sum(w[0] for w in words)
-                deltas = b"".join(w[1] for w in words)
-                last = (deltas[-1] + 1 - before) & 0xFF
-                found.append((1, deltas[:-1] + bytes([last]), self.special[piece].to_bytes(4, "little")))
-            else:
-                found += self._remembered(self._split(piece))
-        return found
-
-    def deltas(self, text: str) -> bytes:
-        return b"".join([w[1] for w in self.of(text)])
+            deltas = b"".join(map(self.words.__getitem__, self._split(piece)))
+            if piece in self.special:  # as ordinary text, but for its end
+                deltas = deltas[:-1] + bytes([(1 - _total(deltas[:-1])) & 0xFF])
+            found.append(deltas)
+        return b"".join(found)
 
     def count(self, text: str) -> int:
-        return sum([w[0] for w in self.of(text)])
+        return _total(self.deltas(text))
 
     def ids(self, text: str) -> bytes:
         """Token ids as little-endian unsigned 32-bit numbers."""
-        return b"".join([w[2] for w in self.of(text)])
+        found = []
+        for piece in _ANY_SPECIAL.split(text):
+            if piece in self.special:
+                found.append(self.special[piece])
+            else:
+                bare = [w.lstrip(_SPACE) for w in self._split(piece)]
+                found += [self.vocab[t] for w in bare if w for t in self.tokens(w)]
+        return np.array(found, "<u4").tobytes()
 
 
 class WordIds:
